@@ -69,6 +69,26 @@ def histogram_quantile(buckets: DataFrame, q: float, by: Sequence[str] = (), cou
         F.min_by(F.when(reached, estimate), F.when(reached, F.col("le"))).alias("quantile"))
 
 
+def quantile_of_counts(counts: Sequence[Column], edges: Sequence[float], q: float) -> Column:
+    """`histogram_quantile` for one histogram held in columns: no rows per bucket, no shuffle.
+
+    `counts` are cumulative and `edges` ends with +Inf.
+    """
+    total = counts[-1].cast("double")
+    rank = F.lit(q) * total
+    estimate = None
+    for i, (edge, count) in enumerate(zip(edges, counts)):
+        low = F.lit(edges[i - 1] if i else 0.0)
+        below = counts[i - 1].cast("double") if i else F.lit(0.0)
+        if edge == INF:
+            value = low
+        else:
+            value = low + (F.lit(edge) - low) * (rank - below) / F.nullif(count.cast("double") - below, F.lit(0.0))
+        reached = (count.cast("double") >= rank) & (total > 0)
+        estimate = F.when(reached, value) if estimate is None else estimate.when(reached, value)
+    return estimate
+
+
 def _locate(counts: DataFrame, by: Sequence[str], order: str, q_rank: Column) -> DataFrame:
     """The row of each group in which the wanted rank falls, with the count before it."""
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefmt import as_micros
-from emberlog.operators.histograms import INF, histogram_quantile
+from emberlog.operators.histograms import INF, histogram_quantile, quantile_of_counts
 from emberlog.operators.ordered import previous, time_block
 from emberlog.schema import EVALUATION_STEP, RATE_WINDOW
 
@@ -72,10 +72,8 @@ def sliding_quantile(df: DataFrame, ts: str, value: str, bounds: Sequence[float]
     slotted = df.groupBy(*by, slot_start(F.col(ts), step).alias("slot")).agg(*[
         F.count_if(F.col(value) <= F.lit(edge)).alias(name) for edge, name in zip(edges, names)])
     windows = sliding_sums(slotted, by, names, length, step)
-    rows = F.array(*[
-        F.struct(F.lit(edge).alias("le"), F.col(name).alias("count")) for edge, name in zip(edges, names)])
-    buckets = windows.select(*by, "window_start", F.inline(rows))
-    return histogram_quantile(buckets, q, [*by, "window_start"])
+    return windows.select(
+        *by, "window_start", quantile_of_counts([F.col(n) for n in names], edges, q).alias("quantile"))
 
 
 def bucket_rate_quantile(samples: DataFrame, by: Sequence[str], series: Sequence[str], q: float = 0.95,

@@ -195,6 +195,14 @@ class LogTables:
             F.count_if(~gone).alias("needed"), F.count(F.lit(1)).alias("rows"))
         return per_batch.filter(F.col("needed") == 0).drop("needed")
 
+    def remove_expired(self, as_of: datetime | str, retention: timedelta = HOT_RETENTION) -> int:
+        """Delete the directories of `expired_batches`; returns how many. Meant to run between batches."""
+        removed = 0
+        for r in self.expired_batches(as_of, retention).select("run", "batch_id").toLocalIterator():
+            self.folder.delete(f"hot/run={r.run}/batch_id={r.batch_id}")
+            removed += 1
+        return removed
+
     # ---- search -------------------------------------------------------------------------------
 
     def search(self, query: LogQuery, as_of: datetime | str, cold_age: timedelta = COLD_AGE) -> DataFrame:
