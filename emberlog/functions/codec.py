@@ -7,79 +7,90 @@ Duplicate keys inside one object reject the entry, and key matching is case-sens
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefmt import parse_rfc3339, rfc3339_micros
 from emberlog.schema import LOG_SCHEMA
 
-TEXT_FIELDS = ("id", "source", "level", "message", "trace_id", "span_id")
+TEXT_FIELDS = ("id", "timestamp", "source", "level", "message", "trace_id", "span_id")
 
-
-def _is_json_null(v: Column) -> Column:
-    return F.coalesce(F.is_variant_null(v), F.lit(False))
-
-
-def _as_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
+_TEXTS = ",".join(f"{f}:string" for f in TEXT_FIELDS)
+_KINDS = ",".join(f"{f}:variant" for f in TEXT_FIELDS)
+# An object cast to these: its fields as text, and as they are. Null when it is not an object.
+AS_TEXT = f"struct<{_TEXTS},labels:map<string,variant>>"
+AS_FOUND = f"struct<{_KINDS},labels:variant>"
 
 
 def _text_like(v: Column) -> Column:
-    """True for a JSON string, JSON null or an absent field."""
+    """True for a JSON string, JSON null or an absent field: a number would cast to text, so the
+    stored type is looked at."""
     return F.coalesce(F.schema_of_variant(v).isin("STRING", "VOID"), F.lit(True))
 
 
-def _absent(v: Column) -> Column:
-    return v.isNull() | _is_json_null(v)
-
-
-def decode_entry(v: Column) -> Column:
-    """Struct of one entry from a VARIANT, null when the variant is not an acceptable entry."""
-    field = {f: F.try_variant_get(v, f"$.{f}", "variant") for f in (*TEXT_FIELDS, "timestamp", "labels")}
-    raw_ts = F.try_variant_get(v, "$.timestamp", "string")
-    label_values = F.try_variant_get(v, "$.labels", "map<string,variant>")
-    # A JSON string casts to any scalar, so the stored type is checked, not the cast.
-    acceptable = _is_json_null(v) | _as_object(v).isNotNull()
-    for f in (*TEXT_FIELDS, "timestamp"):
-        acceptable = acceptable & _text_like(field[f])
-    acceptable = acceptable & (_absent(field["timestamp"]) | parse_rfc3339(raw_ts).isNotNull())
-    acceptable = acceptable & (
-        _absent(field["labels"])
-        | F.coalesce(F.forall(F.map_values(label_values), _text_like), F.lit(False))
-    )
+def _views(v: Column) -> Column:
+    """Both casts of the object, and whether it is JSON null instead (an entry of zero values)."""
+    return F.struct(
+        F.try_variant_get(v, "$", AS_TEXT).alias("text"),
+        F.try_variant_get(v, "$", AS_FOUND).alias("found"),
+        F.is_variant_null(v).alias("nothing"))
+
+
+def _entry(views: Column, stamp: Column) -> Column:
+    """Struct of the entry, null when it is rejected; `stamp` is its parsed timestamp."""
+    text, found = views["text"], views["found"]
+    ok = found.isNotNull() & (text["timestamp"].isNull() | stamp.isNotNull())
+    for f in TEXT_FIELDS:
+        ok = ok & _text_like(found[f])
+    flat = F.forall(F.map_values(text["labels"]), _text_like)
+    no_labels = found["labels"].isNull() | F.is_variant_null(found["labels"])
+    ok = ok & (no_labels | F.coalesce(flat, F.lit(False)))
     labels = F.transform_values(
-        F.try_variant_get(v, "$.labels", "map<string,string>"), lambda _, x: F.coalesce(x, F.lit("")))
-    parts = []
-    for f in LOG_SCHEMA.fieldNames():
-        if f == "timestamp":
-            parts.append(parse_rfc3339(raw_ts).alias(f))
-        elif f == "labels":
-            parts.append(labels.alias(f))
-        else:
-            parts.append(F.try_variant_get(v, f"$.{f}", "string").alias(f))
-    return F.when(F.coalesce(acceptable, F.lit(False)), F.struct(*parts))
-
-
-def parse_one(value: Column, allow_trailing: bool = False) -> Column:
-    """VARIANT of the single JSON value in the text, null when there is none.
-
-    Text after the value is an error unless `allow_trailing` (a request body reader stops after the
-    first value, a stream record must be exactly one).
+        text["labels"], lambda _, x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
+    parts = {f: text[f] for f in TEXT_FIELDS} | {"timestamp": stamp, "labels": labels}
+    return F.when(
+        views["nothing"] | F.coalesce(ok, F.lit(False)),
+        F.struct(*[parts[f].alias(f) for f in LOG_SCHEMA.fieldNames()]))
+
+
+def decode_one(df: DataFrame, value: str, allow_trailing: bool = False) -> DataFrame:
+    """Add `_entry`: the struct of the one entry in the text, null when it is rejected.
+
+    Text after the entry is an error unless `allow_trailing` (a request body reader stops after the
+    first value, a stream record must be exactly one). The steps are projections of their own, so
+    each text is parsed and cast once. The result comes out of a generator, because a later filter
+    on it would otherwise be pushed below and repeat the parsing in its condition.
     """
+    kept = df.columns
     if allow_trailing:
-        return F.try_parse_json(value)
-    items = F.try_variant_get(
-        F.try_parse_json(F.concat(F.lit("["), value, F.lit("]"))), "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
-
-
-def decode_batch(v: Column) -> Column:
-    """Array of entry structs from a VARIANT, null unless every element is acceptable."""
-    entries = F.transform(F.try_variant_get(v, "$", "array<variant>"), decode_entry)
-    return (
-        F.when(_is_json_null(v), F.array().cast(f"array<{LOG_SCHEMA.simpleString()}>"))
-        .when(~F.exists(entries, lambda e: e.isNull()), entries)
-    )
+        parsed = df.withColumn("_v", F.try_parse_json(value))
+    else:
+        # Inside brackets anything but exactly one value fails to parse or gives another count.
+        listed = df.withColumn("_v", F.try_parse_json(F.concat(F.lit("["), F.col(value), F.lit("]"))))
+        alone = F.try_variant_get("_v", "$[1]", "variant").isNull()
+        parsed = listed.withColumn("_v", F.when(alone, F.try_variant_get("_v", "$[0]", "variant")))
+    viewed = parsed.select(*kept, _views(F.col("_v")).alias("_views"))
+    stamped = viewed.withColumn("_stamp", parse_rfc3339(F.col("_views.text.timestamp")))
+    entry = _entry(F.col("_views"), F.col("_stamp"))
+    return stamped.select(*kept, F.explode_outer(F.array(entry)).alias("_entry"))
+
+
+def decode_array(df: DataFrame, value: str) -> DataFrame:
+    """Add `entries`: the decoded elements of the JSON array in the text, null unless all are acceptable.
+
+    JSON null is an empty array; text after the array is ignored. As above, the result comes out of a
+    generator.
+    """
+    kept = df.columns
+    parsed = df.withColumn("_v", F.try_parse_json(value))
+    viewed = parsed.select(
+        *kept, F.is_variant_null("_v").alias("_nothing"),
+        F.transform(F.try_variant_get("_v", "$", "array<variant>"), _views).alias("_views"))
+    decoded = viewed.withColumn("_all", F.transform(
+        "_views", lambda e: _entry(e, parse_rfc3339(e["text"]["timestamp"]))))
+    none = F.array().cast(f"array<{LOG_SCHEMA.simpleString()}>")
+    whole = F.when(F.col("_nothing"), none).when(~F.exists("_all", lambda e: e.isNull()), F.col("_all"))
+    return decoded.select(*kept, F.explode_outer(F.array(whole)).alias("entries"))
 
 
 def encode_entry() -> Column:

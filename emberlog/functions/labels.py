@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def label(labels: Column, key: str) -> Column:
     """Value under `key`, with '' for a missing key or a missing map."""
-    return F.coalesce(labels.getItem(F.lit(key)), F.lit(""))
+    return F.coalesce(labels[key], F.lit(""))
 
 
 def labels_match(labels: Column, wanted: Mapping[str, str]) -> Column:

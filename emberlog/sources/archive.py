@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.functions.codec import decode_batch, encode_entry, parse_one
+from emberlog.functions.codec import decode_array, encode_entry
 from emberlog.functions.timefmt import object_key
 from emberlog.operators.ordered import SEQ_BLOCK, global_rank
 from emberlog.schema import ARCHIVE_CHUNK, LOG_COLUMNS
@@ -55,9 +55,7 @@ def _objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per readable object: its path and decoded entries, null when any element is bad."""
     text = (spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
             .text(paths, wholetext=True))
-    return text.select(
-        F.col("_metadata.file_path").alias("object"),
-        decode_batch(parse_one(F.col("value"))).alias("entries"))
+    return decode_array(text.select(F.col("_metadata.file_path").alias("object"), "value"), "value")
 
 
 def read_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.functions.codec import decode_batch, decode_entry, encode_entry, parse_one
+from emberlog.functions.codec import decode_array, decode_one, encode_entry
 from emberlog.functions.routing import routing_key
 from emberlog.functions.timefmt import fill_missing, micros
 from emberlog.schema import LOG_COLUMNS, STREAM_PARTITIONS
@@ -34,9 +34,8 @@ def decode_records(df: DataFrame, as_of: datetime | str | Column, value: str = "
     """
     kept = [c for c in df.columns if c != value and c not in LOG_COLUMNS]
     # `now` is resolved before the entry columns shadow a record's own timestamp.
-    parsed = df.select(
-        *kept, F.col(value).alias("_value"), _now(as_of).alias("_now"),
-        decode_entry(parse_one(F.col(value), allow_trailing)).alias("_entry"))
+    timed = df.select(*kept, F.col(value).alias("_value"), _now(as_of).alias("_now"))
+    parsed = decode_one(timed, "_value", allow_trailing)
     bad = F.col("_entry").isNull()
     entry = [F.when(~bad, c).alias(n) for c, n in zip(_filled("_entry", F.col("_now")), LOG_COLUMNS)]
     return parsed.select(
@@ -56,9 +55,8 @@ def quarantined(decoded: DataFrame) -> DataFrame:
 def decode_bodies(df: DataFrame, as_of: datetime | str | Column, value: str = "value") -> DataFrame:
     """Batch bodies: other columns plus `entries`, null when the body as a whole is rejected."""
     kept = [c for c in df.columns if c != value]
-    return df.select(
-        *kept, F.col(value).alias("raw"), _now(as_of).alias("_now"),
-        decode_batch(parse_one(F.col(value), allow_trailing=True)).alias("entries"))
+    timed = df.select(*kept, F.col(value).alias("raw"), _now(as_of).alias("_now"))
+    return decode_array(timed, "raw")
 
 
 def explode_bodies(df: DataFrame, as_of: datetime | str | Column, value: str = "value") -> DataFrame:
