@@ -1,6 +1,6 @@
 """Named queries over the test tables, each next to the SQL it must agree with."""
 
-from emberlog.workload import ingest, search, tiering  # noqa: F401
+from emberlog.workload import ingest, metrics, search, tiering  # noqa: F401
 from emberlog.workload.registry import QUERIES, ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]

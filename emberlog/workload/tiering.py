@@ -152,14 +152,14 @@ def compact_manifest(spark: SparkSession, sf: str) -> DataFrame:
         "n", "rows", as_micros(F.col("min_ts")).alias("min_us"), as_micros(F.col("max_ts")).alias("max_us"))
 
 
-@query(f"""WITH {LOGS_CTE} SELECT CAST("timestamp" AS DATE) AS day, count(*) AS entry_count,
+@query(f"""WITH {LOGS_CTE} SELECT strftime("timestamp", '%Y-%m-%d') AS day, count(*) AS entry_count,
     strftime(min("timestamp"), '%Y-%m-%dT%H:%M:%SZ') AS start_time,
     strftime(max("timestamp"), '%Y-%m-%dT%H:%M:%SZ') AS end_time
   FROM logs WHERE ingest_seq % 3 < 2 AND "timestamp" < TIMESTAMP '{CUTOFF}' GROUP BY 1""")
 def archive_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """Per-object manifest of the cold table, summed up per day."""
     objects = object_manifest(_stored(spark, sf).cold())
-    day = F.to_date(F.regexp_extract("object", r"dt=(\d{4}-\d{2}-\d{2})", 1))
+    day = F.regexp_extract("object", r"dt=(\d{4}-\d{2}-\d{2})", 1)
     return objects.groupBy(day.alias("day")).agg(
         F.sum("entry_count").alias("entry_count"), F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"))
