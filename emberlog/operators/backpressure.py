@@ -124,7 +124,7 @@ def hysteresis(samples: DataFrame, max_depth: int = MAX_QUEUE_DEPTH, cooldown: t
         as_micros(F.col(ts)).alias("_us"), F.col(depth).cast("long").alias("_depth"),
         (seq_block(seq) if block is None else block).alias("_block"))
 
-    def summarise(k, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         idle_exit, bounds, exits = _Block(pdf, max_depth, cooldown_us).summary()
         return pd.DataFrame({
             "_key": [k[0]], "_block": [k[1]], "_idle_exit": pd.array([idle_exit], dtype="Int64"),

@@ -177,13 +177,13 @@ def counter_increase(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {COUNTERS_CTE} SELECT event_type, epoch_us(ts) // {HOUR_US} * {HOUR_US} - o.k * {HOUR_US}
-      AS window_start, round(sum(increase), 4) AS increase, round(sum(increase) / 21600, 6) AS rate
+      AS window_start, round(sum(increase), 4) AS increase, round(sum(increase) / 21600, 9) AS rate
   FROM grown CROSS JOIN (SELECT unnest(range(6)) AS k) AS o GROUP BY 1, 2""")
 def counter_rate_6h(spark: SparkSession, sf: str) -> DataFrame:
     """Counter increase per second over six hours, every hour."""
     rates = counter_rate(
         counters(spark, sf), ["event_type"], length=6 * HOUR, step=HOUR, tie_break=["event_id"])
-    return _rounded(_rounded(rates, "rate"), "increase", 4)
+    return _rounded(_rounded(rates, "rate", 9), "increase", 4)
 
 
 def _sliding_sql(step_us: int, copies: int) -> str:
