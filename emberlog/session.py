@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "emberlog") -> SparkSession:
-    """A local session for tests and the bench; a cluster brings its own."""
-    spark = (
+def local_session(cores: int | str = 8, app: str = "emberlog", **settings: str) -> SparkSession:
+    """A local session for tests and the bench; a cluster brings its own. Dots in the names of further
+    settings are written as double underscores."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
@@ -18,22 +20,25 @@ def local_session(cores: int | str = 8, app: str = "emberlog") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    for name, value in settings.items():
+        builder = builder.config(name.replace("__", "."), value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's `spark.checkpoint.dir`.
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="emberlog-")
+
 
-    Only where that setting is absent (local tests) does it fall back to a local folder, which is
-    then recorded in the session so that every later call agrees on it.
-    """
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder under the cluster's `spark.checkpoint.dir`; only a local session without that
+    setting falls back to a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="emberlog-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"

@@ -133,8 +133,7 @@ states AS (
 
 
 def shedding_states(spark: SparkSession, sf: str) -> DataFrame:
-    block = F.floor(F.col("seq") / 4096)
-    return hysteresis(depth_samples(spark, sf), MAX_DEPTH, COOL, block=block)
+    return hysteresis(depth_samples(spark, sf), MAX_DEPTH, COOL)
 
 
 @query(f"WITH RECURSIVE {STATES_CTE} SELECT ingestor, seq, depth, accept, active, coalesce(engaged_us, -1) AS engaged_us FROM states")
@@ -146,8 +145,7 @@ def shedding_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
   FROM (SELECT *, lag(active, 1, false) OVER (PARTITION BY ingestor ORDER BY seq) AS before FROM states)
   WHERE active <> before""")
 def shedding_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return transitions(shedding_states(spark, sf), block=F.floor(F.col("seq") / 4096)).select(
-        "ingestor", "seq", "event")
+    return transitions(shedding_states(spark, sf)).select("ingestor", "seq", "event")
 
 
 @query(f"""SELECT user_id % 64 AS ingestor, count(*) FILTER (CAST(floor(value) AS BIGINT) > {MAX_DEPTH}) AS dropped
