@@ -10,6 +10,8 @@ from emberlog.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(4, "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
+    session = local_session(
+        4, "tests", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
+        spark__sql__maxMetadataStringLength="10000")
     yield session
     session.stop()

@@ -158,5 +158,5 @@ def test_archive_roundtrip_in_chunks(spark, tmp_path):
     columns = ["id", "timestamp", "source", "level", "message", "labels"]
     assert sorted(map(str, back.select(columns).collect())) == sorted(map(str, rows.select(columns).collect()))
     files = list((tmp_path / "archive").rglob("*.gz"))
-    stamps = [e["timestamp"] for e in json.loads(gzip.decompress(files[0].read_bytes()))]
+    stamps = [us(e["timestamp"]) for e in json.loads(gzip.decompress(files[0].read_bytes()))]
     assert stamps == sorted(stamps)
