@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefmt import as_micros
-from emberlog.operators.ordered import previous, running_max, time_block
+from emberlog.operators.ordered import BLOCK, order_key, time_block
 
 
 @dataclass(frozen=True)
@@ -34,24 +34,39 @@ BACKPRESSURE_ENGAGED = AlertRule("BackpressureEngaged", "warning", 1, timedelta(
 
 
 def hold_for(samples: DataFrame, keys: Sequence[str], order: Sequence[str], condition: Column, hold: timedelta,
-             ts: str = "ts") -> DataFrame:
+             ts: str = "ts", block: Column | None = None) -> DataFrame:
     """Per sample: is the condition met, how long has it held, and is the alert firing.
 
-    `order` starts with the time column and must be unique within a key. Adds `active`, `held_us` and
-    `firing`. A run begins at the first met sample after an unmet one; the newest begin so far is a
-    running maximum, so a long series is handled in blocks.
+    `order` starts with the time column and must be unique within a key; keys must not be null. Adds
+    `active`, `held_us` and `firing`. Runs are found inside time blocks; a run that is open at the end
+    of a block is carried into the next ones until an unmet sample ends it.
     """
-    block = time_block(ts)
-    marked = samples.withColumn("active", F.coalesce(condition, F.lit(False)))
-    stepped = previous(marked, keys, order, ["active"], block)
-    begins = F.col("active") & ~F.coalesce(F.col("prev_active"), F.lit(False))
-    started = stepped.withColumn("_begin", F.when(begins, as_micros(F.col(ts))))
-    running = running_max(started, keys, order, "_begin", "_since", block)
-    held = F.when(F.col("active"), as_micros(F.col(ts)) - F.col("_since"))
+    at = as_micros(F.col(ts))
+    marked = samples.withColumn("active", F.coalesce(condition, F.lit(False))).withColumn(
+        BLOCK, time_block(ts) if block is None else block)
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    begins = F.col("active") & ~F.coalesce(F.lag("active").over(inside), F.lit(False))
+    local = (marked.withColumn("_begin", F.when(begins, at))
+             .withColumn("_start", F.max("_begin").over(so_far))
+             .withColumn("_broken", F.max(~F.col("active")).over(so_far)))
+
+    ends = local.groupBy(*keys, BLOCK).agg(
+        F.max(F.col("_broken").cast("int")).alias("_broken"),
+        F.max_by(F.when(F.col("active"), F.col("_start")), order_key(samples, order)).alias("_open"))
+    by_block = Window.partitionBy(*keys).orderBy(BLOCK)
+    stretch = Window.partitionBy(*keys, "_stretch").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    # A stretch is a block with an unmet sample and the fully met blocks after it: its first open run goes on.
+    carried = (ends.withColumn("_stretch", F.sum("_broken").over(by_block))
+               .withColumn("_out", F.min("_open").over(stretch))
+               .select(*keys, BLOCK, F.lag("_out").over(by_block).alias("_carry")))
+
+    joined = local.join(carried, [*keys, BLOCK], "left")
+    since = F.when(F.col("_broken"), F.col("_start")).otherwise(F.coalesce("_carry", "_start"))
     limit = F.lit(hold // timedelta(microseconds=1))
-    return (running.withColumn("held_us", held)
-            .withColumn("firing", F.coalesce(F.col("held_us") >= limit, F.lit(False)))
-            .drop("_begin", "_since", "prev_active"))
+    return joined.withColumn("held_us", F.when(F.col("active"), at - since)).select(
+        *samples.columns, *[c for c in ("active", "held_us") if c not in samples.columns],
+        F.coalesce(F.col("held_us") >= limit, F.lit(False)).alias("firing"))
 
 
 def evaluate(rule: AlertRule, samples: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberlog.operators.ordered import order_key
+
 
 def ingest_counts(logs: DataFrame) -> DataFrame:
     """Entries by source and level."""
@@ -39,10 +41,9 @@ def storage_by_tier(table: DataFrame, tier: str) -> DataFrame:
 
 def consumer_lag(samples: DataFrame) -> DataFrame:
     """Lag of the latest sample per consumer group and partition: max(high water mark - offset - 1, 0)."""
-    latest = samples.groupBy("consumer_group", "partition").agg(
-        F.max_by(F.struct("high_water_mark", "offset"), F.struct("ts", "offset")).alias("last"))
-    lag = F.col("last.high_water_mark") - F.col("last.offset") - F.lit(1)
-    return latest.select("consumer_group", "partition", F.greatest(lag, F.lit(0)).cast("long").alias("lag"))
+    ahead = F.col("high_water_mark") - F.col("offset") - F.lit(1)
+    return samples.groupBy("consumer_group", "partition").agg(
+        F.greatest(F.max_by(ahead, order_key(samples, ["ts", "offset"])), F.lit(0)).cast("long").alias("lag"))
 
 
 def lag_by_group(lag: DataFrame) -> DataFrame:

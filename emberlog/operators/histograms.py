@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.session import settled
+
 INF = float("inf")
 
 
@@ -89,11 +91,13 @@ def quantile_of_counts(counts: Sequence[Column], edges: Sequence[float], q: floa
     return estimate
 
 
-def _locate(counts: DataFrame, by: Sequence[str], order: str, q_rank: Column) -> DataFrame:
-    """The row of each group in which the wanted rank falls, with the count before it."""
+def _locate(counts: DataFrame, by: Sequence[str], order: str, rank: Column, left: str) -> DataFrame:
+    """The row of each group in which the wanted rank falls; `left` is the rank within that row."""
     upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    marked = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_rank", q_rank)
-    return marked.filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+    marked = counts.withColumn("_upto", F.sum("_n").over(upto)).withColumn("_rank", rank)
+    inside = (F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank"))
+    return marked.filter(inside).withColumn(
+        left, F.col("_rank") - (F.col("_upto") - F.col("_n"))).drop("_upto", "_rank", "_n")
 
 
 def floor_rank_quantile(df: DataFrame, value: str, by: Sequence[str], q: float = 0.95, slots: int = 4096) -> DataFrame:
@@ -101,7 +105,8 @@ def floor_rank_quantile(df: DataFrame, value: str, by: Sequence[str], q: float =
 
     No group is ever sorted whole. Values are counted into coarse slots (by magnitude), then, inside
     the one slot that holds the rank, into `slots` even slices, and only the distinct values of one
-    slice are ranked. All three counts are partial aggregates. Nulls are ignored.
+    slice are ranked. Each of the three passes reads two columns and is a partial aggregate before its
+    shuffle; the choices in between (one row per group) are settled. Nulls are ignored.
     """
     data = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     # Monotone in the value: 32 slots per power of two, mirrored below zero.
@@ -113,23 +118,23 @@ def floor_rank_quantile(df: DataFrame, value: str, by: Sequence[str], q: float =
     slotted = data.withColumn("_slot", coarse)
     counts = slotted.groupBy(*by, "_slot").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    group = Window.partitionBy(*by)
-    rank = F.greatest(F.floor(F.sum("_n").over(group) * F.lit(q)), F.lit(1))
-    chosen = _locate(counts, by, "_slot", rank).select(
-        *by, "_slot", "_lo", "_hi", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_rank"))
+    rank = F.greatest(F.floor(F.sum("_n").over(Window.partitionBy(*by)) * F.lit(q)), F.lit(1))
+    slot = settled(_locate(counts, by, "_slot", rank, "_left"), "quantile-slot")
 
     span = F.col("_hi") - F.col("_lo")
     # One value, or infinities and NaN: a single slice.
     slice_ = F.when((span > 0) & (span < INF), F.floor((F.col("_v") - F.col("_lo")) / span * F.lit(slots))
                     ).otherwise(F.lit(0)).cast("long")
-    narrowed = slotted.join(chosen, [*by, "_slot"]).withColumn("_slice", slice_)
-    # Counted once per distinct value, so equal values of a hot group collapse before the shuffle.
-    distinct = narrowed.groupBy(*by, "_rank", "_slice", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    slices = distinct.groupBy(*by, "_rank", "_slice").agg(F.sum("_n").alias("_n"))
-    wanted = _locate(slices, by, "_slice", F.col("_rank")).select(
-        *by, "_slice", (F.col("_rank") - (F.col("_upto") - F.col("_n"))).alias("_left"))
-    last = distinct.join(wanted, [*by, "_slice"])
-    return _locate(last, by, "_v", F.col("_left")).select(*by, F.col("_v").alias("quantile"))
+    sliced = slotted.join(slot, [*by, "_slot"]).withColumn("_slice", slice_)
+    slices = sliced.groupBy(*by, "_slot", "_lo", "_hi", "_left", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    wanted = settled(
+        _locate(slices, by, "_slice", F.col("_left"), "_within").withColumnRenamed("_slice", "_wanted")
+        .drop("_left"), "quantile-slice")
+
+    last = slotted.join(wanted, [*by, "_slot"]).withColumn("_slice", slice_).filter("_slice = _wanted")
+    # Equal values of a hot group collapse before the shuffle.
+    distinct = last.groupBy(*by, "_within", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return _locate(distinct, by, "_v", F.col("_within"), "_left").select(*by, F.col("_v").alias("quantile"))
 
 
 def approximate_quantile(df: DataFrame, value: str, by: Sequence[str], q: float = 0.95, accuracy: int = 10_000) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = "_block"
 SEQ_BLOCK = 1_000_000
@@ -27,6 +28,21 @@ def time_block(ts: str, seconds: int = TIME_BLOCK_SECONDS) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000)).cast("long")
 
 
+def order_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """One comparable column for an order: a time and an integer are packed into a decimal, since an
+    aggregate over fixed-width columns hashes, while one over structs sorts its whole input."""
+    types = [df.schema[c].dataType for c in order]
+    if len(order) == 1:
+        return F.col(order[0])
+    times = (T.TimestampType, T.TimestampNTZType)
+    if len(order) == 2 and isinstance(types[0], times) and isinstance(types[1], T.IntegralType):
+        us = F.unix_micros(F.col(order[0]).cast("timestamp")).cast("decimal(18,0)")
+        # Wider than the range of a bigint, so the integer never reaches the next microsecond.
+        wide = us * F.lit("20000000000000000000").cast("decimal(20,0)")
+        return (wide + F.col(order[1]).cast("decimal(19,0)")).cast("decimal(38,0)")
+    return F.struct(*order)
+
+
 def _attach(blocked: DataFrame, carried: DataFrame, keys: Sequence[str]) -> DataFrame:
     return blocked.join(carried, [*keys, BLOCK], "left")
 
@@ -63,15 +79,18 @@ def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     data = df.withColumn(BLOCK, block)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     by_block = Window.partitionBy(*keys).orderBy(BLOCK)
-    row = F.struct(*columns)
-    last = data.groupBy(*keys, BLOCK).agg(F.max_by(row, F.struct(*order)).alias("_last"))
-    carried = last.select(*keys, BLOCK, F.lag("_last").over(by_block).alias("_carry"))
-    local = (data.withColumn("_lag", F.lag(row).over(inside))
-             .withColumn("_first", F.row_number().over(inside) == 1))
-    attached = _attach(local, carried, keys).withColumn(
-        "_prev", F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
-    return attached.select(
-        *df.columns, *[F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in columns])
+    key = order_key(df, order)
+    ends = [F.max_by(c, key).alias(f"_last_{c}") for c in columns]
+    last = data.groupBy(*keys, BLOCK).agg(*ends)
+    carried = last.select(
+        *keys, BLOCK, *[F.lag(f"_last_{c}").over(by_block).alias(f"_carry_{c}") for c in columns])
+    local = data.withColumn("_first", F.row_number().over(inside) == 1)
+    for c in columns:
+        local = local.withColumn(f"_lag_{c}", F.lag(c).over(inside))
+    attached = _attach(local, carried, keys)
+    return attached.select(*df.columns, *[
+        F.when(F.col("_first"), F.col(f"_carry_{c}")).otherwise(F.col(f"_lag_{c}")).alias(f"{prefix}{c}")
+        for c in columns])
 
 
 def global_rank(df: DataFrame, seq: str, out: str, size: int = SEQ_BLOCK) -> DataFrame:

@@ -109,18 +109,19 @@ def summarize(
     hot: DataFrame, cold: DataFrame, query: LogQuery, as_of: datetime | str,
     cold_age: timedelta = COLD_AGE, arrival: Sequence[str] = ("ingest_seq",), uncompacted: bool = True,
 ) -> DataFrame:
-    """One row: total_count (after the limit), matched_count (before it) and the request's tier."""
-    args = (hot, cold, query, as_of, cold_age, arrival, uncompacted)
-    total = search(*args).agg(F.count(F.lit(1)).alias("total_count"))
-    matched = matches(*args).agg(F.count(F.lit(1)).alias("matched_count"))
-    # Both sides are a single aggregate row.
-    tier = query.route(as_of, cold_age).tier
-    merged = total.withColumn("matched_count", F.lit(None).cast("long")).unionByName(
-        matched.withColumn("total_count", F.lit(None).cast("long")))
-    return merged.agg(
-        F.max("total_count").alias("total_count"),
-        F.max("matched_count").alias("matched_count"),
-    ).withColumn("tier", F.lit(tier))
+    """One row: total_count (after the limit), matched_count (before it) and the request's tier.
+
+    Both follow from the matches per tier, so this is one aggregate without any sort.
+    """
+    found = matches(hot, cold, query, as_of, cold_age, arrival, uncompacted)
+    per_tier = found.groupBy("tier").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.coalesce(F.sum(F.least(F.col("_n"), F.lit(query.tier_limit))), F.lit(0))
+    if query.limit or query.order == "newest":
+        total = F.least(total, F.lit(query.tier_limit))
+    return per_tier.agg(
+        total.cast("long").alias("total_count"),
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("matched_count"),
+    ).withColumn("tier", F.lit(query.route(as_of, cold_age).tier))
 
 
 def envelope(

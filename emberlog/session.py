@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, app: str = "emberlog", **settings: str) -> SparkSession:
@@ -42,3 +42,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_folder()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a reduced table to the shared folder and read it back.
+
+    It is then computed once, survives lost executors, and has a known size, so Spark broadcasts it in
+    a join when it is small and shuffles both sides when it is not.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -97,9 +97,8 @@ def depth_changes(spark: SparkSession, sf: str) -> DataFrame:
     sum(CASE WHEN event_type IN ('click', 'view', 'signup') THEN event_id % 50 + 1 ELSE -(event_id % 50 + 1) END)
       OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS depth FROM events""")
 def queue_depth(spark: SparkSession, sf: str) -> DataFrame:
-    """Depth after every change; blocks are small here so that their seams are exercised."""
-    block = F.floor(F.col("seq") / 256)
-    return running_depth(depth_changes(spark, sf), block=block).select("ingestor", "seq", "depth")
+    """Depth after every change."""
+    return running_depth(depth_changes(spark, sf)).select("ingestor", "seq", "depth")
 
 
 MAX_DEPTH = 60

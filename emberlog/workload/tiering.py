@@ -12,12 +12,12 @@ from emberlog.operators.counters import acknowledged, storage_by_tier, tier_coun
 from emberlog.operators.retention import drain, evict, lateness
 from emberlog.plans.query import LogQuery
 from emberlog.plans.search import with_position
-from emberlog.schema import ARRIVAL, LOG_SCHEMA
+from emberlog.schema import ARCHIVE_CHUNK, ARRIVAL
 from emberlog.session import shared_dir
 from emberlog.sources.archive import chunks, read_archive, skipped_objects, write_archive
 from emberlog.sources.tables import LogTables, object_manifest
 from emberlog.workload.fixtures import (
-    AS_OF, AS_OF_US, CUTOFF, LOGS_CTE, OUT_SQL, RETENTION_CUTOFF, LOG_OUT, logs, out, table,
+    AS_OF, AS_OF_US, CUTOFF, LOGS_CTE, OUT_SQL, RETENTION_CUTOFF, logs, out,
 )
 from emberlog.workload.registry import query
 from emberlog.workload.search import TIERED, TIERED_SQL
@@ -53,20 +53,19 @@ def entries_by_tier(spark: SparkSession, sf: str) -> DataFrame:
     return tier_counts(hot.select(F.lit("hot").alias("tier")).unionByName(cold.select(F.lit("cold").alias("tier"))))
 
 
-CHUNK_ROWS = 1000
 ARCHIVED_CTE = LOGS_CTE + f""",
 aged AS (SELECT *, row_number() OVER (ORDER BY ingest_seq) - 1 AS place FROM logs
          WHERE "timestamp" < TIMESTAMP '{CUTOFF}')"""
 
 
-@query(f"""WITH {ARCHIVED_CTE}, c AS (SELECT place // {CHUNK_ROWS} AS chunk, min("timestamp") AS first,
+@query(f"""WITH {ARCHIVED_CTE}, c AS (SELECT place // {ARCHIVE_CHUNK} AS chunk, min("timestamp") AS first,
       max("timestamp") AS last, count(*) AS entry_count FROM aged GROUP BY 1)
   SELECT chunk, entry_count, 'logs/' || strftime(first, '%Y/%m/%d') || '/' || (epoch_us(first) * 1000) || '.json.gz'
     AS object, epoch_us(first) AS start_us, epoch_us(last) AS end_us FROM c""")
 def archive_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The archive objects of a compaction: runs of rows in arrival order."""
     cold, _ = drain(logs(spark, sf), AS_OF)
-    return chunks(cold, chunk_rows=CHUNK_ROWS).select(
+    return chunks(cold).select(
         "chunk", "entry_count", "object", as_micros(F.col("start_time")).alias("start_us"),
         as_micros(F.col("end_time")).alias("end_us"))
 
@@ -77,19 +76,19 @@ def archive_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Entries written as gzip JSON arrays and read back."""
     cold, _ = drain(logs(spark, sf), AS_OF)
     path = shared_dir(spark, "archive")
-    write_archive(cold, path, chunk_rows=CHUNK_ROWS)
+    write_archive(cold, path)
     back = read_archive(spark, path)
     return back.select(
         "id", as_micros(F.col("timestamp")).alias("ts_us"), "source", "level", "message",
         F.col("labels")["k"].alias("label_k"), "trace_id")
 
 
-@query(f"""WITH {ARCHIVED_CTE} SELECT count(DISTINCT place // {CHUNK_ROWS}) AS objects, 0 AS skipped FROM aged""")
+@query(f"""WITH {ARCHIVED_CTE} SELECT count(DISTINCT place // {ARCHIVE_CHUNK}) AS objects, 0 AS skipped FROM aged""")
 def archive_skipped(spark: SparkSession, sf: str) -> DataFrame:
     """Objects of an archive, and how many of them cannot be read."""
     cold, _ = drain(logs(spark, sf), AS_OF)
     path = shared_dir(spark, "archive")
-    write_archive(cold, path, chunk_rows=CHUNK_ROWS)
+    write_archive(cold, path)
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
               .select(F.lit(0).alias("skipped")))
     skipped = skipped_objects(spark, path).select(F.lit(1).alias("skipped"))

@@ -156,15 +156,16 @@ def hold_python(rows, hold_us):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_hold_for(spark, seed):
+@pytest.mark.parametrize("seed", range(4))
+@pytest.mark.parametrize("seconds", [20, 300, 3600])
+def test_hold_for(spark, seed, seconds):
     rng = random.Random(seed)
     rows, us = [], 0
     for seq in range(300):
         us += rng.choice([0, 15, 15, 15, 200, 900]) * 1_000_000
-        rows.append((rng.choice("aab"), us, seq, rng.random() < 0.8))
+        rows.append((rng.choice("aab"), us, seq, rng.random() < (0.8, 0.97, 0.3, 1.0)[seed]))
     df = spark.createDataFrame(rows, "k string, us long, seq long, cond boolean").withColumn("ts", F.timestamp_micros("us"))
-    judged = hold_for(df, ["k"], ["ts", "seq"], F.col("cond"), timedelta(minutes=5)).collect()
+    judged = hold_for(df, ["k"], ["ts", "seq"], F.col("cond"), timedelta(minutes=5), block=time_block("ts", seconds)).collect()
     assert {(r.k, r.seq): (r.active, r.held_us, r.firing) for r in judged} == hold_python(rows, 300_000_000)
 
 
