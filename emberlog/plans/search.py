@@ -102,7 +102,7 @@ def search(
 def with_position(result: DataFrame, order: str = "arrival", arrival: Sequence[str] = ("ingest_seq",)) -> DataFrame:
     """Add the 1-based position of each row of a search result (at most two limits of rows)."""
     keys = _orders(arrival)["newest" if order == "newest" else "merged"]
-    return result.withColumn("position", F.row_number().over(Window.orderBy(*keys)))
+    return result.withColumn("position", F.row_number().over(Window.orderBy(*keys)).cast("long"))
 
 
 def summarize(

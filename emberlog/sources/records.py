@@ -63,8 +63,9 @@ def explode_bodies(df: DataFrame, as_of: datetime | str | Column, value: str = "
     """One row per entry of the accepted bodies, with its index; all of a body share one fill time."""
     bodies = decode_bodies(df, as_of, value)
     kept = [c for c in bodies.columns if c not in ("raw", "_now", "entries")]
-    exploded = bodies.select(*kept, "_now", F.posexplode("entries").alias("entry_index", "_entry"))
-    return exploded.select(*kept, "entry_index", *_filled("_entry", F.col("_now")))
+    exploded = bodies.select(*kept, "_now", F.posexplode("entries").alias("_index", "_entry"))
+    return exploded.select(
+        *kept, F.col("_index").cast("long").alias("entry_index"), *_filled("_entry", F.col("_now")))
 
 
 def rejected_bodies(df: DataFrame, as_of: datetime | str | Column, value: str = "value") -> DataFrame:
@@ -76,7 +77,7 @@ def acknowledgements(df: DataFrame, as_of: datetime | str | Column, value: str =
     """Per body: `accepted`, and the number of entries ingested (0 for a rejected body)."""
     bodies = decode_bodies(df, as_of, value)
     return bodies.withColumn("accepted", F.col("entries").isNotNull()).withColumn(
-        "ingested", F.when(F.col("accepted"), F.size("entries")).otherwise(F.lit(0))
+        "ingested", F.when(F.col("accepted"), F.size("entries")).otherwise(F.lit(0)).cast("long")
     ).drop("raw", "_now", "entries")
 
 

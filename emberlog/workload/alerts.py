@@ -94,8 +94,8 @@ def depth_changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT user_id % 8 AS ingestor, event_id AS seq,
-    sum(CASE WHEN event_type IN ('click', 'view', 'signup') THEN event_id % 50 + 1 ELSE -(event_id % 50 + 1) END)
-      OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS depth FROM events""")
+    CAST(sum(CASE WHEN event_type IN ('click', 'view', 'signup') THEN event_id % 50 + 1 ELSE -(event_id % 50 + 1) END)
+      OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS BIGINT) AS depth FROM events""")
 def queue_depth(spark: SparkSession, sf: str) -> DataFrame:
     """Depth after every change."""
     return running_depth(depth_changes(spark, sf)).select("ingestor", "seq", "depth")

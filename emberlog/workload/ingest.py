@@ -137,7 +137,7 @@ def source_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {LOGS_CTE} SELECT CASE WHEN trace_id <> '' THEN trace_id
-    ELSE CAST({_fnv_sql('source')} AS VARCHAR) END AS key, count(*) AS records, 1 AS partitions,
+    ELSE CAST({_fnv_sql('source')} AS VARCHAR) END AS key, count(*) AS records, 1::BIGINT AS partitions,
     true AS in_range FROM logs GROUP BY ALL""")
 def routing_spread(spark: SparkSession, sf: str) -> DataFrame:
     """Every key lands in exactly one stream partition."""

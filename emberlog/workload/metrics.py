@@ -242,7 +242,7 @@ def consumer_lag_by_partition(spark: SparkSession, sf: str) -> DataFrame:
     return consumer_lag(lag_samples(spark, sf))
 
 
-@query(f"WITH {LAG_CTE} SELECT consumer_group, sum(lag) AS lag FROM latest GROUP BY 1")
+@query(f"WITH {LAG_CTE} SELECT consumer_group, CAST(sum(lag) AS BIGINT) AS lag FROM latest GROUP BY 1")
 def consumer_lag_by_group(spark: SparkSession, sf: str) -> DataFrame:
     return lag_by_group(consumer_lag(lag_samples(spark, sf)))
 

@@ -47,7 +47,7 @@ def _ingested(spark: SparkSession, sf: str) -> tuple[LogTables, DataFrame]:
     return tables, progress_rows(spark, job)
 
 
-@query(f"""WITH {DECODED_CTE} SELECT event_id AS "offset", event_id % 12 AS partition, id, ts_us, source, level,
+@query(f"""WITH {DECODED_CTE} SELECT event_id AS "offset", CAST(event_id % 12 AS INTEGER) AS partition, id, ts_us, source, level,
     message, label_k, trace_id FROM decoded""")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """Records streamed into the hot table; missing timestamps take the record's."""
@@ -55,7 +55,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return decoded_out(tables.hot(), "offset", "partition")
 
 
-@query(f"""SELECT event_id AS "offset", event_id % 12 AS partition, 'unmarshal' AS error_type FROM events
+@query(f"""SELECT event_id AS "offset", CAST(event_id % 12 AS INTEGER) AS partition, 'unmarshal' AS error_type FROM events
     WHERE event_id % 50 IN {REJECTED}""")
 def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     tables, _ = _ingested(spark, sf)
@@ -93,7 +93,7 @@ def _redelivered(spark: SparkSession, sf: str) -> DataFrame:
 
 REDELIVERED_SQL = """SELECT event_id AS ingest_seq, CASE WHEN event_id % 7 = 0 THEN ''
     ELSE CAST(event_id AS VARCHAR) END AS id,
-    CASE WHEN event_id % 7 = 0 AND event_id % 10 = 0 THEN 3 ELSE 1 END AS rows FROM events"""
+    CASE WHEN event_id % 7 = 0 AND event_id % 10 = 0 THEN 3 ELSE 1 END::BIGINT AS rows FROM events"""
 
 
 @query(REDELIVERED_SQL)

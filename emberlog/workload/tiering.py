@@ -83,7 +83,7 @@ def archive_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         F.col("labels")["k"].alias("label_k"), "trace_id")
 
 
-@query(f"""WITH {ARCHIVED_CTE} SELECT count(DISTINCT place // {ARCHIVE_CHUNK}) AS objects, 0 AS skipped FROM aged""")
+@query(f"""WITH {ARCHIVED_CTE} SELECT count(DISTINCT place // {ARCHIVE_CHUNK}) AS objects, 0::BIGINT AS skipped FROM aged""")
 def archive_skipped(spark: SparkSession, sf: str) -> DataFrame:
     """Objects of an archive, and how many of them cannot be read."""
     cold, _ = drain(logs(spark, sf), AS_OF)
@@ -142,7 +142,7 @@ def compact_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {LOGS_CTE}, moved AS (SELECT "timestamp" AS ts,
-      CASE WHEN ingest_seq % 3 = 0 AND "timestamp" < TIMESTAMP '2024-01-19 18:00:00' THEN 0 ELSE 1 END AS n
+      CASE WHEN ingest_seq % 3 = 0 AND "timestamp" < TIMESTAMP '2024-01-19 18:00:00' THEN 0 ELSE 1 END::BIGINT AS n
     FROM logs WHERE ingest_seq % 3 < 2 AND "timestamp" < TIMESTAMP '{CUTOFF}')
   SELECT n, count(*) AS rows, epoch_us(min(ts)) AS min_us, epoch_us(max(ts)) AS max_us FROM moved GROUP BY n""")
 def compact_manifest(spark: SparkSession, sf: str) -> DataFrame:
