@@ -100,6 +100,13 @@ def _locate(counts: DataFrame, by: Sequence[str], order: str, rank: Column, left
         left, F.col("_rank") - (F.col("_upto") - F.col("_n"))).drop("_upto", "_rank", "_n")
 
 
+def _join_groups(rows: DataFrame, chosen: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on columns that may be null."""
+    renamed = chosen.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in chosen.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return rows.join(renamed, same).drop(*[f"_on_{c}" for c in on])
+
+
 def floor_rank_quantile(df: DataFrame, value: str, by: Sequence[str], q: float = 0.95, slots: int = 4096) -> DataFrame:
     """Exact quantile: the value at 1-based position max(floor(n * q), 1) of each sorted group.
 
@@ -125,13 +132,13 @@ def floor_rank_quantile(df: DataFrame, value: str, by: Sequence[str], q: float =
     # One value, or infinities and NaN: a single slice.
     slice_ = F.when((span > 0) & (span < INF), F.floor((F.col("_v") - F.col("_lo")) / span * F.lit(slots))
                     ).otherwise(F.lit(0)).cast("long")
-    sliced = slotted.join(slot, [*by, "_slot"]).withColumn("_slice", slice_)
+    sliced = _join_groups(slotted, slot, [*by, "_slot"]).withColumn("_slice", slice_)
     slices = sliced.groupBy(*by, "_slot", "_lo", "_hi", "_left", "_slice").agg(F.count(F.lit(1)).alias("_n"))
     wanted = settled(
         _locate(slices, by, "_slice", F.col("_left"), "_within").withColumnRenamed("_slice", "_wanted")
         .drop("_left"), "quantile-slice")
 
-    last = slotted.join(wanted, [*by, "_slot"]).withColumn("_slice", slice_).filter("_slice = _wanted")
+    last = _join_groups(slotted, wanted, [*by, "_slot"]).withColumn("_slice", slice_).filter("_slice = _wanted")
     # Equal values of a hot group collapse before the shuffle.
     distinct = last.groupBy(*by, "_within", "_v").agg(F.count(F.lit(1)).alias("_n"))
     return _locate(distinct, by, "_v", F.col("_within"), "_left").select(*by, F.col("_v").alias("quantile"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.labels import labels_match, message_contains
-from emberlog.functions.timefmt import column_type, time_literal, utc
+from emberlog.functions.timefmt import ZERO_TIME, column_type, time_literal, utc
 from emberlog.schema import COLD_AGE, DEFAULT_LIMIT, DEFAULT_RANGE
 
 
@@ -53,6 +53,18 @@ class LogQuery:
         if self.order not in ("arrival", "newest"):
             raise ValueError(f"unknown order {self.order!r}")
 
+    @classmethod
+    def from_request(cls, body: Mapping) -> LogQuery:
+        """From a decoded request body: start_time, end_time, source, level, query, labels, limit; all optional."""
+        def instant(name: str) -> datetime | None:
+            text = body.get(name)
+            return None if not text or utc(text) == utc(ZERO_TIME) else utc(text)
+
+        return cls(
+            start=instant("start_time"), end=instant("end_time"), source=body.get("source") or "",
+            level=body.get("level") or "", text=body.get("query") or "", labels=dict(body.get("labels") or {}),
+            limit=body.get("limit") or 0)
+
     def with_defaults(self, as_of: datetime | str) -> LogQuery:
         """Missing ends become [as_of - 1 h, as_of], each on its own.
 

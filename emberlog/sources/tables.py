@@ -79,12 +79,18 @@ class LogTables:
         return self._hot("bad").select("raw", "error_type", *ARRIVAL)
 
     def hot(self) -> DataFrame:
-        """Good rows that no committed compaction has moved."""
+        """Good rows that no committed compaction has moved.
+
+        Batches after the last compaction are chosen by directory; of the earlier ones only rows at or
+        after its cutoff are left, a bound that reaches the Parquet scan.
+        """
         rows = self.stored()
         last = self.last_compaction()
         if last is None:
             return rows
-        return rows.filter(~self._moved(last["upto_run"], last["upto_batch"], last["cutoff_us"]))
+        upto = self._upto(last["upto_run"], last["upto_batch"])
+        left = F.col("timestamp") >= F.timestamp_micros(F.lit(last["cutoff_us"]))
+        return rows.filter(~upto).unionByName(rows.filter(upto & left))
 
     def committed_batch(self) -> tuple[int, int] | None:
         """Largest (run, batch_id) whose write has finished."""

@@ -174,7 +174,7 @@ def stored_batches(spark: SparkSession, sf: str) -> DataFrame:
 def storage_bytes(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes and objects of the cold table and of the hot table's files."""
     tables = _stored(spark, sf)
-    return storage_by_tier(tables.cold(), "cold").unionByName(storage_by_tier(tables.hot(), "hot"))
+    return storage_by_tier(tables.cold(), "cold").unionByName(storage_by_tier(tables.stored(), "hot"))
 
 
 @query(f"""WITH {LOGS_CTE} SELECT {OUT_SQL} FROM logs

@@ -74,6 +74,7 @@ def test_floor_rank_quantile(spark, seed):
         "signed": [rng.uniform(-5, 5) for _ in range(333)], "zero": [0.0] * 7, "close": [1 + i * 1e-12 for i in range(100)],
         "inf": [1.0] * 5 + [INF] * 5, "negative": [-10 ** rng.uniform(-3, 3) for _ in range(40)],
     }
+    groups[None] = [2.0, 7.0, 9.0]
     rows = [(k, v) for k, vs in groups.items() for v in vs] + [("one", None)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "k string, v double")

@@ -92,6 +92,14 @@ def test_default_range():
     assert only_end.start > only_end.end
 
 
+def test_from_request():
+    assert LogQuery.from_request({"source": "api", "limit": 100}) == LogQuery(source="api", limit=100)
+    full = LogQuery.from_request({
+        "start_time": "2024-03-10T12:00:00Z", "end_time": "0001-01-01T00:00:00Z", "level": "ERROR", "query": "x",
+        "labels": {"a": "b"}})
+    assert (full.start, full.end, full.level, full.text, full.labels) == (NOW, None, "ERROR", "x", {"a": "b"})
+
+
 def test_only_an_old_end_finds_nothing(spark):
     rows = logs(spark, batch(10, "api", NOW - 3 * HOUR))
     assert run(spark, rows, LogQuery(end=NOW - 2 * HOUR)) == []

@@ -84,6 +84,16 @@ def test_every_row_is_visible_exactly_once(spark, tables):
         assert sorted(ids(tables.hot()) + ids(tables.cold())) == sorted(written)
 
 
+def test_hot_prunes_moved_batches(spark, tables):
+    tables.append(plain(spark, batch(2, "a", NOW - 7 * HOUR)), 0)
+    tables.compact(NOW)
+    tables.append(plain(spark, batch(2, "b", NOW)), 1)
+    text = plan(tables.hot())
+    assert text.count("Scan parquet") == 2
+    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp" in text
+    assert ids(tables.hot()) == ["b-0", "b-1"]
+
+
 def test_cutoffs_do_not_go_back(spark, tables):
     tables.append(plain(spark, batch(2, "a", NOW - 7 * HOUR)), 0)
     tables.compact(NOW)
