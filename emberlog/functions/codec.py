@@ -36,8 +36,8 @@ def _views(v: Column) -> Column:
         F.is_variant_null(v).alias("nothing"))
 
 
-def _entry(views: Column, stamp: Column) -> Column:
-    """Struct of the entry, null when it is rejected; `stamp` is its parsed timestamp."""
+def _acceptable(views: Column, stamp: Column) -> Column:
+    """Is this an entry; `stamp` is its parsed timestamp."""
     text, found = views["text"], views["found"]
     ok = found.isNotNull() & (text["timestamp"].isNull() | stamp.isNotNull())
     for f in TEXT_FIELDS:
@@ -45,21 +45,31 @@ def _entry(views: Column, stamp: Column) -> Column:
     flat = F.forall(F.map_values(text["labels"]), _text_like)
     no_labels = found["labels"].isNull() | F.is_variant_null(found["labels"])
     ok = ok & (no_labels | F.coalesce(flat, F.lit(False)))
+    return views["nothing"] | F.coalesce(ok, F.lit(False))
+
+
+def _values(text: Column, stamp: Column) -> dict[str, Column]:
+    """The entry's columns by name."""
     labels = F.transform_values(
         text["labels"], lambda _, x: F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")))
     parts = {f: text[f] for f in TEXT_FIELDS} | {"timestamp": stamp, "labels": labels}
-    return F.when(
-        views["nothing"] | F.coalesce(ok, F.lit(False)),
-        F.struct(*[parts[f].alias(f) for f in LOG_SCHEMA.fieldNames()]))
+    return {f: parts[f] for f in LOG_SCHEMA.fieldNames()}
+
 
+def _settled_here(value: Column) -> Column:
+    """The same value, made non-deterministic (a random number is never negative): a later filter on it
+    is then evaluated above this projection, instead of being pushed below, where it would repeat the
+    parsing in its condition."""
+    return F.when(F.rand(0) * 2 >= 0, value)
 
-def decode_one(df: DataFrame, value: str, allow_trailing: bool = False) -> DataFrame:
-    """Add `_entry`: the struct of the one entry in the text, null when it is rejected.
+
+def decode_one(df: DataFrame, value: str, allow_trailing: bool = False) -> tuple[DataFrame, Column, dict[str, Column]]:
+    """The rows with working columns added, a column that says whether the text is one acceptable
+    entry, and the entry's columns by name (of use only where it is).
 
     Text after the entry is an error unless `allow_trailing` (a request body reader stops after the
     first value, a stream record must be exactly one). The steps are projections of their own, so
-    each text is parsed and cast once. The result comes out of a generator, because a later filter
-    on it would otherwise be pushed below and repeat the parsing in its condition.
+    each text is parsed and cast once.
     """
     kept = df.columns
     if allow_trailing:
@@ -71,26 +81,33 @@ def decode_one(df: DataFrame, value: str, allow_trailing: bool = False) -> DataF
         parsed = listed.withColumn("_v", F.when(alone, F.try_variant_get("_v", "$[0]", "variant")))
     viewed = parsed.select(*kept, _views(F.col("_v")).alias("_views"))
     stamped = viewed.withColumn("_stamp", parse_rfc3339(F.col("_views.text.timestamp")))
-    entry = _entry(F.col("_views"), F.col("_stamp"))
-    return stamped.select(*kept, F.explode_outer(F.array(entry)).alias("_entry"))
+    ok = _acceptable(F.col("_views"), F.col("_stamp"))
+    judged = stamped.select(
+        *kept, F.col("_views.text").alias("_text"), "_stamp", _settled_here(ok).alias("_ok"))
+    return judged, F.col("_ok"), _values(F.col("_text"), F.col("_stamp"))
+
+
+def _element(views: Column) -> Column:
+    """Struct of one entry inside an array, null when it is rejected."""
+    stamp = parse_rfc3339(views["text"]["timestamp"])
+    parts = _values(views["text"], stamp)
+    return F.when(_acceptable(views, stamp), F.struct(*[c.alias(f) for f, c in parts.items()]))
 
 
 def decode_array(df: DataFrame, value: str) -> DataFrame:
     """Add `entries`: the decoded elements of the JSON array in the text, null unless all are acceptable.
 
-    JSON null is an empty array; text after the array is ignored. As above, the result comes out of a
-    generator.
+    JSON null is an empty array; text after the array is ignored.
     """
     kept = df.columns
     parsed = df.withColumn("_v", F.try_parse_json(value))
     viewed = parsed.select(
         *kept, F.is_variant_null("_v").alias("_nothing"),
         F.transform(F.try_variant_get("_v", "$", "array<variant>"), _views).alias("_views"))
-    decoded = viewed.withColumn("_all", F.transform(
-        "_views", lambda e: _entry(e, parse_rfc3339(e["text"]["timestamp"]))))
+    decoded = viewed.withColumn("_all", F.transform("_views", _element))
     none = F.array().cast(f"array<{LOG_SCHEMA.simpleString()}>")
     whole = F.when(F.col("_nothing"), none).when(~F.exists("_all", lambda e: e.isNull()), F.col("_all"))
-    return decoded.select(*kept, F.explode_outer(F.array(whole)).alias("entries"))
+    return decoded.select(*kept, _settled_here(whole).alias("entries"))
 
 
 def encode_entry() -> Column:

@@ -62,10 +62,8 @@ def rfc3339_seconds(ts: Column) -> Column:
 
 
 def rfc3339_micros(ts: Column) -> Column:
-    """RFC 3339 with the shortest fraction: trailing zeros, and then a bare point, are dropped."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.rtrim(F.date_format(ts, ".SSSSSS"), F.lit("0"))
-    return F.concat(whole, F.when(fraction == ".", "").otherwise(fraction), F.date_format(ts, "XXX"))
+    """RFC 3339 with the shortest fraction, which is how a timestamp casts to text."""
+    return F.concat(F.translate(ts.cast("string"), " ", "T"), F.date_format(ts, "XXX"))
 
 
 def date_key(ts: Column) -> Column:

@@ -27,13 +27,12 @@ def chunks(logs: DataFrame, seq: str = "ingest_seq", chunk_rows: int = ARCHIVE_C
         encode_entry().alias("json"))
     return (
         ranked.withColumn("chunk", F.floor((F.col("_rank") - 1) / F.lit(chunk_rows)).cast("long"))
-        .groupBy("chunk").agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+        .groupBy("chunk").agg(
+            F.sort_array(F.collect_list(entry)).alias("_rows"), F.count(F.lit(1)).alias("entry_count"),
+            F.min(F.col("timestamp").cast("timestamp")).alias("start_time"),
+            F.max(F.col("timestamp").cast("timestamp")).alias("end_time"))
         .select(
-            "chunk",
-            object_key(F.col("_rows")[0]["timestamp"]).alias("object"),
-            F.size("_rows").cast("long").alias("entry_count"),
-            F.col("_rows")[0]["timestamp"].alias("start_time"),
-            F.element_at("_rows", -1)["timestamp"].alias("end_time"),
+            "chunk", object_key(F.col("start_time")).alias("object"), "entry_count", "start_time", "end_time",
             F.concat(F.lit("["), F.array_join(F.transform("_rows", lambda r: r["json"]), ","), F.lit("]"))
             .alias("value"),
         )

@@ -17,14 +17,6 @@ def _now(as_of: datetime | str | Column) -> Column:
     return as_of if isinstance(as_of, Column) else F.timestamp_micros(F.lit(micros(as_of)))
 
 
-def _filled(entry: str, now: Column) -> list[Column]:
-    return [
-        fill_missing(F.col(f"{entry}.timestamp"), now).alias(c) if c == "timestamp"
-        else F.col(f"{entry}.{c}").alias(c)
-        for c in LOG_COLUMNS
-    ]
-
-
 def decode_records(df: DataFrame, as_of: datetime | str | Column, value: str = "value",
                    error_type: str = "unmarshal", allow_trailing: bool = False) -> DataFrame:
     """One output row per input row: the entry columns plus `raw` and `error_type`.
@@ -35,13 +27,12 @@ def decode_records(df: DataFrame, as_of: datetime | str | Column, value: str = "
     kept = [c for c in df.columns if c != value and c not in LOG_COLUMNS]
     # `now` is resolved before the entry columns shadow a record's own timestamp.
     timed = df.select(*kept, F.col(value).alias("_value"), _now(as_of).alias("_now"))
-    parsed = decode_one(timed, "_value", allow_trailing)
-    bad = F.col("_entry").isNull()
-    entry = [F.when(~bad, c).alias(n) for c, n in zip(_filled("_entry", F.col("_now")), LOG_COLUMNS)]
+    parsed, ok, entry = decode_one(timed, "_value", allow_trailing)
+    entry["timestamp"] = fill_missing(entry["timestamp"], F.col("_now"))
     return parsed.select(
-        *entry, *kept,
-        F.when(bad, F.col("_value")).alias("raw"),
-        F.when(bad, F.lit(error_type)).alias("error_type"))
+        *[F.when(ok, c).alias(n) for n, c in entry.items()], *kept,
+        F.when(~ok, F.col("_value")).alias("raw"),
+        F.when(~ok, F.lit(error_type)).alias("error_type"))
 
 
 def good(decoded: DataFrame) -> DataFrame:
@@ -64,8 +55,10 @@ def explode_bodies(df: DataFrame, as_of: datetime | str | Column, value: str = "
     bodies = decode_bodies(df, as_of, value)
     kept = [c for c in bodies.columns if c not in ("raw", "_now", "entries")]
     exploded = bodies.select(*kept, "_now", F.posexplode("entries").alias("_index", "_entry"))
+    filled = fill_missing(F.col("_entry.timestamp"), F.col("_now"))
+    entry = [(filled if c == "timestamp" else F.col(f"_entry.{c}")).alias(c) for c in LOG_COLUMNS]
     return exploded.select(
-        *kept, F.col("_index").cast("long").alias("entry_index"), *_filled("_entry", F.col("_now")))
+        *kept, F.col("_index").cast("long").alias("entry_index"), *entry)
 
 
 def rejected_bodies(df: DataFrame, as_of: datetime | str | Column, value: str = "value") -> DataFrame:
