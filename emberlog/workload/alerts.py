@@ -50,25 +50,24 @@ def alert_hold_for(spark: SparkSession, sf: str) -> DataFrame:
 
 
 P95_SQL = f"""
-    slotted AS (SELECT tier, epoch_us(ts) // {HOUR_US} * {HOUR_US} AS slot, le, count(*) FILTER (seconds * 3 <= le) AS n
-      FROM latencies CROSS JOIN {_bounds_sql(QUERY_BOUNDS)} GROUP BY 1, 2, 3),
-    b AS (SELECT tier, slot - o.k * {HOUR_US} AS window_start, le, sum(n) AS count
-      FROM slotted CROSS JOIN (SELECT unnest(range(2)) AS k) AS o GROUP BY 1, 2, 3),
-    {_quantile_sql('b', 'tier, window_start')},
-    p95 AS (SELECT tier, make_timestamp(window_start) AS ts, round(quantile, 6) AS value FROM found)"""
+    slotted AS (SELECT epoch_us(ts) // {HOUR_US} * {HOUR_US} AS slot, le, count(*) FILTER (seconds * 3.5 <= le) AS n
+      FROM latencies CROSS JOIN {_bounds_sql(QUERY_BOUNDS)} GROUP BY 1, 2),
+    b AS (SELECT slot - o.k * {HOUR_US} AS window_start, le, sum(n) AS count
+      FROM slotted CROSS JOIN (SELECT unnest(range(2)) AS k) AS o GROUP BY 1, 2),
+    {_quantile_sql('b', 'window_start')},
+    p95 AS (SELECT make_timestamp(window_start) AS ts, round(quantile, 6) AS value FROM found)"""
 
 
-@query(f"""WITH {LATENCIES_CTE}, {P95_SQL}, {_hold_sql('p95', 'tier', 'ts', 'value > 0.5', 300_000_000)}
-    SELECT tier, epoch_us(ts) AS ts_us, value, active, coalesce(held_us, -1) AS held_us, firing, 'HighQueryLatency' AS alert,
+@query(f"""WITH {LATENCIES_CTE}, {P95_SQL}, {_hold_sql('p95', '1', 'ts', 'value > 0.5', 300_000_000)}
+    SELECT epoch_us(ts) AS ts_us, value, active, coalesce(held_us, -1) AS held_us, firing, 'HighQueryLatency' AS alert,
            'warning' AS severity FROM judged""")
 def alert_high_query_latency(spark: SparkSession, sf: str) -> DataFrame:
-    """The latency alert over a sliding p95 per tier."""
-    timed = latencies(spark, sf).withColumn("seconds", F.col("seconds") * 3)
-    p95 = sliding_quantile(timed, "ts", "seconds", QUERY_BOUNDS, ["tier"], length=2 * HOUR, step=HOUR)
-    samples = p95.select(
-        "tier", F.timestamp_micros("window_start").alias("ts"), F.round("quantile", 6).alias("value"))
-    return high_query_latency(samples, ["tier"], ["ts"]).select(
-        "tier", F.unix_micros("ts").alias("ts_us"), "value", "active", or_minus_one("held_us"), "firing", "alert", "severity")
+    """The latency alert over a sliding p95 of all tiers together."""
+    timed = latencies(spark, sf).withColumn("seconds", F.col("seconds") * 3.5)
+    p95 = sliding_quantile(timed, "ts", "seconds", QUERY_BOUNDS, [], length=2 * HOUR, step=HOUR)
+    samples = p95.select(F.timestamp_micros("window_start").alias("ts"), F.round("quantile", 6).alias("value"))
+    return high_query_latency(samples, [], ["ts"]).select(
+        F.unix_micros("ts").alias("ts_us"), "value", "active", or_minus_one("held_us"), "firing", "alert", "severity")
 
 
 @query(f"""WITH samples AS (SELECT 'group-' || (user_id % 7) AS consumer_group, event_id, ts,
