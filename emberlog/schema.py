@@ -80,7 +80,6 @@ DEFAULT_RANGE = timedelta(hours=1)
 DEFAULT_LIMIT = 1000
 ARCHIVE_CHUNK = 10_000
 STREAM_PARTITIONS = 12
-BATCH_ROWS = 100
 BATCH_SECONDS = 2
 MAX_QUEUE_DEPTH = 50_000
 COOLDOWN = timedelta(seconds=30)

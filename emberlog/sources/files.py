@@ -29,6 +29,14 @@ class Folder:
         base = self._fs.makeQualified(self._hadoop_path(self.path)).toString().rstrip("/")
         return [status.getPath().toString()[len(base) + 1:] for status in (found or [])]
 
+    def read(self, relative: str) -> str:
+        """Text of a small file."""
+        stream = self._fs.open(self._hadoop_path(self.child(relative)))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
     def publish(self, relative: str, text: str) -> bool:
         """Create a file in one step: write it aside, then rename. False when the name is taken."""
         target = self._hadoop_path(self.child(relative))

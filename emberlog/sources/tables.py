@@ -21,6 +21,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.functions.timefmt import micros, rfc3339_seconds, time_literal, utc
 from emberlog.plans.query import LogQuery
@@ -29,7 +30,6 @@ from emberlog.schema import (
     ARRIVAL, COLD_AGE, COLD_SCHEMA, HOT_RETENTION, HOT_SCHEMA, LOG_COLUMNS, MANIFEST_SCHEMA,
 )
 from emberlog.sources.files import Folder
-from pyspark.sql import types as T
 
 
 def _iso(us: int) -> str:
@@ -40,6 +40,8 @@ class LogTables:
     """The tables below one root folder."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
+        if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "Z", "GMT"):
+            raise ValueError("dates are UTC: set spark.sql.session.timeZone to UTC")
         self.spark = spark
         self.folder = Folder(spark, root)
         self.root = self.folder.path
@@ -117,13 +119,13 @@ class LogTables:
                 .json(self.folder.child("manifest")))
 
     def last_compaction(self) -> dict | None:
+        """The manifest row with the largest number, read without a Spark job."""
         names = self.folder.glob("manifest/*.json")
         if not names:
             return None
         last = max(int(n.split("/")[1].split(".")[0]) for n in names)
-        row = (self.spark.read.schema(MANIFEST_SCHEMA).json(self.folder.child(f"manifest/{last}.json"))
-               .withColumn("cutoff_us", F.unix_micros("cutoff")).drop("cutoff", "min_ts", "max_ts").first())
-        return row.asDict()
+        row = json.loads(self.folder.read(f"manifest/{last}.json"))
+        return row | {"cutoff_us": micros(row["cutoff"])}
 
     # ---- cold ---------------------------------------------------------------------------------
 
@@ -160,6 +162,8 @@ class LogTables:
         cutoff_us = micros(utc(as_of) - cold_age)
         number = 0
         if last is not None:
+            # Both bounds only grow, also when the newest batches have been removed as expired.
+            bound = max(bound, (last["upto_run"], last["upto_batch"]))
             cutoff_us, number = max(cutoff_us, last["cutoff_us"]), last["n"] + 1
         name = f"{number:08d}-{uuid.uuid4().hex[:8]}"
 

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from emberlog.functions.timefmt import as_micros
 from emberlog.operators.counters import active_partitions, consumer_lag, lag_by_group, query_counts
 from emberlog.operators.histograms import (
-    COMPACTION_BOUNDS, INF, INGEST_BOUNDS, PRODUCE_BOUNDS, QUERY_BOUNDS, floor_rank_quantile, histogram_quantile,
+    COMPACTION_BOUNDS, INGEST_BOUNDS, PRODUCE_BOUNDS, QUERY_BOUNDS, floor_rank_quantile, histogram_quantile,
     latency_histogram,
 )
 from emberlog.operators.rates import (

@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberlog.functions.timefmt import as_micros
 from emberlog.schema import RECORD_SCHEMA
 from emberlog.session import shared_dir
 from emberlog.sources.records import publish_files, to_records
 from emberlog.sources.tables import LogTables
-from emberlog.operators.histograms import QUERY_BOUNDS, histogram_quantile
 from emberlog.streaming.dedup import drop_redelivered, drop_redelivered_stream
-from emberlog.streaming.ingest import ingest, run_batches
-from emberlog.streaming.metrics import counts_per_step, progress_rows, sliding_buckets
+from emberlog.streaming.ingest import ingest
+from emberlog.streaming.metrics import counts_per_step, progress_rows
 from emberlog.streaming.shedding import shed
 from emberlog.streaming.sources import file_records
 from emberlog.workload.alerts import COOL, MAX_DEPTH, STATES_CTE, depth_samples, or_minus_one
 from emberlog.workload.fixtures import (
-    AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, events, logs,
+    AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, logs,
 )
 from emberlog.workload.ingest import REJECTED
-from emberlog.workload.metrics import HOUR, HOUR_US, LATENCIES_CTE, _bounds_sql, _quantile_sql, latencies
+from emberlog.workload.metrics import HOUR, HOUR_US
 from emberlog.workload.registry import query
 
 

@@ -17,7 +17,7 @@ from emberlog.operators.histograms import (
 from emberlog.operators.ordered import global_rank, previous, running_max, running_sum, seq_block, time_block
 from emberlog.operators.rates import counter_increments, counter_rate, event_rate
 from emberlog.operators.reconcile import reconcile, totals
-from tests.helpers import NOW, plan
+from tests.helpers import plan
 
 T0 = datetime(2024, 3, 10, tzinfo=timezone.utc)
 

@@ -4,7 +4,6 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators.backpressure import hysteresis
 from emberlog.operators.histograms import QUERY_BOUNDS, latency_histogram
 from emberlog.schema import RECORD_SCHEMA
 from emberlog.sources.tables import LogTables

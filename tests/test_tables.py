@@ -2,8 +2,6 @@ import random
 from datetime import timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from emberlog.plans.query import LogQuery
 from emberlog.sources.samples import read_samples, series
 from emberlog.sources.tables import LogTables, object_manifest
