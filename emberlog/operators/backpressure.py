@@ -13,10 +13,12 @@ are chained per ingestor, and the blocks are replayed side by side from their en
 
 from __future__ import annotations
 
+import sys
 from datetime import timedelta
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ def running_depth(deltas: DataFrame, key: str = "ingestor", seq: str = "seq", de
     return running_sum(deltas, [key], seq, delta, "depth", seq_block(seq) if block is None else block)
 
 
+# The block functions travel with the job, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class _Block:
     """Jumps over one block of samples, ordered by seq, with time never going backwards."""
 
