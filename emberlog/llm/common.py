@@ -88,10 +88,11 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = cut
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of all rows in order, and the number of words per row.
 
-    A word is a run of bytes other than 9 to 13 and 32, which no multi-byte character contains.
+    A word is a run of bytes other than 9 to 13 and 32, which no multi-byte character contains. With `prefixes`,
+    one line of hashes for the words and one for their first n bytes, for each n given.
     """
     hashes: list[np.ndarray] = []
     counts = np.zeros(len(offsets) - 1, dtype=np.int64)
@@ -114,9 +115,12 @@ def hash_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
         if longest > len(power):
             power = powers(longest)
         place = np.arange(len(kept)) - np.repeat(heads, lengths)
-        hashes.append(mix(np.add.reduceat(_BYTE_VALUE[_LOWERED[kept]] * power[place], heads)))
+        value = _BYTE_VALUE[_LOWERED[kept]] * power[place]
+        lines = [np.add.reduceat(value, heads), *[np.add.reduceat(np.where(place < n, value, np.uint64(0)), heads) for n in prefixes]]
+        hashes.append(mix(np.stack(lines) if prefixes else lines[0]))
         counts += np.bincount(np.searchsorted(offsets, starts + a, side="right") - 1, minlength=len(counts))
-    return np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), counts
+    none = np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
+    return np.concatenate([*hashes, none], axis=-1), counts
 
 
 def hash_word(word: str) -> int:

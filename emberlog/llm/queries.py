@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import langid
+from emberlog.llm import langid, toxicity
 from emberlog.llm.common import remainder, table
 from emberlog.llm.exact_dedup import exact_dedup
 from emberlog.llm.minhash import near_dedup
@@ -19,6 +19,12 @@ from emberlog.llm.token_count import token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
+    model = toxicity.fit(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, ["doc_id", "held_out"])
+
+
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -56,6 +62,7 @@ FROM t
 """
 
 QUERIES: dict[str, Query] = {
+    "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
     "op5_token_counts": op5_token_counts,
     "op7_language_id": op7_language_id,
