@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import langid, toxicity
+from emberlog.llm import ann, langid, lm, toxicity
 from emberlog.llm.common import remainder, table
 from emberlog.llm.exact_dedup import exact_dedup
 from emberlog.llm.minhash import near_dedup
@@ -19,6 +19,16 @@ from emberlog.llm.token_count import token_counts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 7) == 2).alias("held_out"))
+    model = lm.fit(docs.filter("not held_out"))
+    return lm.score(docs, model, ["doc_id", "held_out"])
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (remainder("doc_id", 5) == 0).alias("held_out"))
     model = toxicity.fit(docs.filter("not held_out"), table(spark, sf_dir, "labels"))
@@ -62,6 +72,8 @@ FROM t
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_lm_score": op1_lm_score,
+    "op2_nearest": op2_nearest,
     "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
     "op5_token_counts": op5_token_counts,
