@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from emberlog.llm import ann, langid, lm, toxicity
 from emberlog.llm.common import remainder, table
 from emberlog.llm.exact_dedup import exact_dedup
+from emberlog.llm.html_text import extract_text
 from emberlog.llm.minhash import near_dedup
 from emberlog.llm.mixing import mix
 from emberlog.llm.packing import pack
@@ -43,6 +44,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 4) == 2).alias("held_out"))
     model = langid.fit(docs.filter("not held_out"))
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op3_toxicity": op3_toxicity,
     "op4_pack": op4_pack,
     "op5_token_counts": op5_token_counts,
+    "op6_html_text": op6_html_text,
     "op7_language_id": op7_language_id,
     "op8_mix": op8_mix,
     "op9_exact_dedup": op9_exact_dedup,
