@@ -10,7 +10,8 @@ where a key of each collection is shared, so most documents leave before a table
 give all their pairs: each bucket tests its members against a leader on full sets, linked members merge into
 components, and only members of different components are tested further. Rounds with other leaders go on
 until the pairs left are few for the number of bucket entries; those are then all tested. So each two
-classes of a bucket are confirmed, refuted, or already connected.
+classes of a bucket are confirmed, refuted, or already connected: the number of leaders grows by LEADERS per
+round up to the whole bucket, if need be.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from emberlog.session import settled
 ROWS, MISSED = 4, 1e-4
 #: All pairs that are left are tested once they are at most this many times the bucket entries.
 LEFT_OVER = 4
+#: Leaders of a bucket grow by this factor from round to round.
+LEADERS = 4
 _MASK = (1 << 64) - 1
 
 
@@ -167,33 +170,32 @@ def _linked_classes(buckets: DataFrame, sets: DataFrame, num: int, den: int) ->
     refuted = None
     total = buckets.count()
     near_size = F.least("_n", "_m") * den >= F.greatest("_n", "_m") * num
-    turn, last = 0, False
+    turn = 0
     while True:
         now = entries.join(labels.select(F.col("node").alias("cid"), "label"), "cid")
-        parts = now.groupBy("_bucket", "label").agg(F.count("*").alias("_c"))
+        parts = now.groupBy("_bucket", "label").agg(F.count("*").alias("_c"), F.min(F.xxhash64("cid")).alias("_first"))
         state = settled(parts.groupBy("_bucket").agg(F.count("*").alias("_parts"), F.sum("_c").alias("_c"), F.sum(F.col("_c") * F.col("_c")).alias("_sq"),
-                                                     F.max_by("label", "_c").alias("_main")).filter("_parts > 1"), "state")
+                                                     F.max_by("label", "_c").alias("_main"), F.min("_first").alias("_first")).filter("_parts > 1"), "state")
         left = state.agg(F.sum((F.col("_c") * F.col("_c") - F.col("_sq")) / 2)).first()[0]
         if not left:
             break
-        entries = settled(now.join(state.select("_bucket", "_main"), "_bucket"), "entries")
-        if left <= LEFT_OVER * total:
+        entries = settled(now.join(state.select("_bucket", "_main", F.col("_c").alias("_size"), "_first"), "_bucket"), "entries")
+        last = left <= LEFT_OVER * total
+        if last:
             # Of two members of different components, one at least is outside the bucket's largest component.
-            one = entries.filter("label != _main").select("_bucket", F.col("cid").alias("a"), F.col("_n").alias("_m"), F.col("label").alias("_own"))
-            two = entries.select("_bucket", F.col("cid").alias("b"), "_n", "label", (F.col("label") == F.col("_main")).alias("_in"))
-            pairs = one.join(two, "_bucket").filter((F.col("_own") != F.col("label")) & near_size & (F.col("_in") | (F.col("a") < F.col("b"))))
-            last = True
+            lead = F.col("label") != F.col("_main")
+        elif turn:
+            lead = F.pmod(F.xxhash64(F.lit(turn), "cid"), F.col("_size")) < LEADERS ** turn
         else:
-            by = F.xxhash64(F.lit(turn), "cid")
-            leader = entries.groupBy("_bucket").agg(
-                F.min_by("cid", by).alias("a"), F.min_by("_n", by).alias("_m"), F.min_by("label", by).alias("_own"))
-            pairs = (entries.select("_bucket", F.col("cid").alias("b"), "_n", "label").join(leader, "_bucket")
-                     .filter((F.col("_own") != F.col("label")) & near_size))
+            lead = F.xxhash64("cid") == F.col("_first")
+        one = entries.filter(lead).select("_bucket", F.col("cid").alias("a"), F.col("_n").alias("_m"), F.col("label").alias("_own"))
+        pairs = one.join(entries.withColumnRenamed("cid", "b"), "_bucket").filter((F.col("_own") != F.col("label")) & near_size)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if refuted is not None:
             pairs = pairs.join(refuted, ["a", "b"], "left_anti")
         tested = settled(_confirmed(pairs, sets, num, den), "tested")
-        entries = entries.drop("label", "_main")
+        # A bucket is done once all its members have led.
+        entries = entries.filter(F.col("_size") > (LEADERS ** turn if turn else 1)).drop("label", "_main", "_size", "_first")
         named = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
         links = tested.filter("linked").join(named, "a").join(named.toDF("b", "_lb"), "b").select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
         roots = labels.select(F.col("label").alias("node")).distinct()

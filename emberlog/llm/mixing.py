@@ -118,7 +118,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = settled(
         apportion(cells, F.col("_source_quota"), "_size", "_ceiling", ["source"], [F.col("_shard")])
         .select(F.col("source").alias("_source"), F.col("_shard").alias("_cell"), "_n", F.col("_quota")), "cells")
-    stand = Window.partitionBy(*cell).orderBy(F.xxhash64("_seed"), "_seed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    stand = Window.partitionBy(*cell).orderBy("_seed", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = (dealt.withColumn("_from", F.coalesce(F.sum("size").over(stand), F.lit(0)))
               .join(quotas, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_cell"))))
     return placed.select("doc_id", "size", "source_size", "target", taken().alias("taken"), *carry)

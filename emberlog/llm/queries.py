@@ -66,6 +66,56 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
 
 
+OP8_SQL = r"""
+WITH rows AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         ('0x' || substr(md5('mix-1|' || coalesce(doc_id::varchar, '-')), 1, 15))::bigint AS seed
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::bigint AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM rows GROUP BY source
+), levels AS (
+  SELECT *, 3 * source_size / weight AS fill,
+         ((sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::bigint
+          / (sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::bigint) AS level
+  FROM sources
+), targets AS (
+  SELECT source, source_size, least(4096, greatest(ceil(source_size / 250000), 1))::bigint AS shards,
+         CASE WHEN open_level IS NULL OR fill <= open_level THEN 3.0::double * source_size ELSE weight * open_level END AS target
+  FROM levels, (SELECT min_by(level, fill) AS open_level FROM levels WHERE fill > level)
+), source_seats AS (
+  SELECT source, target / (2 * k + 1) AS quotient, k
+  FROM (SELECT source, target, unnest(range(3 * ceil(source_size / 32)::bigint)) AS k FROM targets)
+), source_quotas AS (
+  SELECT source, count(*) AS quota FROM (
+    SELECT source, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, k) AS place FROM source_seats)
+  WHERE place <= (SELECT round(sum(target) / 32) FROM targets) GROUP BY source
+), dealt AS (
+  SELECT r.*, t.source_size, t.target, coalesce(q.quota, 0) AS source_quota, r.seed % t.shards AS shard
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source LEFT JOIN source_quotas q ON r.source IS NOT DISTINCT FROM q.source
+), cells AS (
+  SELECT source, shard, source_quota, sum(size)::bigint AS tokens, ceil(sum(size) / 32)::bigint AS n FROM dealt GROUP BY ALL
+), cell_seats AS (
+  SELECT source, shard, source_quota, row_number() OVER (PARTITION BY source ORDER BY tokens / (2 * k + 1) DESC, shard, k) AS place
+  FROM (SELECT *, unnest(range(3 * n)) AS k FROM cells)
+), quotas AS (
+  SELECT c.source, c.shard, greatest(c.n, 1) AS n, coalesce(q.quota, 0) AS quota,
+         ('0x' || substr(md5('mix-1|shift|' || coalesce(c.source, '-') || '|' || c.shard), 1, 15))::bigint % greatest(c.n, 1) AS shift
+  FROM cells c LEFT JOIN (SELECT source, shard, count(*) AS quota FROM cell_seats WHERE place <= source_quota GROUP BY ALL) q
+    ON c.source IS NOT DISTINCT FROM q.source AND c.shard = q.shard
+), placed AS (
+  SELECT d.*, coalesce(sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY seed, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start,
+         q.n, q.quota, q.shift, row_number() OVER () AS line
+  FROM dealt d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source AND d.shard = q.shard
+), picked AS (
+  SELECT line, sum(least(start + size, 32 * (j + 1)) - greatest(start, 32 * j)) AS words
+  FROM (SELECT *, unnest(range(start // 32, (start + size - 1) // 32 + 1)) AS j FROM placed WHERE size > 0)
+  WHERE (j * (2147483647 % n) + shift) % n < quota % n GROUP BY line
+)
+SELECT doc_id, size, source_size, target, (size * (quota // n) + coalesce(words, 0))::bigint AS taken
+FROM placed LEFT JOIN picked USING (line)
+"""
+
 OP9_SQL = """
 WITH t AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm
@@ -89,5 +139,6 @@ QUERIES: dict[str, Query] = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op8_mix": OP8_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
