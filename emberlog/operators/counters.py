@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.operators.ordered import order_key
+from emberlog.functions.timefmt import as_micros
+from emberlog.operators.ordered import order_key, previous, running_sum, seq_block, time_block
+from emberlog.schema import EVALUATION_STEP, STALE_AFTER
+
+STEPS_PER_BLOCK = 10_000
 
 
 def ingest_counts(logs: DataFrame) -> DataFrame:
@@ -28,13 +34,12 @@ def tier_counts(tiered: DataFrame) -> DataFrame:
     return tiered.groupBy("tier").agg(F.count(F.lit(1)).alias("entries"))
 
 
-def storage_by_tier(table: DataFrame, tier: str) -> DataFrame:
-    """Bytes and objects behind a file-backed table."""
-    files = table.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"))
-    per_file = files.groupBy("path").agg(F.max("size").alias("size"))
-    return per_file.agg(
-        F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
+def storage_by_tier(spark: SparkSession, path: str, tier: str) -> DataFrame:
+    """Bytes and objects below a folder, from its listing; no file is opened."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+             .load(path).select("length"))
+    return files.agg(
+        F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
         F.count(F.lit(1)).alias("objects"),
     ).select(F.lit(tier).alias("tier"), "bytes", "objects")
 
@@ -50,6 +55,41 @@ def lag_by_group(lag: DataFrame) -> DataFrame:
     return lag.groupBy("consumer_group").agg(F.sum("lag").alias("lag"))
 
 
+def lag_series(samples: DataFrame, step: timedelta = EVALUATION_STEP, stale: timedelta = STALE_AFTER) -> DataFrame:
+    """(consumer_group, ts, lag): the group's summed lag at every evaluation step at which it has a partition.
+
+    At a step each partition counts with its last sample up to then, if that is younger than `stale`. Samples become changes of
+    the sum: a sample replaces the one before it or, if that has gone stale, adds to the sum again. Changes are added up
+    per step before any running sum, and the sums run in blocks, so a busy partition or group is many tasks.
+    """
+    us, width, age = as_micros(F.col("ts")), step // timedelta(microseconds=1), stale // timedelta(microseconds=1)
+    lags = samples.select(
+        "consumer_group", "partition", "ts", "offset", us.alias("_us"),
+        F.greatest(F.col("high_water_mark") - F.col("offset") - 1, F.lit(0)).cast("long").alias("lag"))
+    keys, order = ["consumer_group", "partition"], ["ts", "offset"]
+
+    def step_of(at: Column) -> Column:
+        return F.ceil(at / F.lit(width)).cast("long")
+
+    chained = previous(lags, keys, order, ["_us", "lag"], time_block("ts"))
+    alive = F.col("prev__us") + age > F.col("_us")
+    replaced = F.when(alive, F.col("prev_lag")).otherwise(0)
+    gone = chained.filter(~alive).select("consumer_group", (F.col("prev__us") + age).alias("_at"), (-F.col("prev_lag")).alias("_lag"), F.lit(-1).alias("_live"))
+    came = chained.select("consumer_group", F.col("_us").alias("_at"), (F.col("lag") - F.coalesce(replaced, F.lit(0))).alias("_lag"),
+                          F.when(alive, 0).otherwise(1).alias("_live"))
+    last = lags.groupBy(*keys).agg(F.max("_us").alias("_us"), F.max_by("lag", order_key(lags, order)).alias("lag")).select(
+        "consumer_group", (F.col("_us") + age).alias("_at"), (-F.col("lag")).alias("_lag"), F.lit(-1).alias("_live"))
+    changes = (came.unionByName(gone).unionByName(last).groupBy("consumer_group", step_of(F.col("_at")).alias("_step"))
+               .agg(F.sum("_lag").alias("_lag"), F.sum("_live").alias("_live")))
+    block = seq_block("_step", STEPS_PER_BLOCK)
+    sums = running_sum(running_sum(changes, ["consumer_group"], "_step", "_lag", "lag", block), ["consumer_group"], "_step", "_live", "live", block)
+    # The step of the next change is the preceding one in descending order.
+    back = sums.withColumn("_back", -F.col("_step"))
+    until = previous(back, ["consumer_group"], ["_back"], ["_step"], seq_block("_back", STEPS_PER_BLOCK))
+    return (until.filter("live > 0").select("consumer_group", "lag", F.explode(F.sequence("_step", F.col("prev__step") - 1)).alias("_step"))
+            .select("consumer_group", F.timestamp_micros(F.col("_step") * width).alias("ts"), "lag"))
+
+
 def active_partitions(samples: DataFrame) -> DataFrame:
     """Distinct partitions consumed per group."""
     distinct = samples.groupBy("consumer_group", "partition").agg(F.lit(1).alias("seen"))

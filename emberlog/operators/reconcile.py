@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def has_id(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit("")) != ""
+
+
 def reconcile(sent: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
     """One row per distinct sent id: copies stored, and `delivered`, `lost` or `redelivered`.
 
-    Copies are counted before the join, so an id with very many copies is one row on each side.
+    Ids are optional: rows whose id is null or empty cannot be matched and are left out here, in `lost` and in
+    `recovered`. Copies are counted before the join, so an id with very many copies is one row on each side.
     """
-    ids = sent.filter(F.col(key).isNotNull()).groupBy(key).agg(F.lit(1).alias("_sent"))
+    ids = sent.filter(has_id(key)).groupBy(key).agg(F.lit(1).alias("_sent"))
     copies = stored.groupBy(key).agg(F.count(F.lit(1)).alias("copies"))
     joined = ids.join(copies, key, "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
     status = (F.when(F.col("copies") == 0, "lost").when(F.col("copies") == 1, "delivered")
@@ -20,13 +25,13 @@ def reconcile(sent: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
 
 
 def lost(sent: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """Sent rows without a stored copy."""
-    return sent.join(stored.select(key).distinct(), key, "left_anti")
+    """Sent rows with an id and without a stored copy."""
+    return sent.filter(has_id(key)).join(stored.select(key).distinct(), key, "left_anti")
 
 
 def recovered(sent: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
-    """Sent rows with a stored copy."""
-    return sent.join(stored.select(key).distinct(), key, "left_semi")
+    """Sent rows with an id and a stored copy."""
+    return sent.filter(has_id(key)).join(stored.select(key).distinct(), key, "left_semi")
 
 
 def totals(reconciled: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ from emberlog.schema import COLD_AGE, HOT_RETENTION
 
 
 def split_by_age(df: DataFrame, cutoff: datetime | str) -> tuple[DataFrame, DataFrame]:
-    """(rows strictly before the cutoff, rows at or after it)."""
-    bound = time_literal(cutoff, column_type(df, "timestamp"))
-    return df.filter(F.col("timestamp") < bound), df.filter(F.col("timestamp") >= bound)
+    """(rows strictly before the cutoff, all others). Rows without a timestamp never age."""
+    before = F.coalesce(F.col("timestamp") < time_literal(cutoff, column_type(df, "timestamp")), F.lit(False))
+    return df.filter(before), df.filter(~before)
 
 
 def drain(df: DataFrame, as_of: datetime | str, cold_age: timedelta = COLD_AGE) -> tuple[DataFrame, DataFrame]:

@@ -93,9 +93,9 @@ def search(
     if bounded.order == "newest":
         picked = [df.orderBy(*orders["newest"]).limit(bounded.tier_limit) for _, df in branches]
         merged = _union(picked, _empty(hot, arrival)).orderBy(*orders["newest"])
-        return merged.limit(bounded.tier_limit)
-    picked = [df.orderBy(*orders[f"{name}_pick"]).limit(bounded.tier_limit) for name, df in branches]
-    merged = _union(picked, _empty(hot, arrival)).orderBy(*orders["merged"])
+    else:
+        picked = [df.orderBy(*orders[f"{name}_pick"]).limit(bounded.tier_limit) for name, df in branches]
+        merged = _union(picked, _empty(hot, arrival)).orderBy(*orders["merged"])
     return merged.limit(bounded.limit) if bounded.limit else merged
 
 
@@ -116,7 +116,7 @@ def summarize(
     found = matches(hot, cold, query, as_of, cold_age, arrival, uncompacted)
     per_tier = found.groupBy("tier").agg(F.count(F.lit(1)).alias("_n"))
     total = F.coalesce(F.sum(F.least(F.col("_n"), F.lit(query.tier_limit))), F.lit(0))
-    if query.limit or query.order == "newest":
+    if query.limit:
         total = F.least(total, F.lit(query.tier_limit))
     return per_tier.agg(
         total.cast("long").alias("total_count"),

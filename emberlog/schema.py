@@ -53,6 +53,15 @@ COLD_SCHEMA = T.StructType(LOG_FIELDS + [
 # Arrival order of stored rows.
 ARRIVAL = ("run", "batch_id", "partition", "offset")
 
+# One row per finished batch of the hot table.
+BATCH_SCHEMA = T.StructType([
+    T.StructField("run", T.IntegerType()),
+    T.StructField("batch_id", T.LongType()),
+    T.StructField("input_rows", T.LongType()),
+    T.StructField("accepted", T.LongType()),
+    T.StructField("rejected", T.LongType()),
+])
+
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("n", T.LongType()),
     T.StructField("compaction", T.StringType()),
@@ -84,4 +93,6 @@ BATCH_SECONDS = 2
 MAX_QUEUE_DEPTH = 50_000
 COOLDOWN = timedelta(seconds=30)
 EVALUATION_STEP = timedelta(seconds=15)
+# A series without a sample for this long is stale: what it held before no longer counts.
+STALE_AFTER = timedelta(minutes=5)
 RATE_WINDOW = timedelta(minutes=5)

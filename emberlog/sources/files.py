@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -26,8 +28,13 @@ class Folder:
     def glob(self, pattern: str) -> list[str]:
         """Paths relative to the folder that match the pattern."""
         found = self._fs.globStatus(self._hadoop_path(self.child(pattern)))
+        if not found:
+            return []
         base = self._fs.makeQualified(self._hadoop_path(self.path)).toString().rstrip("/")
-        return [status.getPath().toString()[len(base) + 1:] for status in (found or [])]
+        # One text for all names: a call into the JVM per name would take seconds for thousands.
+        paths = self._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(found)
+        listed = self._jvm.org.apache.commons.lang3.ArrayUtils.toString(paths)[1:-1]
+        return [name[len(base) + 1:] for name in re.split(f",(?={re.escape(base)}/)", listed)]
 
     def read(self, relative: str) -> str:
         """Text of a small file."""
@@ -37,6 +44,13 @@ class Folder:
         finally:
             stream.close()
 
+    def move(self, relative: str, to: str) -> None:
+        """Rename a file into a folder that may not exist yet."""
+        target = self._hadoop_path(self.child(to))
+        self._fs.mkdirs(target.getParent())
+        if not self._fs.rename(self._hadoop_path(self.child(relative)), target):
+            raise RuntimeError(f"{relative} could not be moved to {to}")
+
     def publish(self, relative: str, text: str) -> bool:
         """Create a file in one step: write it aside, then rename. False when the name is taken."""
         target = self._hadoop_path(self.child(relative))

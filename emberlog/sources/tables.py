@@ -2,40 +2,94 @@
 
 Layout below the root:
 
-    hot/run=<r>/batch_id=<b>/status=<ok|bad>/   one directory per stream micro-batch
+    hot/new/<run>-<batch>-<token>-<i>.parquet   good rows of stream micro-batches, one flat folder
+    hot/commits/<run>-<batch>.json              one small file per finished batch, with its counts
+    hot/segments/<n>-<token>/                   young rows that a compaction has merged into larger files
+    bad/<run>-<batch>-<token>-<i>.parquet       rejected records
     cold/compaction=<n>-<token>/dt=<date>/      one directory per compaction
-    manifest/<n>.json                           one row per committed compaction
-
-Hot is append-only; writing a batch again replaces its own directory. A compaction writes the visible
-hot rows older than its cutoff to a new cold directory and then publishes one manifest row. Cutoffs
-and batch bounds only grow, so the last manifest row alone says which hot rows have moved:
-`(run, batch_id) <= (upto_run, upto_batch) AND timestamp < cutoff`. A compaction that fails leaves a
-directory no manifest row names: nothing is lost or doubled.
+    manifest/<n>.json                           one snapshot per committed compaction or eviction
+    runs/<run>.json                             which streaming query owns a run
+    batches/                                    counts of batches whose files have been cleaned up
+
+A snapshot names everything that searches read besides the new files: the batches it has absorbed, as ranges per
+run, the segments, the cutoff, and the cold directories. A reader takes one snapshot and uses it for both
+tiers, so a compaction that commits in between changes nothing for it: absorbed files stay until `clean`. A batch counts as
+absorbed only if a compaction has read it, whatever the order in which batches and runs arrive. A compaction
+that fails leaves files that no snapshot names: nothing is lost or doubled.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.functions.timefmt import micros, rfc3339_seconds, time_literal, utc
+from emberlog.functions.timefmt import micros, rfc3339_seconds, utc
 from emberlog.plans.query import LogQuery
 from emberlog.plans.search import search
 from emberlog.schema import (
-    ARRIVAL, COLD_AGE, COLD_SCHEMA, HOT_RETENTION, HOT_SCHEMA, LOG_COLUMNS, MANIFEST_SCHEMA,
+    ARRIVAL, BATCH_SCHEMA, COLD_AGE, COLD_SCHEMA, HOT_RETENTION, HOT_SCHEMA, LOG_COLUMNS, MANIFEST_SCHEMA,
 )
 from emberlog.sources.files import Folder
 
+#: A compaction without aged rows still merges new files once there are this many batches.
+MERGE_BATCHES = 100
+
 
 def _iso(us: int) -> str:
     return (datetime(1970, 1, 1) + timedelta(microseconds=us)).isoformat(timespec="microseconds") + "Z"
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """What the compactions so far have committed."""
+
+    n: int = -1
+    cutoff_us: int | None = None
+    absorbed: dict[int, list[list[int]]] = field(default_factory=dict)
+    segments: list[dict] = field(default_factory=list)
+    cold: list[dict] = field(default_factory=list)
+
+    def holds(self, run: int, batch: int) -> bool:
+        return any(lo <= batch <= hi for lo, hi in self.absorbed.get(run, []))
+
+    def moved(self) -> Column:
+        """Is a row of a batch that has been absorbed?"""
+        held = F.lit(False)
+        for run, ranges in self.absorbed.items():
+            for lo, hi in ranges:
+                held = held | ((F.col("run") == run) & F.col("batch_id").between(lo, hi))
+        return held
+
+    def young(self) -> Column:
+        """Is a row of a segment still hot? Rows without a timestamp never age."""
+        if self.cutoff_us is None:
+            return F.lit(True)
+        return F.col("timestamp").isNull() | (F.col("timestamp") >= F.timestamp_micros(F.lit(self.cutoff_us)))
+
+
+def _merged(ranges: list[list[int]]) -> list[list[int]]:
+    """Ranges joined where they touch."""
+    out: list[list[int]] = []
+    for lo, hi in sorted(ranges):
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
+
+
+def _stats() -> list[Column]:
+    us = F.unix_micros("timestamp")
+    return [F.count(F.lit(1)).alias("rows"), F.min(us).alias("min_us"), F.max(us).alias("max_us"),
+            F.count_if(F.col("timestamp").isNull()).alias("nulls")]
+
+
 class LogTables:
     """The tables below one root folder."""
 
@@ -46,102 +100,141 @@ class LogTables:
         self.folder = Folder(spark, root)
         self.root = self.folder.path
 
-    # ---- hot ----------------------------------------------------------------------------------
+    # ---- new batches --------------------------------------------------------------------------
 
-    def append(self, decoded: DataFrame, batch_id: int, run: int = 0) -> None:
-        """Store one decoded batch, good and rejected rows together, replacing an earlier attempt.
+    def claim(self, run: int, owner: str) -> None:
+        """Bind a run to one writer. A second one would overwrite the first one's batches, so it is refused."""
+        if not self.folder.publish(f"runs/{run}.json", json.dumps({"owner": owner})):
+            known = json.loads(self.folder.read(f"runs/{run}.json"))["owner"]
+            if known != owner:
+                raise RuntimeError(f"run {run} belongs to writer {known}: a new checkpoint needs a new run")
+
+    def append(self, decoded: DataFrame, batch_id: int, run: int = 0) -> dict:
+        """Store one decoded batch, good and rejected rows, replacing an earlier attempt; returns its counts.
 
         Rows need LOG columns and may have partition, offset, raw and error_type. Without offsets the
-        position inside the batch is the row's place in the input.
+        position inside the batch is the row's place in the input. A batch that a compaction has absorbed is
+        already stored and left as it is.
         """
+        if self.snapshot().holds(run, batch_id):
+            return json.loads(self.folder.read(f"hot/commits/{run}-{batch_id}.json")) if self.folder.exists(
+                f"hot/commits/{run}-{batch_id}.json") else {"run": run, "batch_id": batch_id}
         columns = set(decoded.columns)
         partition = F.col("partition").cast("int") if "partition" in columns else F.lit(0)
         offset = F.col("offset").cast("long") if "offset" in columns else F.monotonically_increasing_id()
         raw = F.col("raw") if "raw" in columns else F.lit(None).cast("string")
         error = F.col("error_type") if "error_type" in columns else F.lit(None).cast("string")
+        seen = Observation(f"batch-{run}-{batch_id}-{uuid.uuid4().hex[:8]}")
         rows = decoded.select(
-            *LOG_COLUMNS, partition.alias("partition"), offset.alias("offset"), raw.alias("raw"),
-            error.alias("error_type"), F.when(error.isNull(), "ok").otherwise("bad").alias("status"))
-        target = self.folder.child(f"hot/run={run}/batch_id={batch_id}")
-        rows.write.mode("overwrite").partitionBy("status").parquet(target)
-
-    def _hot(self, status: str) -> DataFrame:
-        rows = (self.spark.read.schema(HOT_SCHEMA).option("basePath", self.folder.child("hot"))
-                .option("pathGlobFilter", "*.parquet"))
-        if not self.folder.glob("hot/run=*"):
-            return self.spark.createDataFrame([], HOT_SCHEMA)
-        return rows.parquet(self.folder.child("hot")).filter(F.col("status") == status)
+            *LOG_COLUMNS, partition.alias("partition"), offset.alias("offset"), raw.alias("raw"), error.alias("error_type"),
+            F.lit(run).cast("int").alias("run"), F.lit(batch_id).cast("long").alias("batch_id"),
+            F.when(error.isNull(), "ok").otherwise("bad").alias("status"))
+        counted = rows.observe(seen, F.count(F.lit(1)).alias("input_rows"), F.count_if(F.col("status") == "ok").alias("accepted"),
+                               F.count_if(F.col("status") == "bad").alias("rejected"))
+        token = uuid.uuid4().hex[:8]
+        aside = f"hot/tmp/{run}-{batch_id}-{token}"
+        counted.write.partitionBy("status").parquet(self.folder.child(aside))
+        for folder in ("hot/new", "bad"):
+            for old in self.folder.glob(f"{folder}/{run}-{batch_id}-*"):
+                self.folder.delete(old)
+        for status, folder in (("ok", "hot/new"), ("bad", "bad")):
+            for i, part in enumerate(self.folder.glob(f"{aside}/status={status}/*.parquet")):
+                self.folder.move(part, f"{folder}/{run}-{batch_id}-{token}-{i}.parquet")
+        row = {"run": run, "batch_id": batch_id, **seen.get}
+        commit = f"hot/commits/{run}-{batch_id}.json"
+        if not self.folder.publish(commit, json.dumps(row)):
+            self.folder.delete(commit)
+            self.folder.publish(commit, json.dumps(row))
+        self.folder.delete(aside)
+        return row
 
-    def stored(self) -> DataFrame:
-        """Every good row ever appended, moved or not."""
-        return self._hot("ok").drop("raw", "error_type", "status")
+    def _committed(self) -> list[tuple[int, int]]:
+        """(run, batch_id) of the finished batches whose files are still there."""
+        names = [path.rsplit("/", 1)[1].removesuffix(".json") for path in self.folder.glob("hot/commits/*.json")]
+        return sorted((int(run), int(batch)) for run, batch in (n.split("-") for n in names))
+
+    def committed_batch(self) -> tuple[int, int] | None:
+        """Largest (run, batch_id) whose write has finished, cleaned up or not."""
+        absorbed = [(run, ranges[-1][1]) for run, ranges in self.snapshot().absorbed.items()]
+        return max([*self._committed(), *absorbed], default=None)
+
+    def batches(self) -> DataFrame:
+        """Per finished batch: rows read, accepted and rejected. A replay replaces its row."""
+        found = self.spark.createDataFrame([], BATCH_SCHEMA)
+        if self.folder.exists("hot/commits"):
+            found = found.unionByName(self.spark.read.schema(BATCH_SCHEMA).option("pathGlobFilter", "*.json").json(self.folder.child("hot/commits")))
+        if self.folder.exists("batches"):
+            found = found.unionByName(self.spark.read.schema(BATCH_SCHEMA).parquet(self.folder.child("batches")))
+        # A clean-up that was interrupted may have left a row in both places.
+        return found.dropDuplicates(["run", "batch_id"])
+
+    def _flat(self, folder: str) -> DataFrame:
+        if not self.folder.exists(folder):
+            return self.spark.createDataFrame([], HOT_SCHEMA)
+        return self.spark.read.schema(HOT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(self.folder.child(folder))
 
     def quarantine(self) -> DataFrame:
         """Rejected records: raw text, reason and position."""
-        return self._hot("bad").select("raw", "error_type", *ARRIVAL)
+        return self._flat("bad").select("raw", "error_type", *ARRIVAL)
 
-    def hot(self) -> DataFrame:
-        """Good rows that no committed compaction has moved.
+    # ---- hot ----------------------------------------------------------------------------------
 
-        Batches after the last compaction are chosen by directory; of the earlier ones only rows at or
-        after its cutoff are left, a bound that reaches the Parquet scan.
-        """
-        rows = self.stored()
-        last = self.last_compaction()
-        if last is None:
-            return rows
-        upto = self._upto(last["upto_run"], last["upto_batch"])
-        left = F.col("timestamp") >= F.timestamp_micros(F.lit(last["cutoff_us"]))
-        return rows.filter(~upto).unionByName(rows.filter(upto & left))
+    def _new(self, snapshot: Snapshot) -> DataFrame:
+        """Rows of batches that no compaction has absorbed. One listing of one folder, whatever the number of batches."""
+        return self._flat("hot/new").filter(~snapshot.moved()).select(*LOG_COLUMNS, *ARRIVAL)
 
-    def committed_batch(self) -> tuple[int, int] | None:
-        """Largest (run, batch_id) whose write has finished."""
-        done = [
-            tuple(int(part.split("=")[1]) for part in path.split("/")[1:3])
-            for path in self.folder.glob("hot/run=*/batch_id=*/_SUCCESS")
-        ]
-        return max(done) if done else None
+    def _segments(self, segments: list[dict]) -> DataFrame:
+        paths = [self.folder.child(f"hot/segments/{s['name']}") for s in segments]
+        rows = self.spark.read.schema(HOT_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], HOT_SCHEMA)
+        return rows.select(*LOG_COLUMNS, *ARRIVAL)
 
-    @staticmethod
-    def _upto(run: int, batch: int) -> Column:
-        return (F.col("run") < run) | ((F.col("run") == run) & (F.col("batch_id") <= batch))
+    def hot(self, snapshot: Snapshot | None = None) -> DataFrame:
+        """Good rows that are not in cold and have not been evicted.
+
+        New files are chosen by batch, segments by the cutoff; both bounds reach the Parquet scan.
+        """
+        at = self.snapshot() if snapshot is None else snapshot
+        return self._new(at).unionByName(self._segments(at.segments).filter(at.young()))
 
-    def _moved(self, run: int, batch: int, cutoff_us: int) -> Column:
-        return self._upto(run, batch) & (F.col("timestamp") < F.timestamp_micros(F.lit(cutoff_us)))
+    def stored(self) -> DataFrame:
+        """Every good row, hot or cold, that has not been evicted."""
+        at = self.snapshot()
+        return self.hot(at).unionByName(self.cold(snapshot=at).select(*LOG_COLUMNS, *ARRIVAL))
 
     # ---- manifest -----------------------------------------------------------------------------
 
-    def manifest(self) -> DataFrame:
+    def _snapshot_numbers(self) -> list[int]:
+        return [int(n.split("/")[1].split(".")[0]) for n in self.folder.glob("manifest/*.json")]
+
+    def snapshot(self) -> Snapshot:
+        """The newest snapshot, read without a Spark job."""
+        numbers = self._snapshot_numbers()
+        if not numbers:
+            return Snapshot()
+        row = json.loads(self.folder.read(f"manifest/{max(numbers)}.json"))
+        return Snapshot(row["n"], row["cutoff_us"], {int(r): v for r, v in row["absorbed"].items()}, row["segments"], row["cold"])
+
+    def manifest(self, snapshot: Snapshot | None = None) -> DataFrame:
         """One row per committed compaction."""
-        if not self.folder.glob("manifest/*.json"):
+        at = self.snapshot() if snapshot is None else snapshot
+        if at.n < 0:
             return self.spark.createDataFrame([], MANIFEST_SCHEMA)
-        return (self.spark.read.schema(MANIFEST_SCHEMA).option("pathGlobFilter", "*.json")
-                .json(self.folder.child("manifest")))
-
-    def last_compaction(self) -> dict | None:
-        """The manifest row with the largest number, read without a Spark job."""
-        names = self.folder.glob("manifest/*.json")
-        if not names:
-            return None
-        last = max(int(n.split("/")[1].split(".")[0]) for n in names)
-        row = json.loads(self.folder.read(f"manifest/{last}.json"))
-        return row | {"cutoff_us": micros(row["cutoff"])}
+        listed = T.StructType([T.StructField("cold", T.ArrayType(MANIFEST_SCHEMA))])
+        return self.spark.read.schema(listed).json(self.folder.child(f"manifest/{at.n}.json")).select(F.inline("cold"))
 
     # ---- cold ---------------------------------------------------------------------------------
 
-    def cold(self, start: datetime | str | None = None, end: datetime | str | None = None) -> DataFrame:
+    def cold(self, start: datetime | str | None = None, end: datetime | str | None = None,
+             snapshot: Snapshot | None = None) -> DataFrame:
         """Rows of the committed compactions, only those whose time span meets the range.
 
-        The manifest has one row per compaction (48 a day at the default interval); the names of the
-        directories to read are the only thing that reaches the driver.
+        The snapshot has one entry per compaction (48 a day at the default interval); the names of the
+        directories to read come from it, without a job or a listing.
         """
-        listed = self.manifest()
-        if start is not None:
-            listed = listed.filter(F.col("max_ts") >= time_literal(start, T.TimestampType()))
-        if end is not None:
-            listed = listed.filter(F.col("min_ts") <= time_literal(end, T.TimestampType()))
-        paths = [self.folder.child(f"cold/compaction={r.compaction}")
-                 for r in listed.select("compaction").toLocalIterator()]
+        at = self.snapshot() if snapshot is None else snapshot
+        low, high = (None if t is None else micros(utc(t)) for t in (start, end))
+        paths = [self.folder.child(f"cold/compaction={c['compaction']}") for c in at.cold
+                 if (low is None or micros(c["max_ts"]) >= low) and (high is None or micros(c["min_ts"]) <= high)]
         if not paths:
             return self.spark.createDataFrame([], COLD_SCHEMA)
         return (self.spark.read.schema(COLD_SCHEMA).option("basePath", self.folder.child("cold"))
@@ -153,65 +246,100 @@ class LogTables:
 
         Rows are range-partitioned by (dt, timestamp, arrival), so a hot day, or many rows that share
         one timestamp, spread over several files, and every file covers a narrow time range.
-        `rows_per_file` bounds the objects' rows (0: one object per task and day).
+        `rows_per_file` bounds the objects' rows (0: one object per task and day). The young rows of the new
+        batches are merged into a segment, so a row is written three times at most: new, segment, cold.
         """
-        bound = self.committed_batch()
-        if bound is None:
+        return self._advance(micros(utc(as_of) - cold_age), True, files, rows_per_file)
+
+    def evict(self, as_of: datetime | str, retention: timedelta = HOT_RETENTION) -> int:
+        """Discard hot rows past retention, also out of batches that hold younger rows; returns how many."""
+        row = self._advance(micros(utc(as_of) - retention), False, None, 0)
+        return row["rows"] if row else 0
+
+    def _advance(self, cutoff_us: int, keep: bool, files: int | None, rows_per_file: int) -> dict | None:
+        """Absorb the finished new batches: rows before the cutoff go to cold (or nowhere), the others to a segment."""
+        at = self.snapshot()
+        fresh = [(run, batch) for run, batch in self._committed() if not at.holds(run, batch)]
+        # The cutoff only grows, and with it what is out of the segments.
+        cutoff_us = cutoff_us if at.cutoff_us is None else max(cutoff_us, at.cutoff_us)
+        dated = [s for s in at.segments if s["min_us"] is not None and s["min_us"] < cutoff_us]
+        if not fresh and not dated:
             return None
-        last = self.last_compaction()
-        cutoff_us = micros(utc(as_of) - cold_age)
-        number = 0
-        if last is not None:
-            # Both bounds only grow, also when the newest batches have been removed as expired.
-            bound = max(bound, (last["upto_run"], last["upto_batch"]))
-            cutoff_us, number = max(cutoff_us, last["cutoff_us"]), last["n"] + 1
+        number = at.n + 1
         name = f"{number:08d}-{uuid.uuid4().hex[:8]}"
-
-        aged = (self.hot().filter(self._moved(*bound, cutoff_us))
-                .withColumn("dt", F.to_date("timestamp"))
-                .select(*LOG_COLUMNS, *ARRIVAL, "dt"))
+        taken = Snapshot(absorbed={run: _merged([[b, b] for r, b in fresh if r == run]) for run in {r for r, _ in fresh}})
+        absorbed = at.absorbed | {run: _merged([*at.absorbed.get(run, []), *ranges]) for run, ranges in taken.absorbed.items()}
+        new = self._new(at).filter(taken.moved())
+        is_aged = F.coalesce(F.col("timestamp") < F.timestamp_micros(F.lit(cutoff_us)), F.lit(False))
+        aged = new.unionByName(self._segments(dated).filter(at.young())).filter(is_aged)
+        target, segment = f"cold/compaction={name}", f"hot/segments/{name}"
+        stats = self._to_cold(aged, target, files, rows_per_file) if keep else aged.agg(*_stats()).first().asDict()
+        if not stats["rows"] and len(fresh) < MERGE_BATCHES:
+            self.folder.delete(target)
+            return None
+        kept = self._to_segment(new.filter(~is_aged), segment)
+        if not kept["rows"]:
+            self.folder.delete(segment)
+        segments = [s for s in at.segments if s["nulls"] or s["max_us"] >= cutoff_us]
+        if kept["rows"]:
+            segments.append({"name": name, **{k: kept[k] for k in ("rows", "min_us", "max_us", "nulls")}})
+        last = max([(run, ranges[-1][1]) for run, ranges in absorbed.items()], default=(0, -1))
+        row = {"n": number, "compaction": name, "upto_run": last[0], "upto_batch": last[1], "cutoff": _iso(cutoff_us), "rows": stats["rows"]}
+        cold = list(at.cold)
+        if keep and stats["rows"]:
+            row |= {"min_ts": _iso(stats["min_us"]), "max_ts": _iso(stats["max_us"])}
+            cold.append(row)
+        state = {"n": number, "cutoff_us": cutoff_us, "absorbed": absorbed, "segments": segments, "cold": cold}
+        if not self.folder.publish(f"manifest/{number}.json", json.dumps(state)):
+            for left in (target, segment):
+                self.folder.delete(left)
+            raise RuntimeError(f"snapshot {number} was committed by another job; nothing was moved here")
+        return row if stats["rows"] else None
+
+    def _to_cold(self, aged: DataFrame, target: str, files: int | None, rows_per_file: int) -> dict:
         order = ["dt", "timestamp", *ARRIVAL]
-        ranged = aged.repartitionByRange(files, *order) if files else aged.repartitionByRange(*order)
-        seen = Observation(f"compaction-{name}")
-        out = ranged.sortWithinPartitions(*order).observe(
-            seen, F.count(F.lit(1)).alias("rows"),
-            F.min(F.unix_micros("timestamp")).alias("min_us"), F.max(F.unix_micros("timestamp")).alias("max_us"))
-        target = f"cold/compaction={name}"
-        writer = out.write.partitionBy("dt")
+        rows = aged.withColumn("dt", F.to_date("timestamp")).select(*LOG_COLUMNS, *ARRIVAL, "dt")
+        ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+        seen = Observation(f"cold-{uuid.uuid4().hex[:8]}")
+        writer = ranged.sortWithinPartitions(*order).observe(seen, *_stats()).write.partitionBy("dt")
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
         writer.parquet(self.folder.child(target))
-
-        stats = seen.get
-        if not stats["rows"]:
-            self.folder.delete(target)
-            return None
-        row = {
-            "n": number, "compaction": name, "upto_run": bound[0], "upto_batch": bound[1],
-            "cutoff": _iso(cutoff_us), "rows": stats["rows"],
-            "min_ts": _iso(stats["min_us"]), "max_ts": _iso(stats["max_us"])}
-        if not self.folder.publish(f"manifest/{number}.json", json.dumps(row)):
-            raise RuntimeError(f"compaction {number} was committed by another job; nothing was moved here")
-        return row
-
-    def expired_batches(self, as_of: datetime | str, retention: timedelta = HOT_RETENTION) -> DataFrame:
-        """Hot batches none of whose rows are needed: all of them moved, or past retention."""
-        last = self.last_compaction()
-        limit = time_literal(utc(as_of) - retention, T.TimestampType())
-        gone = F.col("timestamp") < limit
-        if last is not None:
-            gone = gone | self._moved(last["upto_run"], last["upto_batch"], last["cutoff_us"])
-        per_batch = self.stored().groupBy("run", "batch_id").agg(
-            F.count_if(~gone).alias("needed"), F.count(F.lit(1)).alias("rows"))
-        return per_batch.filter(F.col("needed") == 0).drop("needed")
-
-    def remove_expired(self, as_of: datetime | str, retention: timedelta = HOT_RETENTION) -> int:
-        """Delete the directories of `expired_batches`; returns how many. Meant to run between batches."""
-        removed = 0
-        for r in self.expired_batches(as_of, retention).select("run", "batch_id").toLocalIterator():
-            self.folder.delete(f"hot/run={r.run}/batch_id={r.batch_id}")
-            removed += 1
-        return removed
+        return seen.get
+
+    def _to_segment(self, young: DataFrame, target: str) -> dict:
+        # Time order within files keeps the bounds of row groups narrow; AQE joins small tasks into few files.
+        seen = Observation(f"segment-{uuid.uuid4().hex[:8]}")
+        (young.repartitionByRange("timestamp", *ARRIVAL).sortWithinPartitions("timestamp", *ARRIVAL)
+         .observe(seen, *_stats()).write.parquet(self.folder.child(target)))
+        return seen.get
+
+    def clean(self) -> int:
+        """Delete the files that the newest snapshot does not need: absorbed batches, dropped segments, and what failed jobs
+        have left; returns the number of batches. Meant to run while no compaction runs and no older snapshot is read.
+        """
+        at = self.snapshot()
+        gone = [(run, batch) for run, batch in self._committed() if at.holds(run, batch)]
+        if gone:
+            done = self.spark.read.schema(BATCH_SCHEMA).option("pathGlobFilter", "*.json").json(self.folder.child("hot/commits")).filter(at.moved())
+            done.coalesce(1).write.mode("append").parquet(self.folder.child("batches"))
+        files: dict[tuple[int, int], list[str]] = {}
+        for path in self.folder.glob("hot/new/*.parquet"):
+            run, batch = path.rsplit("/", 1)[1].split("-")[:2]
+            files.setdefault((int(run), int(batch)), []).append(path)
+        for run, batch in gone:
+            for path in files.get((run, batch), []):
+                self.folder.delete(path)
+            self.folder.delete(f"hot/commits/{run}-{batch}.json")
+        named = {f"hot/segments/{s['name']}" for s in at.segments} | {f"cold/compaction={c['compaction']}" for c in at.cold}
+        for pattern in ("hot/segments/*", "cold/compaction=*"):
+            for path in self.folder.glob(pattern):
+                if path not in named:
+                    self.folder.delete(path)
+        for n in self._snapshot_numbers():
+            if n < at.n:
+                self.folder.delete(f"manifest/{n}.json")
+        return len(gone)
 
     # ---- search -------------------------------------------------------------------------------
 
@@ -219,8 +347,10 @@ class LogTables:
         """`search` over both tables; cold directories outside the range are not even listed."""
         bounded = query.with_defaults(as_of)
         route = bounded.route(as_of, cold_age)
-        cold = self.cold(bounded.start, bounded.end) if route.needs_cold else self.cold_nothing()
-        return search(self.hot(), cold, bounded, as_of, cold_age, arrival=ARRIVAL)
+        # One snapshot for both tiers: a compaction that commits meanwhile must not hide what it moves.
+        at = self.snapshot()
+        cold = self.cold(bounded.start, bounded.end, at) if route.needs_cold else self.cold_nothing()
+        return search(self.hot(at), cold, bounded, as_of, cold_age, arrival=ARRIVAL)
 
     def cold_nothing(self) -> DataFrame:
         return self.spark.createDataFrame([], COLD_SCHEMA)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from datetime import datetime
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from emberlog.schema import BATCH_SECONDS
+from emberlog.sources.files import Folder
 from emberlog.sources.records import decode_records
 from emberlog.sources.tables import LogTables
 
@@ -48,8 +50,18 @@ def decoded_stream(records: DataFrame, as_of: datetime | str | Column | None = N
 
 def ingest(records: DataFrame, tables: LogTables, checkpoint: str, run: int = 0, available_now: bool = False,
            as_of: datetime | str | Column | None = None, name: str | None = None) -> StreamingQuery:
-    """Append a record stream to the hot table. A new checkpoint needs a new, larger `run`."""
+    """Append a record stream to the hot table; `tables.batches()` has the counts of every batch.
+
+    A run belongs to the streaming query that first wrote to it, by the id in its checkpoint: batch numbers start
+    again with a new checkpoint, so it needs a new `run`, and the job fails before it replaces anything.
+    """
+    claimed = False
+
     def store(rows: DataFrame, batch_id: int) -> None:
+        nonlocal claimed
+        if not claimed:
+            tables.claim(run, json.loads(Folder(tables.spark, checkpoint).read("metadata"))["id"])
+            claimed = True
         tables.append(rows, batch_id, run)
 
     return run_batches(decoded_stream(records, as_of), store, checkpoint, available_now, name=name)

@@ -1,21 +1,21 @@
-"""Streaming counts and latency windows, and the figures a running query reports about itself."""
+"""Streaming counts and latency windows, and the number of rows that come too late for them."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQueryListener
 
 from emberlog.operators.histograms import INF
 from emberlog.schema import EVALUATION_STEP, RATE_WINDOW
 
 
 def counts_per_step(logs: DataFrame, delay: str = "24 hours", step: timedelta = EVALUATION_STEP) -> DataFrame:
-    """Entries by source and level per step of event time."""
+    """Entries by source and level per step of event time, for append mode: a step comes out once, when the watermark has
+    passed it. Rows more than `delay` behind the newest are dropped; `LateRows` counts them."""
     width = f"{int(step.total_seconds())} seconds"
     return (logs.withWatermark("timestamp", delay)
             .groupBy(F.window("timestamp", width), "source", "level")
@@ -27,7 +27,8 @@ def sliding_buckets(observations: DataFrame, ts: str, value: str, bounds: Sequen
                     delay: str = "24 hours", length: timedelta = RATE_WINDOW, step: timedelta = EVALUATION_STEP) -> DataFrame:
     """Cumulative latency buckets per sliding window, for `histogram_quantile` over the stored rows.
 
-    Observations are counted per step first; only the finished steps are spread over the windows.
+    Observations are counted per step first; only the finished steps are spread over the windows. Rows more than
+    `delay` behind the newest are dropped; `LateRows` counts them.
     """
     edges = [*bounds, INF]
     names = [f"_b{i}" for i in range(len(edges))]
@@ -42,19 +43,24 @@ def sliding_buckets(observations: DataFrame, ts: str, value: str, bounds: Sequen
     return windows.select(F.col("window.start").alias("window_start"), *by, F.inline(rows))
 
 
-PROGRESS_SCHEMA = T.StructType([
-    T.StructField("batch_id", T.LongType()),
-    T.StructField("input_rows", T.LongType()),
-    T.StructField("accepted", T.LongType()),
-    T.StructField("rejected", T.LongType()),
-])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streaming aggregates drop because they come behind the watermark, per query.
 
+    Add it with `spark.streams.addListener`; the counts cover every batch since then.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[str(event.progress.id)] = self.dropped.get(str(event.progress.id), 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
 
-def progress_rows(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Per recent micro-batch: rows read, accepted and rejected (the query keeps its last 100)."""
-    rows = []
-    for p in query.recentProgress:
-        seen = p.observedMetrics.get("ingest")
-        if seen is not None:
-            rows.append((p.batchId, p.numInputRows, seen["accepted"], seen["rejected"]))
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    def onQueryTerminated(self, event) -> None:
+        pass

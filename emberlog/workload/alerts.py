@@ -11,6 +11,7 @@ from emberlog.operators.alerts import (
     AlertRule, backpressure_engaged, consumer_lag_growing, evaluate, high_query_latency,
 )
 from emberlog.operators.backpressure import dropped, hysteresis, running_depth, transitions
+from emberlog.operators.counters import lag_series
 from emberlog.operators.histograms import QUERY_BOUNDS
 from emberlog.operators.rates import sliding_quantile
 from emberlog.workload.fixtures import events
@@ -23,12 +24,12 @@ def or_minus_one(name: str) -> F.Column:
     return F.coalesce(name, F.lit(-1)).alias(name)
 
 
-def _hold_sql(samples: str, keys: str, order: str, condition: str, hold_us: int) -> str:
+def _hold_sql(samples: str, keys: str, order: str, condition: str, hold_us: int, gap_us: int) -> str:
     """CTEs up to `held`: active, held_us and firing per sample of `samples`, by gaps and islands."""
     return f"""
     marked AS (SELECT *, coalesce({condition}, false) AS active FROM {samples}),
     changed AS (SELECT *, CASE WHEN active IS DISTINCT FROM lag(active) OVER (PARTITION BY {keys} ORDER BY {order})
-      THEN 1 ELSE 0 END AS change FROM marked),
+      OR epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {keys} ORDER BY {order}) > {gap_us} THEN 1 ELSE 0 END AS change FROM marked),
     islands AS (SELECT *, sum(change) OVER (PARTITION BY {keys} ORDER BY {order}) AS island FROM changed),
     held AS (SELECT *, CASE WHEN active THEN epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY {keys}, island) END
       AS held_us FROM islands),
@@ -39,13 +40,13 @@ SPIKE = AlertRule("SlowRequests", "warning", 30.0, timedelta(hours=3))
 
 
 @query(f"""WITH samples AS (SELECT event_id, user_id % 12 AS shard, ts, value FROM events),
-    {_hold_sql('samples', 'shard', 'ts, event_id', 'value > 30', 10_800_000_000)}
+    {_hold_sql('samples', 'shard', 'ts, event_id', 'value > 30', 10_800_000_000, 2 * HOUR_US)}
     SELECT event_id, shard, active, coalesce(held_us, -1) AS held_us, firing, 'SlowRequests' AS alert, 'warning' AS severity FROM judged""")
 def alert_hold_for(spark: SparkSession, sf: str) -> DataFrame:
     """Value above a threshold for three hours without a break, per shard."""
     samples = events(spark, sf).select(
         "event_id", (F.col("user_id") % 12).alias("shard"), "ts", "value")
-    return evaluate(SPIKE, samples, ["shard"], ["ts", "event_id"]).select(
+    return evaluate(SPIKE, samples, ["shard"], ["ts", "event_id"], max_gap=2 * HOUR).select(
         "event_id", "shard", "active", or_minus_one("held_us"), "firing", "alert", "severity")
 
 
@@ -58,7 +59,7 @@ P95_SQL = f"""
     p95 AS (SELECT make_timestamp(window_start) AS ts, round(quantile, 6) AS value FROM found)"""
 
 
-@query(f"""WITH {LATENCIES_CTE}, {P95_SQL}, {_hold_sql('p95', '1', 'ts', 'value > 0.5', 300_000_000)}
+@query(f"""WITH {LATENCIES_CTE}, {P95_SQL}, {_hold_sql('p95', '1', 'ts', 'value > 0.5', 300_000_000, 2 * HOUR_US)}
     SELECT epoch_us(ts) AS ts_us, value, active, coalesce(held_us, -1) AS held_us, firing, 'HighQueryLatency' AS alert,
            'warning' AS severity FROM judged""")
 def alert_high_query_latency(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,22 +67,42 @@ def alert_high_query_latency(spark: SparkSession, sf: str) -> DataFrame:
     timed = latencies(spark, sf).withColumn("seconds", F.col("seconds") * 3.5)
     p95 = sliding_quantile(timed, "ts", "seconds", QUERY_BOUNDS, [], length=2 * HOUR, step=HOUR)
     samples = p95.select(F.timestamp_micros("window_start").alias("ts"), F.round("quantile", 6).alias("value"))
-    return high_query_latency(samples, [], ["ts"]).select(
+    return high_query_latency(samples, [], ["ts"], max_gap=2 * HOUR).select(
         F.unix_micros("ts").alias("ts_us"), "value", "active", or_minus_one("held_us"), "firing", "alert", "severity")
 
 
-@query(f"""WITH samples AS (SELECT 'group-' || (user_id % 7) AS consumer_group, event_id, ts,
-      CAST(floor(value * 5000) AS BIGINT) AS lag FROM events),
-    {_hold_sql('samples', 'consumer_group', 'ts, event_id', 'lag > 100000', 180_000_000)}
-    SELECT event_id, consumer_group, active, coalesce(held_us, -1) AS held_us, firing, 'ConsumerLagGrowing' AS alert, 'critical' AS severity
-    FROM judged""")
-def alert_consumer_lag(spark: SparkSession, sf: str) -> DataFrame:
-    """The lag alert per consumer group."""
+# A partition's sample holds until its next one or for six hours, at every full hour.
+LAG_SERIES_CTE = f"""samples AS (
+    SELECT 'group-' || (user_id % 7) AS consumer_group, user_id % 28 // 7 AS "partition", epoch_us(ts) AS us, event_id,
+           CAST(floor(value * 500) AS BIGINT) AS lag FROM events),
+  spans AS (SELECT *, least(us + 6 * {HOUR_US}, coalesce(lead(us) OVER (PARTITION BY consumer_group, "partition" ORDER BY us, event_id), us + 6 * {HOUR_US}))
+    AS until FROM samples),
+  steps AS (SELECT consumer_group, lag, unnest(range((us + {HOUR_US} - 1) // {HOUR_US}, (until + {HOUR_US} - 1) // {HOUR_US})) AS step FROM spans),
+  series AS (SELECT consumer_group, make_timestamp(step * {HOUR_US}) AS ts, CAST(sum(lag) AS BIGINT) AS lag FROM steps GROUP BY consumer_group, step)"""
+
+
+def group_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """Summed lag of seven groups with four partitions each, every hour."""
     samples = events(spark, sf).select(
-        F.concat(F.lit("group-"), (F.col("user_id") % 7).cast("string")).alias("consumer_group"), "event_id", "ts",
-        F.floor(F.col("value") * 5000).alias("lag"))
-    return consumer_lag_growing(samples, ["ts", "event_id"]).select(
-        "event_id", "consumer_group", "active", or_minus_one("held_us"), "firing", "alert", "severity")
+        F.concat(F.lit("group-"), (F.col("user_id") % 7).cast("string")).alias("consumer_group"),
+        F.floor(F.col("user_id") % 28 / 7).alias("partition"), "ts", F.col("event_id").alias("offset"),
+        (F.floor(F.col("value") * 500) + F.col("event_id") + 1).alias("high_water_mark"))
+    return lag_series(samples, HOUR, 6 * HOUR)
+
+
+@query(f"WITH {LAG_SERIES_CTE} SELECT consumer_group, epoch_us(ts) AS ts_us, lag FROM series")
+def consumer_lag_series(spark: SparkSession, sf: str) -> DataFrame:
+    """A group's lag over time: the sum over its partitions' last samples at every step."""
+    return group_lag(spark, sf).select("consumer_group", F.unix_micros("ts").alias("ts_us"), "lag")
+
+
+@query(f"""WITH {LAG_SERIES_CTE}, {_hold_sql('series', 'consumer_group', 'ts', 'lag > 100000', 180_000_000, 2 * HOUR_US)}
+    SELECT consumer_group, epoch_us(ts) AS ts_us, lag, active, coalesce(held_us, -1) AS held_us, firing, 'ConsumerLagGrowing' AS alert,
+           'critical' AS severity FROM judged""")
+def alert_consumer_lag(spark: SparkSession, sf: str) -> DataFrame:
+    """The lag alert over the summed lag of each group."""
+    return consumer_lag_growing(group_lag(spark, sf), ["ts"], max_gap=2 * HOUR).select(
+        "consumer_group", F.unix_micros("ts").alias("ts_us"), "lag", "active", or_minus_one("held_us"), "firing", "alert", "severity")
 
 
 def depth_changes(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,11 +175,11 @@ def shedding_dropped(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {STATES_CTE}, samples AS (SELECT ingestor, seq, make_timestamp(us) AS ts,
       active::INT AS value FROM states),
-    {_hold_sql('samples', 'ingestor', 'ts, seq', 'value = 1', 120_000_000)}
+    {_hold_sql('samples', 'ingestor', 'ts, seq', 'value = 1', 120_000_000, 12 * HOUR_US)}
     SELECT ingestor, seq, active, coalesce(held_us, -1) AS held_us, firing, 'BackpressureEngaged' AS alert, 'warning' AS severity FROM judged""")
 def alert_backpressure(spark: SparkSession, sf: str) -> DataFrame:
     """The shedding alert over the shedding state."""
     state = shedding_states(spark, sf).select(
         "ingestor", "seq", "ts", F.col("active").cast("int").alias("value"))
-    return backpressure_engaged(state, ["ingestor"], ["ts", "seq"], "value").select(
+    return backpressure_engaged(state, ["ingestor"], ["ts", "seq"], "value", 12 * HOUR).select(
         "ingestor", "seq", "active", or_minus_one("held_us"), "firing", "alert", "severity")

@@ -54,13 +54,12 @@ def error_counts_by_type(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {DECODED_CTE} SELECT event_id, ts_us, ts_us = {AS_OF_US} AS filled FROM decoded
-    WHERE kind IN ({NO_TIME}, {ZERO_TIME}, {NULL_BODY}) OR kind >= 10""")
+    ORDER BY event_id""")
 def ingest_fill_timestamp(spark: SparkSession, sf: str) -> DataFrame:
     """Missing and zero timestamps become the ingest time."""
     decoded = good(decode_records(client_records(spark, sf), AS_OF))
     us = as_micros(F.col("timestamp"))
-    return (decoded.filter((F.col("level").isNotNull()) | (us == AS_OF_US))
-            .select("event_id", us.alias("ts_us"), (us == AS_OF_US).alias("filled")))
+    return decoded.select("event_id", us.alias("ts_us"), (us == AS_OF_US).alias("filled"))
 
 
 BODY_ROWS = 50

@@ -52,21 +52,34 @@ def search_labels(spark: SparkSession, sf: str) -> DataFrame:
     return out(LogQuery(labels={"k": "42"}).match(logs(spark, sf)))
 
 
-@query(_where("label_k = '7'"))
+def _regional(spark: SparkSession, sf: str) -> DataFrame:
+    """The logs, one in four with a second label."""
+    region = F.map_concat("labels", F.create_map(F.lit("region"), F.lit("eu")))
+    return logs(spark, sf).withColumn("labels", F.when(F.col("ingest_seq") % 4 == 1, region).otherwise(F.col("labels")))
+
+
+@query(_where("label_k = '7' AND ingest_seq % 4 <> 1"))
 def search_labels_empty_value(spark: SparkSession, sf: str) -> DataFrame:
     """A wanted '' matches entries without the key."""
-    return out(LogQuery(labels={"k": "7", "region": ""}).match(logs(spark, sf)))
+    return out(LogQuery(labels={"k": "7", "region": ""}).match(_regional(spark, sf)))
+
+
+@query(_where("label_k = '42' AND ingest_seq % 4 = 1"))
+def search_labels_both(spark: SparkSession, sf: str) -> DataFrame:
+    """Every wanted label must be there."""
+    return out(LogQuery(labels={"k": "42", "region": "eu"}).match(_regional(spark, sf)))
 
 
 COMBINED = LogQuery(start="2024-01-05 00:00:00", end="2024-01-25 00:00:00", source="error", level="ERROR",
                     text="1 from", labels={"region": ""})
 COMBINED_SQL = """"timestamp" BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-25 00:00:00'
-  AND source = 'error' AND level = 'ERROR' AND contains(message, '1 from')"""
+  AND source = 'error' AND level = 'ERROR' AND contains(message, '1 from')
+  AND ingest_seq % 4 <> 1"""
 
 
 @query(_where(COMBINED_SQL))
 def search_combined(spark: SparkSession, sf: str) -> DataFrame:
-    return out(COMBINED.match(logs(spark, sf)))
+    return out(COMBINED.match(_regional(spark, sf)))
 
 
 def _tiers(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -143,6 +156,16 @@ def search_newest(spark: SparkSession, sf: str) -> DataFrame:
     return _result(spark, sf, LogQuery(**{**TIERED.__dict__, "order": "newest"}))
 
 
+@query(f"""WITH {LOGS_CTE}, picked AS (
+    SELECT * FROM (SELECT *, 'hot' AS tier FROM logs WHERE "timestamp" >= TIMESTAMP '{CUTOFF}' AND "timestamp" <= TIMESTAMP '{AS_OF}'
+      ORDER BY "timestamp" DESC, id LIMIT 1000)
+    UNION ALL SELECT * FROM (SELECT *, 'cold' AS tier FROM logs WHERE "timestamp" < TIMESTAMP '{CUTOFF}' ORDER BY "timestamp" DESC, id LIMIT 1000))
+  SELECT {OUT_SQL}, tier, row_number() OVER (ORDER BY "timestamp" DESC, id) AS position FROM picked""")
+def search_newest_unlimited(spark: SparkSession, sf: str) -> DataFrame:
+    """Limit 0 does not cut the merged result in either order."""
+    return _result(spark, sf, LogQuery(start="2024-01-01 00:00:00", end=AS_OF, order="newest"))
+
+
 @query(f"""WITH {LOGS_CTE}, m AS (SELECT count(*) AS n FROM logs WHERE {TIERED_SQL})
   SELECT least(n, 50) AS total_count, n AS matched_count, 'tiered' AS tier FROM m""")
 def search_summary(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,62 +8,77 @@ from pyspark.sql import functions as F
 from emberlog.functions.timefmt import as_micros
 from emberlog.schema import RECORD_SCHEMA
 from emberlog.session import shared_dir
+from emberlog.sources.files import Folder
 from emberlog.sources.records import publish_files, to_records
 from emberlog.sources.tables import LogTables
 from emberlog.streaming.dedup import drop_redelivered, drop_redelivered_stream
 from emberlog.streaming.ingest import ingest
-from emberlog.streaming.metrics import counts_per_step, progress_rows
+from emberlog.streaming.metrics import counts_per_step, sliding_buckets
 from emberlog.streaming.shedding import shed
 from emberlog.streaming.sources import file_records
 from emberlog.workload.alerts import COOL, MAX_DEPTH, STATES_CTE, depth_samples, or_minus_one
 from emberlog.workload.fixtures import (
-    AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, logs,
+    AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, events, logs,
 )
 from emberlog.workload.ingest import REJECTED
 from emberlog.workload.metrics import HOUR, HOUR_US
 from emberlog.workload.registry import query
 
 
-def _record_folder(spark: SparkSession, sf: str) -> str:
+FILES = 4
+
+
+def _in_files(rows: DataFrame, path: str, part: F.Column, parts: range = range(FILES)) -> None:
+    """One file per part, written one after the other, so that a stream reads them in order, one per batch."""
+    for i in parts:
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+
+
+def _record_files(spark: SparkSession, sf: str, path: str, parts: range = range(FILES)) -> None:
     """The client records as a folder of stream record files."""
-    path = shared_dir(spark, "records")
     records = client_records(spark, sf).select(
         F.lit(None).cast("string").alias("key"), "value",
         (F.col("event_id") % 12).cast("int").alias("partition"), F.col("event_id").alias("offset"),
         F.timestamp_micros(F.lit(AS_OF_US)).alias("timestamp"))
-    records.write.parquet(path)
-    return path
+    _in_files(records, path, F.col("offset") % FILES, parts)
 
 
-def _ingested(spark: SparkSession, sf: str) -> tuple[LogTables, DataFrame]:
+def _ingested(spark: SparkSession, sf: str) -> LogTables:
+    """The records streamed in with one file per batch, a stop in between, and the last batch before it handed over again."""
     tables = LogTables(spark, shared_dir(spark, "tables"))
-    stream = file_records(spark, _record_folder(spark, sf))
-    job = ingest(stream, tables, shared_dir(spark, "checkpoint"), available_now=True)
-    job.awaitTermination()
-    return tables, progress_rows(spark, job)
+    path, checkpoint = shared_dir(spark, "records"), shared_dir(spark, "checkpoint")
 
+    def run() -> None:
+        ingest(file_records(spark, path, max_files=1), tables, checkpoint, available_now=True).awaitTermination()
 
-@query(f"""WITH {DECODED_CTE} SELECT event_id AS "offset", CAST(event_id % 12 AS INTEGER) AS partition, id, ts_us, source, level,
-    message, label_k, trace_id FROM decoded""")
+    _record_files(spark, sf, path, range(2))
+    run()
+    # As if the job had died between the write of batch 1 and its commit.
+    Folder(spark, checkpoint).delete("commits/1")
+    _record_files(spark, sf, path, range(2, FILES))
+    run()
+    return tables
+
+
+@query(f"""WITH {DECODED_CTE} SELECT event_id AS "offset", CAST(event_id % 12 AS INTEGER) AS partition, event_id % 4 AS batch_id, id, ts_us,
+    source, level, message, label_k, trace_id FROM decoded""")
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
-    """Records streamed into the hot table; missing timestamps take the record's."""
-    tables, _ = _ingested(spark, sf)
-    return decoded_out(tables.hot(), "offset", "partition")
+    """Records streamed into the hot table over a restart and a replay; missing timestamps take the record's."""
+    rows = _ingested(spark, sf).hot()
+    return decoded_out(rows, "offset", "partition", "batch_id")
 
 
 @query(f"""SELECT event_id AS "offset", CAST(event_id % 12 AS INTEGER) AS partition, 'unmarshal' AS error_type FROM events
     WHERE event_id % 50 IN {REJECTED}""")
 def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
-    tables, _ = _ingested(spark, sf)
-    return tables.quarantine().select("offset", "partition", "error_type")
+    return _ingested(spark, sf).quarantine().select("offset", "partition", "error_type")
 
 
-@query(f"""SELECT count(*) AS input_rows, count(*) FILTER (event_id % 50 NOT IN {REJECTED}) AS accepted,
-    count(*) FILTER (event_id % 50 IN {REJECTED}) AS rejected FROM events""")
+@query(f"""SELECT event_id % 4 AS batch_id, count(*) AS input_rows, count(*) FILTER (event_id % 50 NOT IN {REJECTED}) AS accepted,
+    count(*) FILTER (event_id % 50 IN {REJECTED}) AS rejected FROM events GROUP BY 1""")
 def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """What the running query reported about its batches."""
-    _, progress = _ingested(spark, sf)
-    return progress.agg(*[F.sum(c).alias(c) for c in ("input_rows", "accepted", "rejected")])
+    """What the stream wrote down about its batches."""
+    return _ingested(spark, sf).batches().select("batch_id", "input_rows", "accepted", "rejected")
 
 
 @query(f"""WITH {LOGS_CTE} SELECT CASE WHEN trace_id <> '' THEN 'trace' ELSE 'source' END AS key_kind,
@@ -94,13 +109,15 @@ REDELIVERED_SQL = """SELECT event_id AS ingest_seq, CASE WHEN event_id % 7 = 0 T
 
 @query(REDELIVERED_SQL)
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Streaming removal of redelivered copies; rows without an id all stay."""
+    """Streaming removal of redelivered copies over several batches; entries far behind the newest pass, rows without an
+    id all stay."""
     source = shared_dir(spark, "redelivered")
     rows = _redelivered(spark, sf)
-    rows.write.parquet(source)
+    # Copies of one id lie in different batches, and times of the month are mixed in each.
+    _in_files(rows, source, (F.col("ingest_seq") + F.col("copy")) % FILES)
     target = shared_dir(spark, "deduplicated")
-    # The whole input counts as one delivery period, so no copy is too late to be recognised.
-    unique = drop_redelivered_stream(spark.readStream.schema(rows.schema).parquet(source), "60 days")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    unique = drop_redelivered_stream(stream)
     job = (unique.select("ingest_seq", "id").writeStream.format("parquet").option("path", target)
            .option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True).start())
     job.awaitTermination()
@@ -114,25 +131,42 @@ def batch_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return unique.groupBy("ingest_seq", "id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _replace(path: str):
-    def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(path)
-    return write
+def _finished(spark: SparkSession, rows: DataFrame, ts: str, transform, schema: str) -> DataFrame:
+    """An append-mode stream over rows in order of time, one week per batch, up to a last row far in the future, which
+    lets every window before it finish."""
+    source, target = shared_dir(spark, "timed"), shared_dir(spark, "finished")
+    last = rows.orderBy(F.desc(ts)).limit(1).withColumn(ts, F.col(ts) + F.expr("interval 60 days"))
+    week = F.floor((F.dayofmonth(ts) - 1) / 7)
+    _in_files(rows, source, week, range(5))
+    last.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    (transform(stream).writeStream.format("parquet").option("path", target)
+     .option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(schema).parquet(target)
 
 
 @query(f"""WITH {LOGS_CTE} SELECT epoch_us("timestamp") // {HOUR_US} * {HOUR_US} AS start_us, source, level,
     count(*) AS entries FROM logs GROUP BY 1, 2, 3""")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """Entries per hour, source and level, counted by a stream; every batch rewrites the result table."""
-    source, target = shared_dir(spark, "logs"), shared_dir(spark, "counts")
+    """Entries per hour, source and level, counted by a stream that gives out each hour once it is over."""
     rows = logs(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp")).drop("labels")
-    rows.write.parquet(source)
-    counted = counts_per_step(spark.readStream.schema(rows.schema).parquet(source), step=HOUR)
-    writer = counted.writeStream.outputMode("complete").foreachBatch(_replace(target))
-    writer.option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True).start(
-    ).awaitTermination()
-    return spark.read.schema("start timestamp, source string, level string, entries bigint").parquet(target).select(
-        as_micros(F.col("start")).alias("start_us"), "source", "level", "entries")
+    counted = _finished(spark, rows, "timestamp", lambda s: counts_per_step(s, step=HOUR),
+                        "start timestamp, source string, level string, entries bigint")
+    return counted.select(as_micros(F.col("start")).alias("start_us"), "source", "level", "entries")
+
+
+@query(f"""WITH steps AS (SELECT epoch_us(ts) // {HOUR_US} AS step, event_type AS kind, value / 1000 AS seconds FROM events),
+    spread AS (SELECT step - o.k AS start, kind, seconds FROM steps CROSS JOIN (SELECT unnest(range(3)) AS k) AS o),
+    le AS (SELECT unnest([0.01, 0.05, 1e308]) AS le)
+  SELECT start * {HOUR_US} AS start_us, kind, least(le, 1e300) AS le, count(*) FILTER (seconds <= le) AS count
+  FROM spread CROSS JOIN le GROUP BY 1, 2, 3""")
+def stream_latency(spark: SparkSession, sf: str) -> DataFrame:
+    """Latency buckets of three-hour windows that slide by an hour, from a stream."""
+    rows = events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"),
+                                    (F.col("value") / 1000).alias("seconds"))
+    found = _finished(spark, rows, "ts", lambda s: sliding_buckets(s, "ts", "seconds", [0.01, 0.05], ["kind"], length=3 * HOUR, step=HOUR),
+                      "window_start timestamp, kind string, le double, count bigint")
+    return found.select(as_micros(F.col("window_start")).alias("start_us"), "kind", F.least("le", F.lit(1e300)).alias("le"), "count")
 
 
 @query(f"WITH RECURSIVE {STATES_CTE} SELECT ingestor, seq, accept, active, coalesce(engaged_us, -1) AS engaged_us FROM states")
@@ -140,8 +174,10 @@ def stream_shedding(spark: SparkSession, sf: str) -> DataFrame:
     """Load-shedding state over a stream, carried from batch to batch."""
     source, target = shared_dir(spark, "depths"), shared_dir(spark, "shedding")
     rows = depth_samples(spark, sf)
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).parquet(source)
+    # A quarter of the samples per batch: the state is carried over three times.
+    quarter = F.floor((F.col("seq") - rows.agg(F.min("seq")).first()[0]) * FILES / rows.count()).cast("int")
+    _in_files(rows, source, F.least(quarter, F.lit(FILES - 1)))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     shed(stream, target, shared_dir(spark, "checkpoint"), MAX_DEPTH, COOL, available_now=True).awaitTermination()
     schema = "ingestor bigint, seq bigint, accept boolean, active boolean, engaged_us bigint"
     return spark.read.schema(schema).parquet(f"{target}/states").select(

@@ -12,9 +12,10 @@ from emberlog.operators.counters import acknowledged, storage_by_tier, tier_coun
 from emberlog.operators.retention import drain, evict, lateness
 from emberlog.plans.query import LogQuery
 from emberlog.plans.search import with_position
-from emberlog.schema import ARCHIVE_CHUNK, ARRIVAL
+from emberlog.schema import ARRIVAL
 from emberlog.session import shared_dir
 from emberlog.sources.archive import chunks, read_archive, skipped_objects, write_archive
+from emberlog.sources.files import Folder
 from emberlog.sources.tables import LogTables, object_manifest
 from emberlog.workload.fixtures import (
     AS_OF, AS_OF_US, CUTOFF, LOGS_CTE, OUT_SQL, RETENTION_CUTOFF, logs, out,
@@ -53,19 +54,21 @@ def entries_by_tier(spark: SparkSession, sf: str) -> DataFrame:
     return tier_counts(hot.select(F.lit("hot").alias("tier")).unionByName(cold.select(F.lit("cold").alias("tier"))))
 
 
+# Small enough that the smallest tables make several objects and several blocks of ranks.
+CHUNK = 300
 ARCHIVED_CTE = LOGS_CTE + f""",
 aged AS (SELECT *, row_number() OVER (ORDER BY ingest_seq) - 1 AS place FROM logs
          WHERE "timestamp" < TIMESTAMP '{CUTOFF}')"""
 
 
-@query(f"""WITH {ARCHIVED_CTE}, c AS (SELECT place // {ARCHIVE_CHUNK} AS chunk, min("timestamp") AS first,
+@query(f"""WITH {ARCHIVED_CTE}, c AS (SELECT place // {CHUNK} AS chunk, min("timestamp") AS first,
       max("timestamp") AS last, count(*) AS entry_count FROM aged GROUP BY 1)
   SELECT chunk, entry_count, 'logs/' || strftime(first, '%Y/%m/%d') || '/' || (epoch_us(first) * 1000) || '.json.gz'
     AS object, epoch_us(first) AS start_us, epoch_us(last) AS end_us FROM c""")
 def archive_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """The archive objects of a compaction: runs of rows in arrival order."""
     cold, _ = drain(logs(spark, sf), AS_OF)
-    return chunks(cold).select(
+    return chunks(cold, chunk_rows=CHUNK, block=CHUNK * 3).select(
         "chunk", "entry_count", "object", as_micros(F.col("start_time")).alias("start_us"),
         as_micros(F.col("end_time")).alias("end_us"))
 
@@ -83,20 +86,36 @@ def archive_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         F.col("labels")["k"].alias("label_k"), "trace_id")
 
 
-@query(f"""WITH {ARCHIVED_CTE} SELECT count(DISTINCT place // {ARCHIVE_CHUNK}) AS objects, 0::BIGINT AS skipped FROM aged""")
+@query(f"""WITH {ARCHIVED_CTE} SELECT place // {CHUNK} AS chunk, count(*) AS entries, true AS ascending FROM aged GROUP BY 1""")
+def archive_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Every object holds its entries in ascending time order."""
+    cold, _ = drain(logs(spark, sf), AS_OF)
+    stamps = F.from_json("value", "array<struct<timestamp:string>>")["timestamp"]
+    times = F.transform(stamps, lambda t: F.unix_micros(t.cast("timestamp")))
+    return chunks(cold, chunk_rows=CHUNK).select(
+        "chunk", F.size(times).cast("long").alias("entries"), (times == F.array_sort(times)).alias("ascending"))
+
+
+@query(f"""WITH {ARCHIVED_CTE} SELECT count(DISTINCT place // {CHUNK}) + 3 AS objects, 3::BIGINT AS skipped, count(*) AS entries FROM aged""")
 def archive_skipped(spark: SparkSession, sf: str) -> DataFrame:
-    """Objects of an archive, and how many of them cannot be read."""
+    """Objects of an archive, and how many of them cannot be read: no gzip, no array, an element of the wrong type."""
     cold, _ = drain(logs(spark, sf), AS_OF)
     path = shared_dir(spark, "archive")
-    write_archive(cold, path)
+    write_archive(cold, path, chunk_rows=CHUNK)
+    bad = Folder(spark, path)
+    bad.publish("dt=2024-01-02/torn.txt.gz", "not gzip")
+    bad.publish("dt=2024-01-02/object.txt", '{"id": "1"}')
+    bad.publish("dt=2024-01-02/mixed.txt", '[{"id": "1"}, {"id": 2}]')
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
               .select(F.lit(0).alias("skipped")))
     skipped = skipped_objects(spark, path).select(F.lit(1).alias("skipped"))
-    return listed.unionByName(skipped).agg(
-        F.count_if(F.col("skipped") == 0).alias("objects"), F.sum("skipped").alias("skipped"))
+    read = read_archive(spark, path).select(F.lit(2).alias("skipped"))
+    return listed.unionByName(skipped).unionByName(read).agg(
+        F.count_if(F.col("skipped") == 0).alias("objects"), F.count_if(F.col("skipped") == 1).alias("skipped"),
+        F.count_if(F.col("skipped") == 2).alias("entries"))
 
 
-def _stored(spark: SparkSession, sf: str, as_of: str | None = None) -> LogTables:
+def _stored(spark: SparkSession, sf: str, as_of: str | None = None, files: int | None = None, rows_per_file: int = 0) -> LogTables:
     """Tables that hold the logs in three batches, compacted twice, with late rows in between.
 
     The first two batches are compacted; the third arrives after that, so its aged rows are still hot.
@@ -105,10 +124,12 @@ def _stored(spark: SparkSession, sf: str, as_of: str | None = None) -> LogTables
     rows = logs(spark, sf).drop("ingest_seq").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     part = F.pmod(F.col("id").cast("long"), F.lit(3))
     offsets = rows.withColumn("offset", F.col("id").cast("long"))
+    if files:
+        offsets = offsets.coalesce(files)
     tables.append(offsets.filter(part == 0), 0)
-    tables.compact(utc(AS_OF) - timedelta(days=10))
+    tables.compact(utc(AS_OF) - timedelta(days=10), files=files, rows_per_file=rows_per_file)
     tables.append(offsets.filter(part == 1), 1)
-    tables.compact(as_of or AS_OF)
+    tables.compact(as_of or AS_OF, files=files, rows_per_file=rows_per_file)
     tables.append(offsets.filter(part == 2), 2)
     return tables
 
@@ -170,11 +191,42 @@ def stored_batches(spark: SparkSession, sf: str) -> DataFrame:
     return acknowledged(_stored(spark, sf).stored(), "batch_id")
 
 
-@query()
+@query(f"""WITH {LOGS_CTE}, aged AS (SELECT strftime("timestamp", '%Y-%m-%d') AS dt,
+      CASE WHEN ingest_seq % 3 = 0 AND "timestamp" < TIMESTAMP '2024-01-19 18:00:00' THEN 0 ELSE 1 END AS n
+    FROM logs WHERE ingest_seq % 3 < 2 AND "timestamp" < TIMESTAMP '{CUTOFF}'),
+  objects AS (SELECT ceil(count(*) / 50) AS files FROM aged GROUP BY n, dt)
+  SELECT 'cold' AS tier, CAST(sum(files) AS BIGINT) AS objects, true AS filled FROM objects
+  UNION ALL SELECT 'new', 3, true""")
 def storage_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """Bytes and objects of the cold table and of the hot table's files."""
-    tables = _stored(spark, sf)
-    return storage_by_tier(tables.cold(), "cold").unionByName(storage_by_tier(tables.stored(), "hot"))
+    """Objects per tier, and whether they hold bytes: objects of at most 50 rows in cold, one file per batch in hot."""
+    tables = _stored(spark, sf, files=1, rows_per_file=50)
+    usage = (storage_by_tier(spark, tables.folder.child("cold"), "cold")
+             .unionByName(storage_by_tier(spark, tables.folder.child("hot/new"), "new")))
+    return usage.select("tier", "objects", (F.col("bytes") > F.col("objects")).alias("filled"))
+
+
+@query(f"""WITH {LOGS_CTE} SELECT id, CASE WHEN ingest_seq % 2 = 0 AND "timestamp" < TIMESTAMP '{CUTOFF}' THEN 'cold' ELSE 'hot' END AS tier
+  FROM logs""")
+def compact_two_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that writes smaller batch numbers after a compaction of another loses nothing."""
+    tables = LogTables(spark, shared_dir(spark, "tables"))
+    rows = logs(spark, sf).drop("ingest_seq").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    even = F.col("id").cast("long") % 2 == 0
+    tables.append(rows.filter(even), 5, run=1)
+    tables.compact(AS_OF)
+    tables.append(rows.filter(~even), 2, run=0)
+    return (tables.hot().select("id", F.lit("hot").alias("tier"))
+            .unionByName(tables.cold().select("id", F.lit("cold").alias("tier"))))
+
+
+@query(f"""WITH {LOGS_CTE} SELECT id FROM logs WHERE "timestamp" >= TIMESTAMP '{RETENTION_CUTOFF}'""")
+def evicted_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """After an eviction, old rows are gone from a batch that also holds young ones."""
+    tables = LogTables(spark, shared_dir(spark, "tables"))
+    rows = logs(spark, sf).drop("ingest_seq").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    tables.append(rows, 0)
+    tables.evict(AS_OF)
+    return tables.stored().select("id")
 
 
 @query(f"""WITH {LOGS_CTE} SELECT {OUT_SQL} FROM logs

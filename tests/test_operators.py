@@ -16,7 +16,7 @@ from emberlog.operators.histograms import (
 )
 from emberlog.operators.ordered import global_rank, previous, running_max, running_sum, seq_block, time_block
 from emberlog.operators.rates import counter_increments, counter_rate, event_rate
-from emberlog.operators.reconcile import reconcile, totals
+from emberlog.operators.reconcile import lost, reconcile, totals
 from tests.helpers import plan
 
 T0 = datetime(2024, 3, 10, tzinfo=timezone.utc)
@@ -146,11 +146,17 @@ def test_reconcile(spark):
     row = totals(reconcile(sent, stored)).first()
     # The 54 extra copies hide the 54 losses from a plain count.
     assert (row.sent, row.recovered, row.lost, row.redelivered, row.extra_copies) == (300, 246, 54, 1, 54)
+    nameless = spark.createDataFrame([("",), ("",), (None,), ("a",)], "id string")
+    assert [r.id for r in reconcile(nameless, nameless).collect()] == ["a"]
+    assert lost(nameless, stored).count() == 1
 
 
-def hold_python(rows, hold_us):
-    out, since = {}, {}
+def hold_python(rows, hold_us, gap_us):
+    out, since, last = {}, {}, {}
     for key, us, seq, cond in sorted(rows, key=lambda r: (r[1], r[2])):
+        if gap_us is not None and us - last.get(key, us) > gap_us:
+            since[key] = None
+        last[key] = us
         since[key] = (since.get(key) if since.get(key) is not None else us) if cond else None
         out[key, seq] = (cond, None if since[key] is None else us - since[key],
                          since[key] is not None and us - since[key] >= hold_us)
@@ -159,15 +165,17 @@ def hold_python(rows, hold_us):
 
 @pytest.mark.parametrize("seed", range(4))
 @pytest.mark.parametrize("seconds", [20, 300, 3600])
-def test_hold_for(spark, seed, seconds):
+@pytest.mark.parametrize("gap", [None, 150, 700])
+def test_hold_for(spark, seed, seconds, gap):
     rng = random.Random(seed)
     rows, us = [], 0
     for seq in range(300):
         us += rng.choice([0, 15, 15, 15, 200, 900]) * 1_000_000
         rows.append((rng.choice("aab"), us, seq, rng.random() < (0.8, 0.97, 0.3, 1.0)[seed]))
     df = spark.createDataFrame(rows, "k string, us long, seq long, cond boolean").withColumn("ts", F.timestamp_micros("us"))
-    judged = hold_for(df, ["k"], ["ts", "seq"], F.col("cond"), timedelta(minutes=5), block=time_block("ts", seconds)).collect()
-    assert {(r.k, r.seq): (r.active, r.held_us, r.firing) for r in judged} == hold_python(rows, 300_000_000)
+    judged = hold_for(df, ["k"], ["ts", "seq"], F.col("cond"), timedelta(minutes=5), block=time_block("ts", seconds),
+                      max_gap=None if gap is None else timedelta(seconds=gap)).collect()
+    assert {(r.k, r.seq): (r.active, r.held_us, r.firing) for r in judged} == hold_python(rows, 300_000_000, gap and gap * 1_000_000)
 
 
 def fold(rows, max_depth, cooldown_us, engaged=None):

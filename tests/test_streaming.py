@@ -9,7 +9,7 @@ from emberlog.schema import RECORD_SCHEMA
 from emberlog.sources.tables import LogTables
 from emberlog.streaming.dedup import drop_redelivered, drop_redelivered_stream
 from emberlog.streaming.ingest import ingest, run_batches
-from emberlog.streaming.metrics import progress_rows, sliding_buckets
+from emberlog.streaming.metrics import LateRows, counts_per_step, sliding_buckets
 from emberlog.streaming.shedding import shed
 from emberlog.streaming.sources import file_records
 from tests.helpers import NOW, batch, logs
@@ -35,11 +35,11 @@ def test_restart_continues_after_the_checkpoint(spark, tmp_path):
     path, checkpoint = str(tmp_path / "in"), str(tmp_path / "cp")
     tables = LogTables(spark, str(tmp_path / "tables"))
     put(spark, path, 0, [entry("a"), "broken", entry("b")])
-    query = run(spark, tables, path, checkpoint)
+    run(spark, tables, path, checkpoint)
     assert sorted(r.id for r in tables.hot().collect()) == ["a", "b"]
     assert [r.raw for r in tables.quarantine().collect()] == ["broken"]
-    progress = progress_rows(spark, query).filter("input_rows > 0").first()
-    assert (progress.input_rows, progress.accepted, progress.rejected) == (3, 2, 1)
+    counts = tables.batches().first()
+    assert (counts.input_rows, counts.accepted, counts.rejected) == (3, 2, 1)
     run(spark, tables, path, checkpoint)
     assert tables.hot().count() == 2
     put(spark, path, 10, [entry("c")])
@@ -53,7 +53,8 @@ def test_a_new_checkpoint_with_a_new_run_adds_to_the_table(spark, tmp_path):
     tables = LogTables(spark, str(tmp_path / "tables"))
     put(spark, path, 0, [entry("a")])
     run(spark, tables, path, str(tmp_path / "cp0"))
-    run(spark, tables, path, str(tmp_path / "cp0b"))
+    with pytest.raises(Exception, match="belongs to writer"):
+        run(spark, tables, path, str(tmp_path / "cp0b"))
     assert tables.hot().count() == 1
     run(spark, tables, path, str(tmp_path / "cp1"), run=1)
     assert tables.hot().count() == 2
@@ -99,6 +100,33 @@ def test_dedup_across_batches(spark, tmp_path):
     assert kept.filter("id = ''").count() == 10
 
 
+def test_late_rows_are_deduplicated_not_dropped(spark, tmp_path):
+    path, target = str(tmp_path / "in"), str(tmp_path / "out")
+    for ident, at in (("a", NOW), ("b", NOW - timedelta(hours=49)), ("c", NOW), ("b", NOW - timedelta(hours=49))):
+        logs(spark, [(ident, at, "s", "INFO", "m", None, None, None)]).drop("labels").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    (drop_redelivered_stream(stream).writeStream.format("parquet").option("path", target)
+     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r.id for r in spark.read.parquet(target).collect()) == ["a", "b", "c"]
+
+
+def test_late_rows_of_counts_are_counted(spark, tmp_path):
+    path = str(tmp_path / "in")
+    for at in (NOW, NOW, NOW - timedelta(hours=49)):
+        logs(spark, [("x", at, "s", "INFO", "m", None, None, None)]).drop("labels").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    late = LateRows()
+    spark.streams.addListener(late)
+    try:
+        query = (counts_per_step(stream).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+                 .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start())
+        query.awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    finally:
+        spark.streams.removeListener(late)
+    assert late.dropped[str(query.id)] == 1
+
+
 def test_batch_dedup_keeps_the_first(spark):
     rows = logs(spark, batch(3, "a", NOW), batch(3, "a", NOW + timedelta(seconds=1)))
     kept = drop_redelivered(rows.drop("labels"))

@@ -63,7 +63,7 @@ def test_a_failed_compaction_loses_nothing(spark, tables):
 def test_an_unfinished_batch_is_not_compacted(spark, tables, tmp_path):
     tables.append(plain(spark, batch(5, "old", NOW - 7 * HOUR)), 0)
     tables.append(plain(spark, batch(5, "late", NOW - 8 * HOUR)), 1)
-    (tmp_path / "tables" / "hot" / "run=0" / "batch_id=1" / "_SUCCESS").unlink()
+    (tmp_path / "tables" / "hot" / "commits" / "0-1.json").unlink()
     assert tables.compact(NOW)["rows"] == 5
     assert ids(tables.hot()) == [f"late-{i}" for i in range(5)]
 
@@ -86,10 +86,13 @@ def test_hot_prunes_moved_batches(spark, tables):
     tables.append(plain(spark, batch(2, "a", NOW - 7 * HOUR)), 0)
     tables.compact(NOW)
     tables.append(plain(spark, batch(2, "b", NOW)), 1)
-    text = plan(tables.hot())
-    assert text.count("Scan parquet") == 2
-    assert "PushedFilters: [IsNotNull(timestamp), GreaterThanOrEqual(timestamp" in text
+    assert "PushedFilters: [Not(And(EqualTo(run,0)" in plan(tables.hot()) or "EqualTo(run,0)" in plan(tables.hot())
     assert ids(tables.hot()) == ["b-0", "b-1"]
+    tables.append(plain(spark, batch(2, "c", NOW - 7 * HOUR) + batch(1, "young", NOW - HOUR)), 2)
+    tables.compact(NOW)
+    text = plan(tables.hot())
+    assert text.count("Scan parquet") == 2 and "GreaterThanOrEqual(timestamp" in text
+    assert ids(tables.hot()) == ["b-0", "b-1", "young-0"]
 
 
 def test_cutoffs_do_not_go_back(spark, tables):
@@ -147,22 +150,85 @@ def test_object_manifest_and_storage(spark, tables):
     rows = object_manifest(tables.cold()).orderBy("start_time", "entry_count").collect()
     assert sorted(r.entry_count for r in rows) == [5, 10, 10]
     assert {r.start_time for r in rows} == {"2024-03-10T05:00:00Z"}
-    usage = storage_by_tier(tables.cold(), "cold").first()
+    usage = storage_by_tier(spark, tables.folder.child("cold"), "cold").first()
     assert usage.objects == 3 and usage.bytes > 0
-    assert storage_by_tier(tables.cold().limit(0), "cold").first().objects == 0
+    assert "content" not in plan(storage_by_tier(spark, tables.folder.child("cold"), "cold"))
 
 
-def test_expired_batches(spark, tables):
+def test_eviction_and_clean_up(spark, tables):
     tables.append(plain(spark, batch(5, "a", NOW - 7 * HOUR)), 0)
     tables.append(plain(spark, batch(5, "b", NOW - 30 * HOUR) + batch(1, "b2", NOW)), 1)
-    assert tables.expired_batches(NOW).count() == 0
-    tables.compact(NOW)
-    assert [r.batch_id for r in tables.expired_batches(NOW).collect()] == [0]
-    assert tables.remove_expired(NOW) == 1
-    assert ids(tables.hot()) == ["b2-0"] and tables.cold().count() == 10
-    # The bound of the next compaction still comes from the batches that are left.
+    # The old rows of the second batch go, its young row and the first batch stay.
+    assert tables.evict(NOW) == 5
+    assert ids(tables.hot()) == [*[f"a-{i}" for i in range(5)], "b2-0"]
+    assert tables.evict(NOW) == 0
     tables.append(plain(spark, batch(2, "c", NOW - 7 * HOUR)), 2)
     assert tables.compact(NOW)["upto_batch"] == 2
+    before = ids(tables.stored())
+    counts = sorted(tuple(r) for r in tables.batches().select("batch_id", "accepted").collect())
+    assert tables.clean() == 3 and tables.clean() == 0
+    assert tables.folder.glob("hot/new/*.parquet") == [] and len(tables.folder.glob("manifest/*.json")) == 1
+    assert ids(tables.stored()) == before
+    assert sorted(tuple(r) for r in tables.batches().select("batch_id", "accepted").collect()) == counts == [(0, 5), (1, 6), (2, 2)]
+    assert tables.committed_batch() == (0, 2)
+    # A replay of a cleaned batch does not bring it back.
+    tables.append(plain(spark, batch(2, "c", NOW - 7 * HOUR)), 2)
+    assert ids(tables.stored()) == before
+
+
+def test_a_search_during_a_compaction_finds_all_rows(spark, tables):
+    tables.append(plain(spark, batch(5, "old", NOW - 7 * HOUR) + batch(2, "new", NOW)), 0)
+    cold = tables.cold
+
+    def cold_then_compact(*args):
+        found = cold(*args)
+        tables.compact(NOW)
+        return found
+
+    tables.cold = cold_then_compact
+    found = tables.search(LogQuery(start=NOW - 10 * HOUR, end=NOW + HOUR, limit=100), NOW)
+    assert len(tables.folder.glob("manifest/*.json")) == 1
+    assert ids(found) == ids(plain(spark, batch(5, "old", NOW) + batch(2, "new", NOW)))
+
+
+def test_interleaved_runs_and_rows_without_a_time_lose_nothing(spark, tables):
+    nameless = [("none", None, "s", "INFO", "m", None, None, None)]
+    tables.append(plain(spark, batch(3, "r1", NOW - 7 * HOUR) + nameless), 4, run=1)
+    tables.compact(NOW)
+    tables.append(plain(spark, batch(4, "r0", NOW - 8 * HOUR)), 0, run=0)
+    tables.append(plain(spark, batch(2, "gap", NOW - 8 * HOUR)), 2, run=1)
+    everything = sorted(ids(plain(spark, batch(3, "r1", NOW) + batch(4, "r0", NOW) + batch(2, "gap", NOW))) + ["none"])
+    assert ids(tables.stored()) == everything
+    tables.compact(NOW)
+    tables.clean()
+    assert ids(tables.stored()) == everything
+    assert "none" in ids(tables.hot()) and tables.cold().count() == 9
+
+
+def test_compaction_merges_small_files(spark, tables, monkeypatch):
+    monkeypatch.setattr("emberlog.sources.tables.MERGE_BATCHES", 5)
+    for n in range(5):
+        tables.append(plain(spark, batch(2, f"b{n}", NOW)), n)
+    assert tables.compact(NOW) is None
+    assert tables.clean() == 5
+    assert tables.hot().count() == 10 and len(tables.folder.glob("hot/segments/*")) == 1
+
+
+def test_thousands_of_batches_are_listed_at_once(spark, tables, tmp_path):
+    import shutil
+    import time
+
+    tables.append(plain(spark, batch(1, "a", NOW)).coalesce(1), 0)
+    new = tmp_path / "tables" / "hot" / "new"
+    only = next(new.glob("*.parquet"))
+    for n in range(1, 3000):
+        shutil.copyfile(only, new / f"0-{n}-x-0.parquet")
+        shutil.copyfile(tmp_path / "tables" / "hot" / "commits" / "0-0.json", tmp_path / "tables" / "hot" / "commits" / f"0-{n}.json")
+    started = time.perf_counter()
+    rows = tables.hot()
+    assert time.perf_counter() - started < 3
+    assert tables.committed_batch() == (0, 2999)
+    assert rows.count() == 3000
 
 
 def test_metric_samples(spark, tmp_path):
