@@ -7,11 +7,10 @@ the similarity sought: a pair at the threshold is missed with probability MISSED
 
 Documents of one shingle set are one class, and only classes are compared. A class is a candidate only
 where a key of each collection is shared, so most documents leave before a table is formed. Buckets never
-give all their pairs: each bucket tests its members against a leader on full sets, linked members merge into
-components, and only members of different components are tested further. Rounds with other leaders go on
-until the pairs left are few for the number of bucket entries; those are then all tested. So each two
-classes of a bucket are confirmed, refuted, or already connected: the number of leaders grows by LEADERS per
-round up to the whole bucket, if need be.
+give their pairs: families of near copies, which meet in very many buckets, are cut into blocks of bounded size, and
+two blocks that meet in any bucket are confirmed together. One task holds two blocks, counts the
+shingles that their sets share by matrix products, and gives out a spanning forest of the links, so a family of n
+classes costs n rows of output and not its pairs. Links then become components.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,11 +29,8 @@ from emberlog.session import settled
 
 #: Minima in a key, and the chance that a pair at the threshold shares no key of a collection.
 ROWS, MISSED = 4, 1e-4
-#: All pairs that are left are tested once they are at most this many times the bucket entries.
-LEFT_OVER = 4
-#: Leaders of a bucket grow by this factor from round to round.
-LEADERS = 4
-_MASK = (1 << 64) - 1
+#: Shingles of a block, about; columns of one matrix product.
+BLOCK_SHINGLES, COLUMNS = 1 << 17, 4096
 
 
 def collections_for(similarity: float) -> int:
@@ -144,69 +141,104 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return (texts.select("cid", "_f1", "_f2", "_text").mapInArrow(run, "cid long, _set binary").dropDuplicates(["cid"]))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) with `linked`: den * intersection >= num * union on the full sets."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(buckets: DataFrame) -> DataFrame:
+    """(cid, block): classes that meet in buckets stand in the same blocks, as far as their size allows.
+
+    The home of a class is the least hash around it after two steps over its buckets; a home is dealt out to as
+    many blocks as its shingles fill.
+    """
+    home = buckets.select("cid", "_n").distinct().withColumn("home", F.xxhash64("cid"))
+    for _ in range(2):
+        least = buckets.join(home.select("cid", "home"), "cid").groupBy("_bucket").agg(F.min("home").alias("home"))
+        home = settled(buckets.join(least, "_bucket").groupBy("cid", "_n").agg(F.min("home").alias("home")), "home")
+    sizes = settled(home.groupBy("home").agg(F.ceil(F.sum("_n") / BLOCK_SHINGLES).alias("_parts"), F.count("*").alias("_size")), "sizes")
+    part = F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("_parts"))
+    return settled(meet(home, sizes, ["home"], "_size").select("cid", F.xxhash64("home", part).alias("block")), "blocks")
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of x with all sets of y, by matrix products over bounded ranges of columns."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    every = np.concatenate([*x, *y])
+    if not len(every):
+        return out
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
+    # A shingle of one set alone is in no intersection.
+    shared = times > 1
+    number = np.cumsum(shared) - 1
+    kept = shared[column]
+    column, row = number[column[kept]], row[kept]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    width = int(shared.sum())
+    for a in range(0, width, COLUMNS):
+        cut = slice(*np.searchsorted(column, [a, a + COLUMNS]))
+        present = np.zeros((len(x) + len(y), min(COLUMNS, width - a)), dtype=np.float32)
+        present[row[cut], column[cut] - a] = 1
+        out += (present[:len(x)] @ present[len(x):].T).astype(np.int64)
+    return out
+
+
+def forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
+    """Links (line of x, line of y) that connect whatever the matrix of links connects; `same`: x and y are one list."""
+    lines, columns = linked.shape
+    free = [np.ones(lines, bool), np.ones(columns, bool)]
+    if same:
+        free[1] = free[0]
+    views, out = (linked, linked.T), []
+    for start in range(lines):
+        if not free[0][start]:
+            continue
+        free[0][start] = False
+        todo = [(0, start)]
+        while todo:
+            side, at = todo.pop()
+            other = side if same else 1 - side
+            found = np.flatnonzero(views[side][at] & free[other])
+            free[other][found] = False
+            out += [(at, f) if side == 0 else (f, at) for f in found.tolist()]
+            todo += [(other, f) for f in found.tolist()]
+    return out
+
+
+def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that connect all classes of similarity num / den or more within two blocks that share a bucket."""
+    blocks = _blocks(buckets)
+    held = settled(buckets.select("_bucket", "cid").join(blocks, "cid").select("_bucket", "block").distinct(), "held")
+    several = held.groupBy("_bucket").agg(F.count("*").alias("_c")).filter("_c > 1").select("_bucket")
+    across = held.join(several, "_bucket")
+    tiles = settled(
+        across.select("_bucket", F.col("block").alias("x")).join(across.select("_bucket", F.col("block").alias("y")), "_bucket")
+        .filter("x < y").select("x", "y").distinct()
+        .unionByName(held.select(F.col("block").alias("x")).distinct().withColumn("y", F.col("x"))), "tiles")
+
+    def packed(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("cid")
+        return pd.DataFrame({"block": group["block"].iloc[:1], "cids": [group["cid"].to_numpy(np.int64).tobytes()],
+                             "lengths": [group["_set"].map(len).to_numpy(np.int64).tobytes()], "sets": [b"".join(group["_set"])]})
+
+    packs = settled(sets.join(blocks, "cid").select("block", "cid", "_set").groupBy("block")
+                    .applyInPandas(packed, "block long, cids binary, lengths binary, sets binary"), "packs")
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                found = np.searchsorted(large, small)
-                both = int((large[np.minimum(found, len(large) - 1)] == small).sum())
-                linked.append(den * both >= num * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    of_a = sets.select(F.col("cid").alias("a"), F.col("_set").alias("_x"))
-    of_b = sets.select(F.col("cid").alias("b"), F.col("_set").alias("_y"))
-    return (pairs.join(of_b, "b").join(of_a, "a").select("a", "b", "_x", "_y")
-            .mapInArrow(run, "a long, b long, linked boolean"))
-
-
-def _linked_classes(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, label) for the classes of the buckets, connected through all links inside a bucket."""
-    entries = buckets
-    labels = settled(buckets.select(F.col("cid").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
-    refuted = None
-    total = buckets.count()
-    near_size = F.least("_n", "_m") * den >= F.greatest("_n", "_m") * num
-    turn = 0
-    while True:
-        now = entries.join(labels.select(F.col("node").alias("cid"), "label"), "cid")
-        parts = now.groupBy("_bucket", "label").agg(F.count("*").alias("_c"), F.min(F.xxhash64("cid")).alias("_first"))
-        state = settled(parts.groupBy("_bucket").agg(F.count("*").alias("_parts"), F.sum("_c").alias("_c"), F.sum(F.col("_c") * F.col("_c")).alias("_sq"),
-                                                     F.max_by("label", "_c").alias("_main"), F.min("_first").alias("_first")).filter("_parts > 1"), "state")
-        left = state.agg(F.sum((F.col("_c") * F.col("_c") - F.col("_sq")) / 2)).first()[0]
-        if not left:
-            break
-        entries = settled(now.join(state.select("_bucket", "_main", F.col("_c").alias("_size"), "_first"), "_bucket"), "entries")
-        last = left <= LEFT_OVER * total
-        if last:
-            # Of two members of different components, one at least is outside the bucket's largest component.
-            lead = F.col("label") != F.col("_main")
-        elif turn:
-            lead = F.pmod(F.xxhash64(F.lit(turn), "cid"), F.col("_size")) < LEADERS ** turn
-        else:
-            lead = F.xxhash64("cid") == F.col("_first")
-        one = entries.filter(lead).select("_bucket", F.col("cid").alias("a"), F.col("_n").alias("_m"), F.col("label").alias("_own"))
-        pairs = one.join(entries.withColumnRenamed("cid", "b"), "_bucket").filter((F.col("_own") != F.col("label")) & near_size)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if refuted is not None:
-            pairs = pairs.join(refuted, ["a", "b"], "left_anti")
-        tested = settled(_confirmed(pairs, sets, num, den), "tested")
-        # A bucket is done once all its members have led.
-        entries = entries.filter(F.col("_size") > (LEADERS ** turn if turn else 1)).drop("label", "_main", "_size", "_first")
-        named = labels.select(F.col("node").alias("a"), F.col("label").alias("_la"))
-        links = tested.filter("linked").join(named, "a").join(named.toDF("b", "_lb"), "b").select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
-        roots = labels.select(F.col("label").alias("node")).distinct()
-        merged = components(roots, links).toDF("label", "_to")
-        labels = settled(labels.join(merged, "label").select("node", F.col("_to").alias("label")), "labels")
-        if last:
-            break
-        new = tested.filter("not linked").select("a", "b")
-        refuted = settled(new if refuted is None else refuted.unionByName(new), "refuted")
-        turn += 1
-    return labels
+            for row in range(batch.num_rows):
+                part = [batch.column(c)[row].as_buffer() for c in range(6)]
+                (x_ids, x), (y_ids, y) = _unpacked(*part[:3]), _unpacked(*part[3:])
+                both = overlaps(x, y)
+                sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+                links = np.array(forest(den * both >= num * (sizes - both), batch.column(0)[row] == batch.column(3)[row]), dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x_ids[links[:, 0]]), pa.array(y_ids[links[:, 1]])], names=["a", "b"])
+
+    of_x, of_y = (packs.select(F.col("block").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("cids", "lengths", "sets")]) for n in "xy")
+    return (tiles.join(of_x, "x").join(of_y, "y").select(*[f"{n}_{c}" for n in "xy" for c in ("cids", "lengths", "sets")])
+            .mapInArrow(confirmed, "a long, b long"))
+
+
+def _unpacked(cids: pa.Buffer, lengths: pa.Buffer, sets: pa.Buffer) -> tuple[np.ndarray, list[np.ndarray]]:
+    cuts = np.cumsum(np.frombuffer(lengths, np.int64) // 8)
+    return np.frombuffer(cids, np.int64), np.split(np.frombuffer(sets, np.uint64), cuts[:-1])
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80,
@@ -231,9 +263,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = _buckets(classes, m)
     wanted = classes.select("cid", "_doc", "_f1", "_f2").join(buckets.select("cid").distinct(), "cid")
     sets = settled(_sets(rows, wanted, width), "sets")
-    labels = _linked_classes(buckets, sets, num, den)
-    smallest = (classes.select("cid", "_doc").join(labels.toDF("cid", "label"), "cid")
-                .select("cid", "label", "_doc"))
+    labels = settled(components(buckets.select(F.col("cid").alias("node")).distinct(), _links(buckets, sets, num, den)), "labels")
+    smallest = classes.select("cid", "_doc").join(labels.toDF("cid", "label"), "cid")
     least = smallest.groupBy("label").agg(F.min("_doc").alias("_least"))
     of_class = smallest.join(least, "label").select("cid", "_least")
     result = settled(classes.select("cid", *one_set, "_size", "_doc").join(of_class, "cid", "left")

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from emberlog.llm import minhash as m
@@ -59,10 +60,11 @@ def test_odd_rows(spark, odd_rows):
     check(spark, odd_rows)
 
 
-@pytest.mark.parametrize("left_over", [4, -1])
-def test_chains_and_families(spark, monkeypatch, left_over):
-    # With no pair count allowed, leaders alone must settle every pair.
-    monkeypatch.setattr(m, "LEFT_OVER", left_over)
+@pytest.mark.parametrize("shingles", [1 << 17, 300])
+def test_chains_and_families(spark, monkeypatch, shingles):
+    # Small blocks cut families into many tiles.
+    monkeypatch.setattr(m, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(m, "COLUMNS", 50)
     texts = drifting(1, 30, 120, 2) + drifting(2, 25, 60, 3) + drifting(3, 12, 7, 1)
     check(spark, [(i * 3 % 1000, t, None, None) for i, t in enumerate(texts)])
 
@@ -77,5 +79,25 @@ def test_empty_table(spark):
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
 
 
+def test_forest_connects_what_is_linked():
+    rng = np.random.default_rng(1)
+    for same in (True, False):
+        for _ in range(30):
+            linked = rng.random((12, 12 if same else 9)) < 0.12
+            linked = linked | linked.T if same else linked
+            links = m.forest(linked, same)
+
+            def groups(pairs):
+                label = {}
+                for x, y in pairs:
+                    x, y = ("x", x), ("x" if same else "y", y)
+                    old, new = label.setdefault(x, x), label.setdefault(y, y)
+                    label = {k: new if v == old else v for k, v in label.items()}
+                return {frozenset(k for k in label if label[k] == v) for v in label.values()}
+
+            every = [tuple(p) for p in np.argwhere(linked) if not same or p[0] != p[1]]
+            assert groups(links) == groups(every)
+
+
 def test_more_keys_for_lower_similarity():
     assert m.collections_for(0.8) > m.collections_for(0.85)
