@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefmt import as_micros
-from emberlog.operators.ordered import BLOCK, order_key, time_block
+from emberlog.operators.ordered import BLOCK, density_block, order_key
 from emberlog.schema import STALE_AFTER
 
 
@@ -45,7 +45,7 @@ def hold_for(samples: DataFrame, keys: Sequence[str], order: Sequence[str], cond
     """
     at = as_micros(F.col(ts))
     marked = samples.withColumn("active", F.coalesce(condition, F.lit(False))).withColumn(
-        BLOCK, time_block(ts) if block is None else block)
+        BLOCK, density_block(samples, keys, ts) if block is None else block)
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
     longest = None if max_gap is None else max_gap // timedelta(microseconds=1)

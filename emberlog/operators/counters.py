@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.timefmt import as_micros
-from emberlog.operators.ordered import order_key, previous, running_sum, seq_block, time_block
+from emberlog.operators.ordered import density_block, order_key, previous, running_sum, seq_block
 from emberlog.schema import EVALUATION_STEP, STALE_AFTER
 
 STEPS_PER_BLOCK = 10_000
@@ -71,7 +71,7 @@ def lag_series(samples: DataFrame, step: timedelta = EVALUATION_STEP, stale: tim
     def step_of(at: Column) -> Column:
         return F.ceil(at / F.lit(width)).cast("long")
 
-    chained = previous(lags, keys, order, ["_us", "lag"], time_block("ts"))
+    chained = previous(lags, keys, order, ["_us", "lag"], density_block(lags, keys, "ts"))
     alive = F.col("prev__us") + age > F.col("_us")
     replaced = F.when(alive, F.col("prev_lag")).otherwise(0)
     gone = chained.filter(~alive).select("consumer_group", (F.col("prev__us") + age).alias("_at"), (-F.col("prev_lag")).alias("_lag"), F.lit(-1).alias("_live"))

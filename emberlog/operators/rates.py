@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions.timefmt import as_micros
 from emberlog.operators.histograms import INF, histogram_quantile, quantile_of_counts
-from emberlog.operators.ordered import previous, time_block
+from emberlog.operators.ordered import density_block, previous
 from emberlog.schema import EVALUATION_STEP, RATE_WINDOW
 
 
@@ -48,7 +48,7 @@ def event_rate(df: DataFrame, ts: str, by: Sequence[str], length: timedelta = RA
 def counter_increments(samples: DataFrame, series: Sequence[str], ts: str = "ts", value: str = "value",
                        tie_break: Sequence[str] = ()) -> DataFrame:
     """Increase of a counter since the previous sample of its series; a smaller value is a restart from zero."""
-    stepped = previous(samples, series, [ts, *tie_break], [value], time_block(ts))
+    stepped = previous(samples, series, [ts, *tie_break], [value], density_block(samples, series, ts))
     before = F.col(f"prev_{value}")
     increase = F.when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
     return stepped.withColumn("increase", F.coalesce(increase, F.lit(0.0))).drop(f"prev_{value}")

@@ -95,7 +95,11 @@ def publish_files(records: DataFrame, path: str, partitions: int = STREAM_PARTIT
 
 
 def publish_kafka(records: DataFrame, servers: str, topic: str) -> None:
-    """Write records to Kafka (needs the Kafka connector on the class path)."""
-    (records.select("key", "value").write.format("kafka")
+    """Write records to Kafka (needs the Kafka connector on the class path).
+
+    The sink sets the record time itself, so the entry's time travels as the header `timestamp`, as microseconds in text.
+    """
+    stamp = F.struct(F.lit("timestamp").alias("key"), F.unix_micros("timestamp").cast("string").cast("binary").alias("value"))
+    (records.select("key", "value", F.array(stamp).alias("headers")).write.format("kafka")
      .option("kafka.bootstrap.servers", servers).option("topic", topic)
      .option("kafka.acks", "all").save())

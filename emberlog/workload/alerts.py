@@ -13,6 +13,7 @@ from emberlog.operators.alerts import (
 from emberlog.operators.backpressure import dropped, hysteresis, running_depth, transitions
 from emberlog.operators.counters import lag_series
 from emberlog.operators.histograms import QUERY_BOUNDS
+from emberlog.operators.ordered import seq_block
 from emberlog.operators.rates import sliding_quantile
 from emberlog.workload.fixtures import events
 from emberlog.workload.metrics import HOUR, HOUR_US, LATENCIES_CTE, _bounds_sql, _quantile_sql, latencies
@@ -105,6 +106,10 @@ def alert_consumer_lag(spark: SparkSession, sf: str) -> DataFrame:
         "consumer_group", F.unix_micros("ts").alias("ts_us"), "lag", "active", or_minus_one("held_us"), "firing", "alert", "severity")
 
 
+# Small enough that small tables have several blocks to carry state between.
+SMALL_BLOCK = 2500
+
+
 def depth_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Queue-depth changes of eight ingestors: batches come in and leave again."""
     size = (F.col("event_id") % 50) + 1
@@ -118,7 +123,7 @@ def depth_changes(spark: SparkSession, sf: str) -> DataFrame:
       OVER (PARTITION BY user_id % 8 ORDER BY event_id) AS BIGINT) AS depth FROM events""")
 def queue_depth(spark: SparkSession, sf: str) -> DataFrame:
     """Depth after every change."""
-    return running_depth(depth_changes(spark, sf)).select("ingestor", "seq", "depth")
+    return running_depth(depth_changes(spark, sf), block=seq_block("seq", SMALL_BLOCK)).select("ingestor", "seq", "depth")
 
 
 MAX_DEPTH = 60
@@ -152,7 +157,7 @@ states AS (
 
 
 def shedding_states(spark: SparkSession, sf: str) -> DataFrame:
-    return hysteresis(depth_samples(spark, sf), MAX_DEPTH, COOL)
+    return hysteresis(depth_samples(spark, sf), MAX_DEPTH, COOL, block=seq_block("seq", SMALL_BLOCK))
 
 
 @query(f"WITH RECURSIVE {STATES_CTE} SELECT ingestor, seq, depth, accept, active, coalesce(engaged_us, -1) AS engaged_us FROM states")
@@ -164,7 +169,7 @@ def shedding_hysteresis(spark: SparkSession, sf: str) -> DataFrame:
   FROM (SELECT *, lag(active, 1, false) OVER (PARTITION BY ingestor ORDER BY seq) AS before FROM states)
   WHERE active <> before""")
 def shedding_transitions(spark: SparkSession, sf: str) -> DataFrame:
-    return transitions(shedding_states(spark, sf)).select("ingestor", "seq", "event")
+    return transitions(shedding_states(spark, sf), block=seq_block("seq", SMALL_BLOCK)).select("ingestor", "seq", "event")
 
 
 @query(f"""SELECT user_id % 64 AS ingestor, count(*) FILTER (CAST(floor(value) AS BIGINT) > {MAX_DEPTH}) AS dropped

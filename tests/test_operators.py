@@ -14,7 +14,7 @@ from emberlog.operators.histograms import (
     INF, QUERY_BOUNDS, approximate_quantile, exponential_bounds, floor_rank_quantile, histogram_quantile,
     latency_histogram,
 )
-from emberlog.operators.ordered import global_rank, previous, running_max, running_sum, seq_block, time_block
+from emberlog.operators.ordered import density_block, global_rank, previous, running_max, running_sum, seq_block, time_block
 from emberlog.operators.rates import counter_increments, counter_rate, event_rate
 from emberlog.operators.reconcile import lost, reconcile, totals
 from tests.helpers import plan
@@ -49,6 +49,16 @@ def test_running_sum_and_previous_across_blocks(spark, size):
         assert tops[k, seq] == max(earlier)
 
 
+@pytest.mark.parametrize("step_us", [1_000, 3_600_000_000])
+def test_blocks_follow_the_density(spark, step_us):
+    """A burst within five minutes and a sample per hour both make several blocks of many rows."""
+    df = spark.range(2_000).select(F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * step_us).alias("ts"), "id")
+    sizes = [r["count"] for r in df.groupBy(density_block(df, ["k"], "ts", 200).alias("b")).count().collect()]
+    assert 9 <= len(sizes) <= 12 and max(sizes) <= 210
+    stepped = previous(df, ["k"], ["ts"], ["id"], density_block(df, ["k"], "ts", 200))
+    assert stepped.filter("coalesce(prev_id, -1) <> id - 1").count() == 0
+
+
 def test_global_rank(spark):
     rows = sorted({seq for _, seq, _ in series(5)})
     df = spark.createDataFrame([(s,) for s in rows], "seq long").repartition(4)
