@@ -29,7 +29,7 @@ CENTROIDS, ROUNDS = 4, 8
 SAMPLE_PER_LANGUAGE = 600
 #: A text whose best cosine is below this is rejected: a distance of more than 1 - MIN_COSINE. Texts with fewer
 #: trigrams than MIN_GRAMS are too short to be told to be far from everything.
-MIN_COSINE, MIN_GRAMS = 0.03, 12
+MIN_COSINE, MIN_GRAMS = 0.03, 60
 UNKNOWN = "und"
 WINDOW = 1 << 20
 _ROWS = 64

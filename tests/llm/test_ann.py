@@ -37,7 +37,7 @@ def test_full_coverage_is_exact_with_ties(spark, monkeypatch):
     monkeypatch.setattr(m, "BLOCK", 16)
     monkeypatch.setattr(m, "PACK", 4)
     rng = np.random.default_rng(1)
-    rows = [(i, rng.normal(size=6).tolist()) for i in range(150)] + [(200 + i, [1.0, 2, 0, 0, 1, 0]) for i in range(60)]
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(150)] + [(200 + i, [1.0, 2.0, 0.0, 0.0, 1.0, 0.0]) for i in range(60)]
     assert search(spark, rows, k=5, coverage=1.0) == brute(rows, 5)
 
 

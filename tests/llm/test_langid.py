@@ -22,7 +22,7 @@ def test_held_out_accuracy(spark):
 def test_odd_rows_and_rejection(spark, odd_rows):
     docs = table(spark, f"{TESTDATA}/sf0.001", "documents")
     model = m.fit(docs)
-    far = [(50, "漢字 " * 40, "zh", "a"), (51, "Привет мир как дела сегодня " * 5, "ru", "a")]
+    far = [(50, "日本語のテキストはここにあります。" * 10, "ja", "a"), (51, "Привет мир как дела сегодня " * 5, "ru", "a")]
     got = {(r.doc_id, r.lang_pred == "und"): r for r in m.identify(documents(spark, odd_rows + far), model, ["doc_id"]).collect()}
     for i in (3, 4, 5, 10):
         assert got[(i, True)].rejected and got[(i, True)].score == 0
