@@ -84,7 +84,7 @@ def train(slots: np.ndarray, values: np.ndarray, sizes: np.ndarray, labels: np.n
     m.factors[~common] = 0
     heads = np.cumsum(sizes) - sizes
     usable = np.flatnonzero(sizes > 0)
-    for _ in range(EPOCHS):
+    for _ in range(EPOCHS if len(usable) else 0):
         for batch in np.array_split(rng.permutation(usable), max(1, len(usable) // BATCH)):
             size = sizes[batch]
             at = np.repeat(heads[batch] - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -167,10 +167,9 @@ def score(docs: DataFrame, model: Machine | None, carry: list[str], text_col: st
         for batch in batches:
             for piece in slices(batch, n, WINDOW):
                 if model is None:
-                    odds = np.full(piece.num_rows, -np.inf)
+                    p = np.zeros(piece.num_rows)
                 else:
-                    odds = model.raw(*features(*utf8(piece.column(n))))
-                p = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+                    p = 1 / (1 + np.exp(-np.clip(model.raw(*features(*utf8(piece.column(n)))), -700, 700)))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:n], pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                                                  names=[*carry, "score", "predicted"])
 

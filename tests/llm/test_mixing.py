@@ -57,8 +57,8 @@ def test_odd_rows(spark, odd_rows):
 
 
 def test_many_shards_and_reruns(spark, monkeypatch):
-    monkeypatch.setattr(m, "SHARD_TOKENS", 200)
-    rows = [(i, "w " * (i * 7 % 90), "en", f"s{i * i % 5}") for i in range(200)]
+    monkeypatch.setattr(m, "SHARD_TOKENS", 1000)
+    rows = [(i, "w " * (i * 7 % 400), "en", f"s{i * i % 5}") for i in range(200)]
     first = sorted(m.mix(documents(spark, rows)).collect())
     assert first == sorted(m.mix(documents(spark, rows[::-1])).collect())
     sizes, taken = Counter(), Counter()
