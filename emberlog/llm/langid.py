@@ -146,13 +146,13 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
         x = np.zeros((len(group), SIZE), dtype=np.float32)
         for line, slots, weights in zip(x, group["slots"], group["weights"]):
             line[np.frombuffer(slots, "<u2")] = np.frombuffer(weights, "<f4")
-        x = x[x.any(axis=1)]
         # The order of arrival must not matter.
         x = x[np.lexsort((x.argmax(axis=1), x.sum(axis=1)))]
-        centres = cluster(x) if len(x) else np.zeros((0, SIZE), np.float32)
+        centres = cluster(x)
         return pd.DataFrame({"lang": [key[0]] * len(centres), "centre": [c.astype("<f4").tobytes() for c in centres]})
 
-    fitted = (sample.mapInArrow(sparse, "lang string, slots binary, weights binary").groupBy("lang")
+    # Texts without a trigram say nothing.
+    fitted = (sample.mapInArrow(sparse, "lang string, slots binary, weights binary").filter(F.octet_length("slots") > 0).groupBy("lang")
               .applyInPandas(centroids, "lang string, centre binary").toPandas())
     if fitted.empty:
         return None
