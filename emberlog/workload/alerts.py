@@ -107,7 +107,7 @@ def alert_consumer_lag(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Small enough that small tables have several blocks to carry state between.
-SMALL_BLOCK = 2500
+SMALL_BLOCK = 5000
 
 
 def depth_changes(spark: SparkSession, sf: str) -> DataFrame:
