@@ -34,6 +34,11 @@ def shed(samples: DataFrame, path: str, checkpoint: str, max_depth: int = MAX_QU
             # An ingestor without samples in this batch keeps its state.
             latest = latest.unionByName(entry.join(latest, key, "left_anti"))
         latest.write.mode("overwrite").parquet(f"{path}/carry/batch_id={batch_id}")
+        # A replay of this batch needs the carry before it, nothing needs an older one.
+        folder = Folder(spark, path)
+        for old in folder.glob("carry/batch_id=*"):
+            if int(old.split("=")[1]) < batch_id - 1:
+                folder.delete(old)
 
     return run_batches(samples, judge, checkpoint, available_now)
 
