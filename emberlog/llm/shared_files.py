@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from urllib.parse import urlparse
 
 import numpy as np
@@ -31,8 +32,11 @@ class SharedFiles:
             from pyarrow import fs
 
             store, base = fs.FileSystem.from_uri(self.folder)
-            with store.open_output_stream(f"{base}/{name}") as f:
+            store.create_dir(base, recursive=True)
+            part = f"{base}/.part-{uuid.uuid4().hex}"
+            with store.open_output_stream(part) as f:
                 f.write(raw.tobytes())
+            store.move(part, f"{base}/{name}")
 
     def read(self, name: str, dtype: str) -> np.ndarray:
         """The array, memory-mapped."""
