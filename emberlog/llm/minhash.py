@@ -242,7 +242,7 @@ def _unpacked(cids: pa.Buffer, lengths: pa.Buffer, sets: pa.Buffer) -> tuple[np.
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80,
-               den: int = 100, carry: list[str] | None = None) -> DataFrame:
+               den: int = 100, carry: list[str] | None = None, group: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, and the columns `carry`.
 
     Documents are linked when den * intersection >= num * union of their sets of distinct `width`-word shingles
@@ -250,6 +250,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whether that is the row's own. A text that is null, empty or without words is linked with nothing and kept. Rows
     that repeat an id are compared as rows of their own and carry the result of their own text; a null
     id counts only where all of a component are null. An empty table gives an empty result.
+
+    As ids can repeat or be null, component_id does not tell components apart. The column named by `group` does: a
+    number per component, null for a text without words.
     """
     m = collections_for(num / den)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), *(carry or []))
@@ -266,10 +269,15 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = settled(components(buckets.select(F.col("cid").alias("node")).distinct(), _links(buckets, sets, num, den)), "labels")
     smallest = classes.select("cid", "_doc").join(labels.toDF("cid", "label"), "cid")
     least = smallest.groupBy("label").agg(F.min("_doc").alias("_least"))
-    of_class = smallest.join(least, "label").select("cid", "_least")
+    of_class = smallest.join(least, "label").select("cid", "_least", "label")
+    # Labels are numbers of classes; a class without links is a component of its own.
+    numbered = [F.coalesce("label", "cid").alias(group)] if group else []
     result = settled(classes.select("cid", *one_set, "_size", "_doc").join(of_class, "cid", "left")
-                     .select(*one_set, "_size", F.coalesce("_least", "_doc").alias("component_id")), "result")
+                     .select(*one_set, "_size", F.coalesce("_least", "_doc").alias("component_id"), *numbered), "result")
     texts = meet(signed.filter("_n > 0").select(*given, *one_set), result, one_set, "_size")
     bare = signed.filter("_n = 0").withColumn("component_id", F.col("doc_id"))
     out = [F.col("_n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")]
+    if group:
+        bare = bare.withColumn(group, F.lit(None).cast("long"))
+        out.append(group)
     return (texts.select("doc_id", *out, *(carry or [])).unionByName(bare.select("doc_id", *out, *(carry or []))))

@@ -66,9 +66,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves one document of each group linked by five-word shingles at a similarity of 0.8: the one of smallest doc_id."""
     rows = docs.select("doc_id", "text", _text_key().alias("_key"))
-    found = settled(near_dedup(rows, carry=["_key"]).filter("kept"), "near")
-    # Several texts of a group can carry the smallest id; the first digest stays.
-    worded = found.filter("n_shingles > 0").groupBy("doc_id").agg(F.min("_key").alias("_key"))
+    found = settled(near_dedup(rows, carry=["_key"], group="_group").filter("kept"), "near")
+    # Several texts of a group can carry the smallest id; the first digest stays. Kept rows of a group share their id.
+    worded = found.filter("n_shingles > 0").groupBy("_group", "doc_id").agg(F.min("_key").alias("_key")).select("doc_id", "_key")
     bare = found.filter("n_shingles = 0").select("doc_id", "_key").distinct()
     chosen = worded.unionByName(bare)
     copies = found.groupBy("doc_id", "_key").agg(F.count("*").alias("_copies"))

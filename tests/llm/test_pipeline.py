@@ -48,6 +48,19 @@ def test_drop_near_copies(spark, docs):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([2, 4, 5, None, 6, 7, 8, 10, 11], key=repr)
 
 
+def test_drop_near_copies_leaves_clean_texts_of_null_and_repeated_ids(spark):
+    text = lambda name, n=40: " ".join(f"{name}{i}" for i in range(n))
+    clean = [(None, text("a")), (None, text("b")), (None, text("c")), (20, text("d")), (20, text("e")), (20, text("f"))]
+    # Near copies: all of null ids, two texts of the smallest id and one of another, one null id beside a known one.
+    near = [[(None, text("g")), (None, text("g", 41))], [(30, text("h")), (30, text("h", 41)), (31, text("h", 42))],
+            [(None, text("i")), (40, text("i", 41))]]
+    rows = clean + [r for group in near for r in group]
+    kept = [(r.doc_id, r.text) for r in stages.drop_near_copies(spark, documents(spark, [(*r, "en", "a") for r in rows]), "").collect()]
+    assert sorted((r for r in kept if r in clean), key=repr) == sorted(clean, key=repr)
+    assert len(kept) == len(clean) + 3
+    assert [sorted({i for i, t in kept if (i, t) in group}, key=repr) for group in near] == [[None], [30], [40]]
+
+
 def test_mix_repeats_and_cuts(spark):
     rows = [(i, f" a{i}\tb c\nd{i} " * 30, "en", "big") for i in range(40)] + [(100, "p  q\nr", "en", "tiny"), (101, "x y", "en", None)]
     docs = documents(spark, rows)
