@@ -252,16 +252,22 @@ class LogTables:
         return self._advance(micros(utc(as_of) - cold_age), True, files, rows_per_file)
 
     def evict(self, as_of: datetime | str, retention: timedelta = HOT_RETENTION) -> int:
-        """Discard hot rows past retention, also out of batches that hold younger rows; returns how many."""
+        """Discard hot rows past retention, also out of batches that hold younger rows; returns how many.
+
+        Rows of new batches within retention that are behind the cutoff of an earlier compaction go to cold.
+        """
         row = self._advance(micros(utc(as_of) - retention), False, None, 0)
         return row["rows"] if row else 0
 
     def _advance(self, cutoff_us: int, keep: bool, files: int | None, rows_per_file: int) -> dict | None:
-        """Absorb the finished new batches: rows before the cutoff go to cold (or nowhere), the others to a segment."""
+        """Absorb the finished new batches: rows before the cutoff go to cold (or nowhere), the others to a segment.
+
+        Only rows before the requested cutoff go nowhere, not those between it and a later one of the snapshot.
+        """
         at = self.snapshot()
         fresh = [(run, batch) for run, batch in self._committed() if not at.holds(run, batch)]
         # The cutoff only grows, and with it what is out of the segments.
-        cutoff_us = cutoff_us if at.cutoff_us is None else max(cutoff_us, at.cutoff_us)
+        requested_us, cutoff_us = cutoff_us, cutoff_us if at.cutoff_us is None else max(cutoff_us, at.cutoff_us)
         dated = [s for s in at.segments if s["min_us"] is not None and s["min_us"] < cutoff_us]
         if not fresh and not dated:
             return None
@@ -270,13 +276,18 @@ class LogTables:
         taken = Snapshot(absorbed={run: _merged([[b, b] for r, b in fresh if r == run]) for run in {r for r, _ in fresh}})
         absorbed = at.absorbed | {run: _merged([*at.absorbed.get(run, []), *ranges]) for run, ranges in taken.absorbed.items()}
         new = self._new(at).filter(taken.moved())
-        is_aged = F.coalesce(F.col("timestamp") < F.timestamp_micros(F.lit(cutoff_us)), F.lit(False))
+        is_aged, is_past = (F.coalesce(F.col("timestamp") < F.timestamp_micros(F.lit(us)), F.lit(False)) for us in (cutoff_us, requested_us))
         aged = new.unionByName(self._segments(dated).filter(at.young())).filter(is_aged)
         target, segment = f"cold/compaction={name}", f"hot/segments/{name}"
-        stats = self._to_cold(aged, target, files, rows_per_file) if keep else aged.agg(*_stats()).first().asDict()
+        stats = self._to_cold(aged, target, files, rows_per_file) if keep else aged.filter(is_past).agg(*_stats()).first().asDict()
         if not stats["rows"] and len(fresh) < MERGE_BATCHES:
             self.folder.delete(target)
             return None
+        moved = stats if keep else {"rows": 0}
+        if not keep and requested_us < cutoff_us:
+            moved = self._to_cold(aged.filter(~is_past), target, files, rows_per_file)
+        if not moved["rows"]:
+            self.folder.delete(target)
         kept = self._to_segment(new.filter(~is_aged), segment)
         if not kept["rows"]:
             self.folder.delete(segment)
@@ -286,15 +297,16 @@ class LogTables:
         last = max([(run, ranges[-1][1]) for run, ranges in absorbed.items()], default=(0, -1))
         row = {"n": number, "compaction": name, "upto_run": last[0], "upto_batch": last[1], "cutoff": _iso(cutoff_us), "rows": stats["rows"]}
         cold = list(at.cold)
-        if keep and stats["rows"]:
-            row |= {"min_ts": _iso(stats["min_us"]), "max_ts": _iso(stats["max_us"])}
-            cold.append(row)
+        if moved["rows"]:
+            cold.append(row | {"rows": moved["rows"], "min_ts": _iso(moved["min_us"]), "max_ts": _iso(moved["max_us"])})
         state = {"n": number, "cutoff_us": cutoff_us, "absorbed": absorbed, "segments": segments, "cold": cold}
         if not self.folder.publish(f"manifest/{number}.json", json.dumps(state)):
             for left in (target, segment):
                 self.folder.delete(left)
             raise RuntimeError(f"snapshot {number} was committed by another job; nothing was moved here")
-        return row if stats["rows"] else None
+        if not stats["rows"]:
+            return None
+        return cold[-1] if keep else row
 
     def _to_cold(self, aged: DataFrame, target: str, files: int | None, rows_per_file: int) -> dict:
         order = ["dt", "timestamp", *ARRIVAL]

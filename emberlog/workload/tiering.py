@@ -229,6 +229,19 @@ def evicted_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tables.stored().select("id")
 
 
+@query(f"""WITH {LOGS_CTE} SELECT id FROM logs WHERE ingest_seq % 2 = 0 OR "timestamp" >= TIMESTAMP '{RETENTION_CUTOFF}'""")
+def evicted_late_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """An eviction after a compaction discards late rows past retention only, not those behind the compaction's cutoff."""
+    tables = LogTables(spark, shared_dir(spark, "tables"))
+    rows = logs(spark, sf).drop("ingest_seq").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    even = F.col("id").cast("long") % 2 == 0
+    tables.append(rows.filter(even), 0)
+    tables.compact(AS_OF)
+    tables.append(rows.filter(~even), 1)
+    tables.evict(AS_OF)
+    return tables.stored().select("id")
+
+
 @query(f"""WITH {LOGS_CTE} SELECT {OUT_SQL} FROM logs
     WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-08 06:00:00' AND TIMESTAMP '2024-01-11 06:00:00'
       AND ingest_seq % 3 < 2""")

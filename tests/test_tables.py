@@ -176,6 +176,18 @@ def test_eviction_and_clean_up(spark, tables):
     assert ids(tables.stored()) == before
 
 
+def test_an_eviction_after_a_compaction_keeps_rows_within_retention(spark, tables):
+    tables.append(plain(spark, batch(2, "a", NOW - 7 * HOUR) + batch(1, "young", NOW)), 0)
+    tables.compact(NOW)
+    tables.append(plain(spark, batch(3, "late", NOW - 10 * HOUR) + batch(4, "past", NOW - 30 * HOUR) + batch(1, "new", NOW)), 1)
+    assert tables.evict(NOW) == 4
+    assert ids(tables.stored()) == ["a-0", "a-1", "late-0", "late-1", "late-2", "new-0", "young-0"]
+    assert ids(tables.hot()) == ["new-0", "young-0"]
+    assert tables.search(LogQuery(start=NOW - 11 * HOUR, end=NOW - 9 * HOUR), NOW).count() == 3
+    assert sorted(r.rows for r in tables.manifest().collect()) == [2, 3]
+    assert tables.evict(NOW) == 0
+
+
 def test_a_search_during_a_compaction_finds_all_rows(spark, tables):
     tables.append(plain(spark, batch(5, "old", NOW - 7 * HOUR) + batch(2, "new", NOW)), 0)
     cold = tables.cold
