@@ -11,6 +11,7 @@ Pages are independent; there is no shuffle, and a page needs memory in proportio
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -22,6 +23,13 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that show nothing.
 UNSEEN = frozenset("head title style script template datalist iframe object audio video canvas svg math noframes".split())
+#: Elements inside svg and math that show nothing, and those whose content is HTML again.
+UNSEEN_IN = {"svg": frozenset("title desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient style script".split()),
+             "math": frozenset("annotation annotation-xml mphantom style script".split())}
+TOKENS = frozenset("mi mn mo ms mtext".split())
+HTML_IN = {"svg": frozenset(["foreignobject", "title", "desc"]), "math": TOKENS}
+#: HTML elements whose start ends an svg or math that is still open.
+BREAKS_OUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: Elements on lines of their own, without and with a blank line around.
 LINES = frozenset("html body div section article aside header footer nav main address center form fieldset legend dt dd figcaption summary details hgroup option optgroup caption tr td th thead tbody tfoot".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre blockquote figure hr listing".split())
@@ -37,7 +45,7 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 _BEFORE_P = frozenset(["button", "td", "th", "caption", "table", "object"])
 _CELL_EDGE = frozenset(["table", "td", "th", "caption"])
-#: Deeper elements are laid out as if they stood at this depth.
+#: Lists, quotes and tables nested deeper than this are laid out line by line, without further indents or columns.
 DEEPEST = 200
 #: Columns are not aligned further than this many characters.
 WIDEST = 60
@@ -51,13 +59,16 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", r
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "inside")
+    __slots__ = ("tag", "attrs", "inside", "space", "shows")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None]) -> None:
-        self.tag, self.attrs, self.inside = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str | None], space: str = "", shows: bool = True) -> None:
+        """`space`: svg, math, or nothing for HTML; `shows`: is text that stands in the element visible?"""
+        self.tag, self.attrs, self.inside, self.space, self.shows = tag, attrs, [], space, shows
 
     def hidden(self) -> bool:
         a = self.attrs
+        if self.space and (self.tag in UNSEEN_IN[self.space] or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+            return True
         return (self.tag in UNSEEN or "hidden" in a or (self.tag == "input" and (a.get("type") or "text").lower() == "hidden")
                 or bool(a.get("style") and _HIDDEN.search(a["style"])))
 
@@ -68,6 +79,9 @@ class TreeBuilder:
     def __init__(self) -> None:
         self.root = Element("html", {})
         self.open = [self.root]
+        #: Places in `open` by tag, and of the elements that are not HTML.
+        self.places: dict[str, list[int]] = {}
+        self.foreign: list[int] = []
 
     def read(self, html: str) -> Element:
         at, n = 0, len(html)
@@ -85,6 +99,11 @@ class TreeBuilder:
         if html.startswith("<!--", at):
             end = html.find("-->", at + 4)
             return len(html) if end < 0 else end + 3
+        if html.startswith("<![CDATA[", at) and self.open[-1].space:
+            end = html.find("]]>", at)
+            end = len(html) if end < 0 else end
+            self.data(html[at + 9:end])
+            return end + 3
         if html[at + 1:at + 2] in ("!", "?"):
             end = html.find(">", at)
             return len(html) if end < 0 else end + 1
@@ -94,7 +113,7 @@ class TreeBuilder:
             self.data("<")
             return at + 1
         tag, attrs, at = name[0].lower(), {}, name.end()
-        while (at := _BETWEEN.match(html, at).end()) < len(html) and html[at] != ">":
+        while (at := (between := _BETWEEN.match(html, at)).end()) < len(html) and html[at] != ">":
             found = _ATTRIBUTE.match(html, at)
             attrs.setdefault(found[1].lower(), next((unescape(v) for v in found.groups()[1:] if v is not None), None))
             at = found.end()
@@ -103,8 +122,8 @@ class TreeBuilder:
         if ends:
             self.end(tag)
         else:
-            self.start(tag, attrs)
-            if tag in RAW:
+            element = self.start(tag, attrs, between[0].endswith("/"))
+            if tag in RAW and not element.space:
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at + 1)
                 stop = close.start() if close else len(html)
                 raw = html[at + 1:stop]
@@ -113,21 +132,55 @@ class TreeBuilder:
                 return stop
         return at + 1
 
+    def push(self, element: Element) -> None:
+        self.places.setdefault(element.tag, []).append(len(self.open))
+        if element.space:
+            self.foreign.append(len(self.open))
+        self.open.append(element)
+
+    def cut(self, at: int) -> None:
+        """Ends the open elements from a place on."""
+        for element in reversed(self.open[at:]):
+            self.places[element.tag].pop()
+            if element.space:
+                self.foreign.pop()
+        del self.open[at:]
+
+    def last(self, tag: str) -> int:
+        return places[-1] if (places := self.places.get(tag)) else 0
+
     def close_from(self, tags: frozenset[str], edge: frozenset[str]) -> None:
-        """Ends the outermost open element among `tags` inside the nearest element of `edge`."""
-        found = None
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag in edge:
-                break
-            if self.open[i].tag in tags:
-                found = i
+        """Ends the outermost open element among `tags` inside the nearest element of `edge`, or of svg or math."""
+        low = max([self.last(t) for t in edge] + self.foreign[-1:], default=0)
+        found = [places[i] for t in tags if (places := self.places.get(t)) and (i := bisect_right(places, low)) < len(places)]
         if found:
-            del self.open[found:]
-
-    def start(self, tag: str, attrs: dict[str, str | None]) -> None:
+            self.cut(min(found))
+
+    def start(self, tag: str, attrs: dict[str, str | None], closed: bool = False) -> Element:
+        """Adds an element; `closed`: its tag ends in a slash, which counts in svg and math only."""
+        top = self.open[-1]
+        if top.space and top.tag not in HTML_IN[top.space] and (tag in BREAKS_OUT or tag == "font" and attrs.keys() & {"color", "face", "size"}):
+            while self.open[-1].space and self.open[-1].tag not in HTML_IN[self.open[-1].space]:
+                self.cut(len(self.open) - 1)
+            top = self.open[-1]
+        if tag in ("svg", "math"):
+            space = tag
+        else:
+            space = "" if not top.space or top.tag in HTML_IN[top.space] else top.space
+        if space:
+            shows = tag in TOKENS if space == "math" else tag in ("text", "foreignobject") or tag != "svg" and top.space == "svg" and top.shows
+            element = Element(tag, attrs, space, shows)
+            top.inside.append(element)
+            if not closed:
+                self.push(element)
+            return element
         if tag in ("html", "body"):
-            self.open[1:] = [e for e in self.open[1:] if e.tag != "head"]
-            return
+            if self.last("head"):
+                rest = [e for e in self.open[1:] if e.tag != "head"]
+                self.cut(1)
+                for e in rest:
+                    self.push(e)
+            return self.root
         if tag == "head" or (tag in LINES or tag in SPACED) and tag != "option":
             self.close_from(frozenset(["p", "head"]), _BEFORE_P)
         if tag in ENDS:
@@ -136,19 +189,21 @@ class TreeBuilder:
             self.start("tr", {})
         element = Element(tag, attrs)
         self.open[-1].inside.append(element)
-        if tag not in VOID and len(self.open) < DEEPEST:
-            self.open.append(element)
+        if tag not in VOID:
+            self.push(element)
+        return element
 
     def end(self, tag: str) -> None:
         if tag == "br":
             self.start("br", {})
-        edge = frozenset() if tag in _CELL_EDGE or tag in ("tr", "thead", "tbody", "tfoot") else _CELL_EDGE
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
-            if self.open[i].tag in edge or tag != "table" and self.open[i].tag == "table":
-                return
+        at = self.last(tag)
+        edge = frozenset(["table"]) if tag in _CELL_EDGE or tag in ("tr", "thead", "tbody", "tfoot") else _CELL_EDGE
+        if not at or tag != "table" and any(self.last(e) > at for e in edge):
+            return
+        # HTML inside svg or math doesn't end HTML around it.
+        if self.foreign and self.foreign[-1] > at and not self.open[at].space and not self.open[-1].space:
+            return
+        self.cut(at)
 
     def data(self, data: str) -> None:
         self.open[-1].inside.append(data)
@@ -157,7 +212,9 @@ class TreeBuilder:
 class Flow:
     """Lines laid out so far, the inline text that is still open, and the blank line that may have to follow."""
 
-    def __init__(self, pre: bool = False) -> None:
+    def __init__(self, pre: bool = False, depth: int = 0) -> None:
+        """`depth`: flows around this one."""
+        self.depth = depth
         self.lines: list[str] = []
         self.run: list[str] = []
         self.gap, self.pre = False, pre
@@ -189,62 +246,113 @@ class Flow:
             self.gap = spaced
 
 
-def laid_out(element: Element, pre: bool = False) -> list[str]:
-    flow = Flow(pre)
-    walk(element, flow)
+def laid_out(element: Element, pre: bool = False, depth: int = 0, nested: bool = False) -> list[str]:
+    flow = Flow(pre, depth)
+    walk(element, flow, nested)
     flow.add([], False)
     return flow.lines
 
 
-def walk(element: Element, flow: Flow, nested: bool = False) -> None:
-    """Lays the content of an element out into the flow. `nested`: inside a list."""
-    number = _integer(element.attrs.get("start"), 1)
-    shut = element.tag == "details" and "open" not in element.attrs
-    if element.tag == "select":
-        options = [e for e in _all(element, "option") if not e.hidden()]
-        for e in [e for e in options if "selected" in e.attrs] or options[:1]:
-            walk(e, flow)
-        return
-    for child in element.inside:
-        if isinstance(child, str):
-            if not shut:
-                flow.text(child)
-            continue
-        tag = child.tag
-        if child.hidden() or shut and tag != "summary":
-            continue
-        if tag == "br":
-            flow.run.append("\0")
-        elif tag == "input":
-            if (child.attrs.get("type") or "text").lower() not in ("checkbox", "radio", "file", "image", "password"):
-                flow.text(child.attrs.get("value") or "")
-        elif tag == "li":
-            mark = f"{number}. " if element.tag == "ol" else "- "
-            number += 1
-            flow.add(_indented(laid_out_list_item(child), mark), False)
-        elif tag in ("ul", "ol", "menu"):
-            flow.add([], not nested)
-            walk(child, flow, True)
-            flow.add([], not nested)
-        elif tag == "table":
-            flow.add(table_lines(child), True)
-        elif tag in ("pre", "listing", "textarea"):
-            flow.add(laid_out(child, True), tag != "textarea")
-        elif tag in ("blockquote", "dd"):
-            flow.add(_indented(laid_out(child), "    ", "    "), tag == "blockquote")
-        elif tag in LINES or tag in SPACED:
-            flow.add([], tag in SPACED)
-            walk(child, flow, nested)
-            flow.add([], tag in SPACED)
-        else:
-            walk(child, flow, nested)
+class Visit:
+    """An element whose content is being laid out, and what follows it: a line's end, a blank line, or a space."""
 
+    __slots__ = ("element", "rest", "number", "shut", "nested", "after", "pre")
 
-def laid_out_list_item(item: Element) -> list[str]:
-    flow = Flow()
-    walk(item, flow, True)
-    flow.add([], False)
-    return flow.lines
+    def __init__(self, element: Element, nested: bool = False, after: bool | str | None = None, pre: bool | None = None) -> None:
+        self.element, self.nested, self.after, self.pre = element, nested, after, pre
+        self.rest = iter(element.inside)
+        self.number = _integer(element.attrs.get("start"), 1)
+        self.shut = element.tag == "details" and "open" not in element.attrs
+
+    def leave(self, flow: Flow) -> None:
+        if isinstance(self.after, str):
+            flow.text(self.after)
+        elif self.after is not None:
+            flow.add([], self.after)
+        if self.pre is not None:
+            flow.pre = self.pre
+
+
+def walk(element: Element, flow: Flow, nested: bool = False) -> None:
+    """Lays the content of an element out into the flow. `nested`: inside a list.
+
+    Open elements stand on a list of their own, so that any depth will do; only content with a layout of its own
+    is a call, and that only down to DEEPEST.
+    """
+    todo = [Visit(element, nested)]
+    while todo:
+        at = todo[-1]
+        for child in at.rest:
+            if isinstance(child, str):
+                if at.element.shows and not at.shut:
+                    flow.text(_SPACE.sub(" ", child).strip(" ") if at.element.space == "math" else child)
+            elif not (child.hidden() or at.shut and child.tag != "summary"):
+                inner = list(_entered(child, at, flow))
+                if inner:
+                    todo += inner
+                    break
+        else:
+            todo.pop().leave(flow)
+
+
+def _entered(child: Element, at: Visit, flow: Flow) -> Iterator[Visit]:
+    """Lays out a child that is a unit, or begins it and gives the visits that lay out its content, the last one first."""
+    tag, deep = child.tag, flow.depth >= DEEPEST
+    if child.space:
+        yield _foreign(child, flow)
+    elif tag == "br":
+        flow.run.append("\0")
+    elif tag == "input":
+        if (child.attrs.get("type") or "text").lower() not in ("checkbox", "radio", "file", "image", "password"):
+            flow.text(child.attrs.get("value") or "")
+    elif tag == "select":
+        options = [e for e in _all(child, "option") if not e.hidden()]
+        yield from map(Visit, reversed([e for e in options if "selected" in e.attrs] or options[:1]))
+    elif tag == "li":
+        mark = f"{at.number}. " if at.element.tag == "ol" else "- "
+        at.number += 1
+        if not deep:
+            flow.add(_indented(laid_out(child, False, flow.depth + 1, True), mark), False)
+            return
+        flow.add([], False)
+        flow.text(mark)
+        yield Visit(child, True, False)
+    elif tag in ("ul", "ol", "menu"):
+        flow.add([], not at.nested)
+        yield Visit(child, True, not at.nested)
+    elif tag == "table" and not deep:
+        flow.add(table_lines(child, flow.depth + 1), True)
+    elif tag in ("pre", "listing", "textarea"):
+        if not deep:
+            flow.add(laid_out(child, True, flow.depth + 1), tag != "textarea")
+            return
+        flow.add([], tag != "textarea")
+        yield Visit(child, False, tag != "textarea", flow.pre)
+        flow.pre = True
+    elif tag in ("blockquote", "dd") and not deep:
+        flow.add(_indented(laid_out(child, False, flow.depth + 1), "    ", "    "), tag == "blockquote")
+    elif tag in LINES or tag in SPACED:
+        flow.add([], tag in SPACED)
+        yield Visit(child, at.nested, tag in SPACED)
+    else:
+        yield Visit(child, at.nested)
+
+
+def _foreign(child: Element, flow: Flow) -> Visit:
+    """Begins an element of svg or math. Texts of a drawing stand apart, parts of a fraction have a slash between."""
+    tag, after = child.tag, None
+    if tag == "text" or tag in ("mtr", "mtd") or tag == "tspan" and child.attrs.keys() & {"x", "y"}:
+        flow.text(" ")
+        after = " "
+    elif tag == "foreignobject" or tag == "math" and child.attrs.get("display") == "block":
+        flow.add([], False)
+        after = False
+    if tag in ("mfrac", "semantics", "maction"):
+        parts = [e for e in child.inside if not isinstance(e, str)]
+        shown = Element(tag, {}, "math")
+        shown.inside = [x for e in parts for x in ("/", e)][1:] if tag == "mfrac" else parts[:1]
+        child = shown
+    return Visit(child, False, after)
 
 
 def _indented(lines: list[str], first: str, rest: str | None = None) -> list[str]:
@@ -257,12 +365,18 @@ def _integer(text: str | None, default: int) -> int:
 
 
 def _all(element: Element, tag: str) -> Iterator[Element]:
-    for child in element.inside:
-        if not isinstance(child, str):
+    todo = [iter(element.inside)]
+    while todo:
+        for child in todo[-1]:
+            if isinstance(child, str):
+                continue
             if child.tag == tag:
                 yield child
             else:
-                yield from _all(child, tag)
+                todo.append(iter(child.inside))
+                break
+        else:
+            todo.pop()
 
 
 def _rows(element: Element) -> Iterator[Element]:
@@ -274,7 +388,7 @@ def _rows(element: Element) -> Iterator[Element]:
                 yield from _rows(child)
 
 
-def table_lines(table: Element) -> list[str]:
+def table_lines(table: Element, depth: int = 0) -> list[str]:
     """Caption, then rows with their cells in aligned columns, cells of several lines side by side. Content that stands in
     no cell comes first, as browsers move it there."""
     stray = Element("div", {})
@@ -290,7 +404,7 @@ def table_lines(table: Element) -> list[str]:
                 captions.append(child)
             elif child.tag not in ("td", "th", "col", "colgroup"):
                 stray.inside.append(child)
-    lines = laid_out(stray) + [line for c in captions if not c.hidden() for line in laid_out(c)]
+    lines = laid_out(stray, False, depth) + [line for c in captions if not c.hidden() for line in laid_out(c, False, depth)]
     grid: list[dict[int, tuple[list[str], int]]] = []
     covered: dict[int, int] = {}
     for row in _rows(table):
@@ -304,7 +418,7 @@ def table_lines(table: Element) -> list[str]:
                 at += 1
             wide = min(max(_integer(cell.attrs.get("colspan"), 1), 1), 100)
             tall = min(max(_integer(cell.attrs.get("rowspan"), 1), 1), 1000)
-            cells[at] = (laid_out(cell), wide)
+            cells[at] = (laid_out(cell, False, depth), wide)
             for c in range(at, at + wide):
                 if tall > 1:
                     still[c] = tall - 1

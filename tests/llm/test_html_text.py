@@ -43,6 +43,18 @@ def test_long_and_deep_pages_take_linear_time():
     assert render("<div>" * 50_000 + "x") == "x"
 
 
+@pytest.mark.parametrize("open_tag", ["<b>", "<font>", "<div>", "<ul><li>", "<blockquote>", "<table><td>"])
+def test_past_any_depth_hidden_stays_hidden_and_end_tags_match(open_tag):
+    page = open_tag * 300 + "<div>one</div><script>no</script><style>no</style><div hidden><p>no</p></div><i style='display:none'>no</i>"
+    page += "<table><tr><td>k<td>v</table><pre>  a\n b</pre><ul><li>x<li>y</ul>end"
+    lines = [line.strip() for line in render(page).split("\n")]
+    assert "no" not in " ".join(lines)
+    text = " ".join(" ".join(lines).split())
+    assert text.lstrip("- ") == "one k v a b - x - y end"
+    # An end tag ends its own element, not an outer one.
+    assert render("<p>" + "<b>" * 300 + "<i hidden>x</i>y</b>z<span hidden>no</span>") == "yz"
+
+
 def test_rows(spark):
     rows = [(1, "u", "<p>a<p>b", "x"), (1, "u", "<p>a<p>b", "x"), (2, None, None, "x"), (None, "u", "", "x")]
     got = extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
