@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that show nothing.
-UNSEEN = frozenset("head title style script template datalist iframe object audio video canvas svg math noframes".split())
+UNSEEN = frozenset("head title style script template datalist iframe object audio video canvas noframes".split())
 #: Elements inside svg and math that show nothing, and those whose content is HTML again.
 UNSEEN_IN = {"svg": frozenset("title desc metadata defs symbol clippath mask pattern marker filter lineargradient radialgradient style script".split()),
              "math": frozenset("annotation annotation-xml mphantom style script".split())}

@@ -25,6 +25,13 @@ CASES = {
     "<a href='x>y' title=\"<p>\">t</a>": "t",
     "<SCRIPT>var a='</p>';</SCRIPT>T<TextArea>r &amp; <b></textarea>": "T\nr & <b>",
     "<input value=v><input type=hidden value=n><input type=submit value=go>": "vgo",
+    "<p>Area <math><mi> x </mi> <mo>=</mo> <mfrac><mn>1</mn><mn>2</mn></mfrac></math> end": "Area x=1/2 end",
+    "<math><semantics><msup><mi>x</mi><mn>2</mn></msup><annotation>x^2</annotation></semantics></math>": "x2",
+    "a<math display=block><mtext>b</mtext><mphantom><mi>no</mi></mphantom></math>c": "a\nb\nc",
+    "<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>a > b</style><path d='M0'/><g>no<text>one <tspan>two</tspan></text></g><text>three</text></svg>": "one two three",
+    "<svg><text><![CDATA[a<b]]></text><text display=none>no</text><script>no</script></svg>c": "a<b c",
+    "<p>a <svg><foreignObject><div>b</div></foreignObject><text>c</text></svg> d</p>e": "a\nb\nc d\n\ne",
+    "<div><svg><path d=x><p>out</div>after": "out\n\nafter",
     "": "", "<": "<", "<!--": "", "<p>": "",
 }
 
