@@ -19,14 +19,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import slices, utf8
+from emberlog.llm.common import meet, slices, utf8
+from emberlog.session import settled
 
 #: Length of a vector.
 SIZE = 1 << 13
 #: Centroids per language, and rounds of clustering.
 CENTROIDS, ROUNDS = 4, 8
-#: Bound of the sample that the centroids are fitted on, per language, and of the languages learned (the most frequent).
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 600, 400
+#: Texts per language that the centroids are fitted on, and the most that one task can hold.
+SAMPLE_PER_LANGUAGE, LARGEST_SAMPLE = 600, 1000
+#: Languages up to which the bounds of their samples are sent to every task; more of them are joined by a shuffle.
+SENT_LANGUAGES = 10_000
 #: A text whose best cosine is below this is rejected: a distance of more than 1 - MIN_COSINE. Texts with fewer
 #: trigrams than MIN_GRAMS are too short to be told to be far from everything.
 MIN_COSINE, MIN_GRAMS = 0.03, 60
@@ -102,9 +105,11 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
         lang_col: str = "lang") -> Centroids | None:
     """Learn from rows with a text and a language; None if there are none.
 
-    At most MOST_LANGUAGES languages are learned, the most frequent ones. The sample of a language is its `per_language` rows of smallest seeded hash of the id (all rows that share
-    the last one's hash come along only if their ids are equal).
+    Every language that occurs is learned. The sample of a language is its `per_language` rows of smallest seeded hash of
+    the id (all rows that share the last one's hash come along only if their ids are equal).
     """
+    if not 1 <= per_language <= LARGEST_SAMPLE:
+        raise ValueError(f"per_language must be from 1 to {LARGEST_SAMPLE}: the sample of a language is held by one task")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         "lang is not null and text is not null")
 
@@ -123,14 +128,18 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
     idf = np.log((1 + found[0]) / (1 + found[1:])) + 0.05
 
     # Ids and hashes alone decide the sample; the limit per language is applied before anything is shuffled.
-    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    known = [r.lang for r in frequent.collect()]
     order = F.xxhash64(F.lit("langid"), "doc_id")
-    ranked = rows.filter(F.col("lang").isin(known)).select("lang", order.alias("_order")).withColumn(
+    ranked = rows.select("lang", order.alias("_order")).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order")))
-    cut = ranked.filter(F.col("_rank") <= min(per_language, 1000)).groupBy("lang").agg(F.max("_order").alias("_last"))
-    # One row per language: with the join by broadcast, no text moves but the sample's.
-    sample = (rows.withColumn("_order", order).join(F.broadcast(cut), "lang").filter("_order <= _last").select("lang", "text"))
+    cut = settled(ranked.filter(F.col("_rank") <= per_language).groupBy("lang").agg(F.max("_order").alias("_last")), "cut")
+    ordered = rows.withColumn("_order", order)
+    if cut.count() <= SENT_LANGUAGES:
+        # One row per language: with the join by broadcast, no text moves but the sample's.
+        bounded = ordered.join(F.broadcast(cut), "lang")
+    else:
+        sizes = rows.groupBy("lang").agg(F.count("*").alias("_size"))
+        bounded = meet(ordered, settled(cut.join(sizes, "lang"), "cut"), ["lang"], "_size")
+    sample = bounded.filter("_order <= _last").select("lang", "text")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from emberlog.llm import langid as m
 from emberlog.llm.common import table, utf8
@@ -61,3 +62,25 @@ def test_several_centroids():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     own = (x @ m.cluster(x, 4).T).argmax(axis=1)
     assert len({tuple(own[i::4]) for i in range(4)}) == 4 and all(len(set(own[i::4])) == 1 for i in range(4))
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = [f"l{i:03}" for i in range(410)]
+    rows = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)), lang, "a") for i, lang in enumerate(names)]
+    docs = documents(spark, rows, False).coalesce(4)
+    model = m.fit(docs)
+    assert sorted(set(model.languages)) == names
+    assert all(r.lang_pred == r.lang for r in m.identify(docs, model, ["lang"]).collect())
+    # Without the broadcast the sample is the same.
+    monkeypatch.setattr(m, "SENT_LANGUAGES", 3)
+    few = documents(spark, rows[:8] * 3, False)
+    shuffled = m.fit(few, per_language=1)
+    monkeypatch.undo()
+    sent = m.fit(few, per_language=1)
+    assert shuffled.languages == sent.languages and np.array_equal(shuffled.centres, sent.centres)
+
+
+def test_a_sample_beyond_one_task_is_refused(spark, odd_rows):
+    with pytest.raises(ValueError):
+        m.fit(documents(spark, odd_rows), per_language=1001)
