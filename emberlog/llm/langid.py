@@ -3,7 +3,8 @@
 A text is the vector of its hashed byte trigrams, sublinear in frequency, weighted by inverse document
 frequency and normalised. Each language has several centroids, found by spherical k-means on a bounded sample of its
 texts; document frequencies come from all learning texts. A text gets the language of the centroid of
-highest cosine. It is rejected when that centroid is too far away, or when it has no letter.
+highest cosine. It is rejected when that centroid is too far away, measured by how far its own learning texts are, or when
+it has no letter.
 
 Scoring is one pass without a shuffle; long texts go through in windows, whole.
 """
@@ -11,6 +12,7 @@ Scoring is one pass without a shuffle; long texts go through in windows, whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +32,15 @@ CENTROIDS, ROUNDS = 4, 8
 SAMPLE_PER_LANGUAGE, LARGEST_SAMPLE = 600, 1000
 #: Languages up to which the bounds of their samples are sent to every task; more of them are joined by a shuffle.
 SENT_LANGUAGES = 10_000
-#: A text whose best cosine is below this is rejected: a distance of more than 1 - MIN_COSINE. Texts with fewer
-#: trigrams than MIN_GRAMS are too short to be told to be far from everything.
-MIN_COSINE, MIN_GRAMS = 0.03, 60
+#: A text whose best cosine is below its centroid's bound is rejected. The bound is SLACK times the QUANTILE of the cosines
+#: of the learning texts that are nearest to the centroid, in their own language and of like length (cosines grow with
+#: it): lengths are classes by the power of two of the number of trigrams, from SHORTEST to LONGEST.
+QUANTILE, SLACK, SHORTEST, LONGEST = 0.005, 0.5, 5, 9
+#: Of fewer texts of a class the language's stand for the centroid's, and of fewer of those the least bound of any language is
+#: taken; without any, MIN_COSINE. Texts with fewer trigrams than MIN_GRAMS are too short to be told to be far from everything.
+LEAST_TEXTS, MIN_COSINE, MIN_GRAMS = 20, 0.03, 60
+#: Steps of the cosines that are counted for the quantiles.
+STEPS = 200
 UNKNOWN = "und"
 WINDOW = 1 << 20
 _ROWS = 64
@@ -74,6 +82,24 @@ def _rows(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
             yield piece, gram_counts(*utf8(piece.column(column)))
 
 
+def length_class(counts: np.ndarray) -> np.ndarray:
+    return np.clip(np.log2(np.maximum(counts.sum(axis=1), 1)).astype(np.int64), SHORTEST, LONGEST) - SHORTEST
+
+
+def bounds_from(found: np.ndarray, languages: list[str]) -> np.ndarray:
+    """Bounds per centroid and class of length from the numbers of learning texts per centroid, class and step of cosine."""
+    lines = {name: i for i, name in enumerate(dict.fromkeys(languages))}
+    of_language = np.zeros((len(lines), *found.shape[1:]), dtype=found.dtype)
+    own = np.array([lines[name] for name in languages])
+    np.add.at(of_language, own, found)
+    used = np.where((found.sum(axis=2) >= LEAST_TEXTS)[:, :, None], found, of_language[own])
+    total = used.sum(axis=2)
+    step = (used.cumsum(axis=2) > np.floor(QUANTILE * total)[:, :, None]).argmax(axis=2)
+    bounds = np.where(total >= LEAST_TEXTS, SLACK * step / STEPS, np.inf)
+    bounds = np.where(np.isinf(bounds), bounds.min(axis=0), bounds)
+    return np.where(np.isinf(bounds), np.nan, bounds)
+
+
 def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarray:
     """Spherical k-means from farthest-first seeds; fewer centroids when texts are few or alike."""
     seeds = [int(np.argmax(x @ x.mean(axis=0)))]
@@ -90,10 +116,19 @@ def cluster(x: np.ndarray, k: int = CENTROIDS, rounds: int = ROUNDS) -> np.ndarr
 
 
 class Centroids:
-    """A fitted model: a few centroids per language; its size depends on the number of languages only."""
+    """A fitted model: a few centroids per language; its size depends on the number of languages only.
 
-    def __init__(self, idf: np.ndarray, languages: list[str], centres: np.ndarray) -> None:
+    `bounds` has a line per centroid with the least cosine per class of length, NaN where no language has enough texts.
+    """
+
+    def __init__(self, idf: np.ndarray, languages: list[str], centres: np.ndarray, bounds: np.ndarray | None = None) -> None:
         self.idf, self.languages, self.centres = idf, languages, centres
+        self.bounds = np.full((len(centres), LONGEST - SHORTEST + 1), np.nan) if bounds is None else bounds
+
+    def far(self, counts: np.ndarray, best: np.ndarray, cosine: np.ndarray, min_cosine: float) -> np.ndarray:
+        """Is a text beyond the bound of its centroid? `min_cosine` is the bound where none was learned."""
+        bound = self.bounds[best, length_class(counts)]
+        return (cosine < np.where(np.isnan(bound), min_cosine, bound)) & (counts.sum(axis=1) >= MIN_GRAMS)
 
     def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cosine = vectors(counts, self.idf) @ self.centres.T
@@ -166,7 +201,29 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
     if fitted.empty:
         return None
     fitted = fitted.sort_values(["lang", "centre"])
-    return Centroids(idf, fitted["lang"].tolist(), np.stack([np.frombuffer(c, "<f4") for c in fitted["centre"]]))
+    model = Centroids(idf, fitted["lang"].tolist(), np.stack([np.frombuffer(c, "<f4") for c in fitted["centre"]]))
+    model.bounds = _bounds(rows.select("lang", "text"), model)
+    return model
+
+
+def _bounds(rows: DataFrame, model: Centroids) -> np.ndarray:
+    """The bounds of a model from all learning texts, in one pass that shuffles counts only."""
+    shape = (len(model.centres), LONGEST - SHORTEST + 1, STEPS)
+
+    def cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen = np.array(model.languages, dtype=object), Counter()
+        for batch in batches:
+            for piece, counts in _rows(batch, 1):
+                best, cosine = model.nearest(counts)
+                own = (names[best] == np.array(piece.column(0).to_pylist(), dtype=object)) & (counts.sum(axis=1) >= MIN_GRAMS)
+                step = np.minimum((cosine * STEPS).astype(np.int64), STEPS - 1)
+                seen.update(np.ravel_multi_index((best, length_class(counts), step), shape)[own].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["cell", "n"])
+
+    cells = rows.mapInArrow(cosines, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    found = np.zeros(np.prod(shape), dtype=np.int64)
+    found[cells["cell"].to_numpy(np.int64)] = cells["n"].to_numpy(np.int64)
+    return bounds_from(found.reshape(shape), model.languages)
 
 
 def identify(docs: DataFrame, model: Centroids | None, carry: list[str], text_col: str = "text",
@@ -175,7 +232,8 @@ def identify(docs: DataFrame, model: Centroids | None, carry: list[str], text_co
 
     Texts that are null or without a letter are `und` with score 0 and are rejected; so is every text when nothing
     could be learned. Any other text gets the nearest learned language, with the cosine as score, and is
-    rejected if it has MIN_GRAMS trigrams and the cosine is below `min_cosine`. Equal cosines go to the first language
+    rejected if it has MIN_GRAMS trigrams and the cosine is below the centroid's bound for its length, or below `min_cosine`
+    where no language has enough texts for one. Equal cosines go to the first language
     in order. Repeated rows are independent; an empty table gives an empty result.
     """
     schema = docs.select(*carry).schema.simpleString()[len("struct<"):-1]
@@ -190,10 +248,11 @@ def identify(docs: DataFrame, model: Centroids | None, carry: list[str], text_co
                 lettered = np.array([t is not None and _LETTER.search(t) is not None for t in (v.as_py() for v in piece.column(at))])
                 if model is None:
                     score, names = np.zeros(len(counts)), np.full(len(counts), UNKNOWN, dtype=object)
+                    far = np.ones(len(counts), dtype=bool)
                 else:
                     best, score = model.nearest(counts)
                     names = np.where(lettered, np.array(model.languages, dtype=object)[best], UNKNOWN)
-                far = (score < min_cosine) & (counts.sum(axis=1) >= MIN_GRAMS) | (model is None)
+                    far = model.far(counts, best, score, min_cosine)
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns[:n], pa.array(names, pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(~lettered | far)],
                     names=[*carry, "lang_pred", "score", "rejected"])

@@ -84,3 +84,43 @@ def test_every_language_is_learned(spark, monkeypatch):
 def test_a_sample_beyond_one_task_is_refused(spark, odd_rows):
     with pytest.raises(ValueError):
         m.fit(documents(spark, odd_rows), per_language=1001)
+
+
+#: Sentences of languages that are not learned: three in Latin script, three in others.
+FOREIGN = {
+    "fi": "Aamulla kaupungin kadut olivat vielä hiljaisia, mutta satamassa kalastajat purkivat jo saalistaan. Vanha mies istui laiturilla ja katseli lokkeja, jotka kiertelivät veneiden yllä. Hänen pojanpoikansa juoksi kauppaan ostamaan leipää, juustoa ja kahvia ennen kuin muut heräsivät. Illalla he soutivat yhdessä saareen ja lämmittivät saunan.",
+    "pl": "Wczesnym rankiem ulice miasta były jeszcze puste, ale na targu sprzedawcy rozkładali już warzywa i owoce. Starsza kobieta szukała świeżych jabłek, a jej wnuk przyglądał się gołębiom na dachu ratusza. Potem poszli razem do piekarni, żeby kupić chleb i drożdżówki z serem. Wieczorem opowiadała mu o dawnych czasach.",
+    "tr": "Sabah erkenden şehrin sokakları henüz sessizdi, fakat limandaki balıkçılar ağlarını çoktan toplamıştı. Yaşlı adam iskelede oturmuş, teknelerin üzerinde dönen martıları izliyordu. Torunu ise kahvaltı için ekmek, peynir ve zeytin almaya bakkala koşuyordu. Akşam olunca hep birlikte eski şarkılar söylediler.",
+    "ru": "Ранним утром улицы города были ещё пусты, но на рынке продавцы уже раскладывали овощи и фрукты. Пожилая женщина искала свежие яблоки, а её внук смотрел на голубей на крыше ратуши. Потом они вместе пошли в пекарню за хлебом и булочками. Вечером она рассказывала ему о прежних временах.",
+    "el": "Νωρίς το πρωί οι δρόμοι της πόλης ήταν ακόμη άδειοι, αλλά στο λιμάνι οι ψαράδες ξεφόρτωναν ήδη τα δίχτυα τους. Ένας γέρος καθόταν στην προβλήτα και κοιτούσε τους γλάρους που πετούσαν πάνω από τις βάρκες. Ο εγγονός του έτρεξε στο μαγαζί για ψωμί και τυρί.",
+    "ja": "朝早く、町の通りはまだ静かだったが、港では漁師たちがもう魚を下ろしていた。老人は桟橋に座り、船の上を飛ぶかもめを眺めていた。孫は朝食のパンとチーズを買いに店へ走っていった。夕方になると二人は島まで舟をこぎ、昔の歌を歌った。",
+}
+
+
+def test_foreign_texts_are_rejected_and_clean_ones_kept(spark):
+    docs = table(spark, f"{TESTDATA}/sf0.01", "documents").selectExpr("*", "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 as held")
+    model = m.fit(docs.filter("not held"))
+    rng = np.random.default_rng(5)
+    far = [(0, "漢字 " * 40, "zh", "a")]
+    for lang, text in FOREIGN.items():
+        parts = text.split("。" if lang == "ja" else " ")
+        # Texts of 80 to 2,000 parts in random order.
+        far += [(len(far) + k, " ".join(rng.choice(parts, n)), lang, "a") for k, n in enumerate([*[80] * 10, *[400] * 10, *[2000] * 5])]
+    got = m.identify(documents(spark, far, False), model, ["lang", "doc_id"]).collect()
+    assert all(r.rejected for r in got)
+    clean = m.identify(docs.filter("held and text is not null"), model, ["doc_id"]).collect()
+    rejected = sum(r.rejected for r in clean)
+    print(f"foreign {sum(r.rejected for r in got)} of {len(got)} rejected, clean {rejected} of {len(clean)}")
+    assert rejected <= 0.005 * len(clean)
+
+
+def test_bounds_follow_the_learned_cosines():
+    found = np.zeros((3, 2, m.STEPS), dtype=np.int64)
+    found[0, 0, 100:120] = 50
+    found[1, 0, 60] = 5
+    found[2, 0, 60] = 5
+    got = m.bounds_from(found, ["a", "a", "b"])
+    assert got[0, 0] == m.SLACK * 100 / m.STEPS
+    # Too few texts of its own: the language's; too few of those: the least of any language, or none.
+    assert got[1, 0] == m.SLACK * 100 / m.STEPS
+    assert got[2, 0] == got[0, 0] and np.isnan(got[:, 1]).all()
