@@ -50,7 +50,9 @@ def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     sql_types = {row[0]: row[1] for row in con.execute(f"DESCRIBE {sql}").fetchall()}
     if spark_types != sql_types:
         return f"types {spark_types} != {sql_types}"
-    return difference(df.toPandas(), con.execute(sql).fetchdf())
+    # Integers stay integers beside nulls.
+    whole = {name: "Int64" for name, kind in spark_types.items() if kind in ("BIGINT", "INTEGER")}
+    return difference(df.toPandas().astype(whole), con.execute(sql).fetchdf().astype(whole))
 
 
 def canonical(frame: pd.DataFrame) -> tuple[list[str], list[tuple]]:
