@@ -27,6 +27,11 @@ def _orders(arrival: Sequence[str]) -> dict[str, list[Column]]:
     }
 
 
+def pick_order(name: str, arrival: Sequence[str]) -> list[Column]:
+    """The order by which a tier's first rows are chosen: 'hot', 'cold', or 'newest' for either."""
+    return _orders(arrival)["newest" if name == "newest" else f"{name}_pick"]
+
+
 def _branches(
     hot: DataFrame, cold: DataFrame, query: LogQuery, route: Route, arrival: Sequence[str], read_hot: bool,
 ) -> list[tuple[str, DataFrame]]:

@@ -3,10 +3,11 @@
 Layout below the root:
 
     hot/new/<run>-<batch>-<token>-<i>.parquet   good rows of stream micro-batches, one flat folder
-    hot/commits/<run>-<batch>.json              one small file per finished batch, with its counts
+    hot/commits/<run>-<batch>-<token>.json      one small file per finished batch, with its counts
     hot/segments/<n>-<token>/                   young rows that a compaction has merged into larger files
     bad/<run>-<batch>-<token>-<i>.parquet       rejected records
     cold/compaction=<n>-<token>/dt=<date>/      one directory per compaction
+    cold-index/<n>-<token>/                     what searches must know of its files (`objects.INDEX_SCHEMA`)
     manifest/<n>.json                           one snapshot per committed compaction or eviction
     runs/<run>.json                             which streaming query owns a run
     batches/                                    counts of batches whose files have been cleaned up
@@ -16,13 +17,17 @@ run, the segments, the cutoff, and the cold directories. A reader takes one snap
 tiers, so a compaction that commits in between changes nothing for it: absorbed files stay until `clean`. A batch counts as
 absorbed only if a compaction has read it, whatever the order in which batches and runs arrive. A compaction
 that fails leaves files that no snapshot names: nothing is lost or doubled.
+
+A batch becomes visible, whole, by the one file that commits it: the token in its name is that of the batch's files, and files
+of other tokens are not read. Each attempt at a batch has a greater token, so a replay replaces the batch in that one step too.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -30,12 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberlog.functions.timefmt import micros, rfc3339_seconds, utc
+from emberlog.functions.zorder import cut_points, interleaved
+from emberlog.plans.progressive import Found, Part, first_rows
 from emberlog.plans.query import LogQuery
-from emberlog.plans.search import search
+from emberlog.plans.search import pick_order, search
 from emberlog.schema import (
     ARRIVAL, BATCH_SCHEMA, COLD_AGE, COLD_SCHEMA, HOT_RETENTION, HOT_SCHEMA, LOG_COLUMNS, MANIFEST_SCHEMA,
 )
 from emberlog.sources.files import Folder
+from emberlog.sources.objects import INDEX_SCHEMA, DataObject, candidates, summarise
 
 #: A compaction without aged rows still merges new files once there are this many batches.
 MERGE_BATCHES = 100
@@ -73,6 +81,15 @@ class Snapshot:
         return F.col("timestamp").isNull() | (F.col("timestamp") >= F.timestamp_micros(F.lit(self.cutoff_us)))
 
 
+def _batch_of(path: str) -> tuple[int, int, str]:
+    """(run, batch_id, token) of a file of a batch or of its commit."""
+    run, batch, token = path.rsplit("/", 1)[1].split(".")[0].split("-")[:3]
+    return int(run), int(batch), token
+
+
+COMMIT_SCHEMA = T.StructType([*BATCH_SCHEMA.fields, T.StructField("token", T.StringType())])
+
+
 def _merged(ranges: list[list[int]]) -> list[list[int]]:
     """Ranges joined where they touch."""
     out: list[list[int]] = []
@@ -90,6 +107,15 @@ def _stats() -> list[Column]:
             F.count_if(F.col("timestamp").isNull()).alias("nulls")]
 
 
+@dataclass(frozen=True)
+class FirstFound:
+    """A limited result and what was read for it; a tier that was not read in parts has no report."""
+
+    rows: DataFrame
+    hot: Found | None
+    cold: Found | None
+
+
 class LogTables:
     """The tables below one root folder."""
 
@@ -116,9 +142,9 @@ class LogTables:
         position inside the batch is the row's place in the input. A batch that a compaction has absorbed is
         already stored and left as it is.
         """
+        earlier = self.folder.glob(f"hot/commits/{run}-{batch_id}-*.json")
         if self.snapshot().holds(run, batch_id):
-            return json.loads(self.folder.read(f"hot/commits/{run}-{batch_id}.json")) if self.folder.exists(
-                f"hot/commits/{run}-{batch_id}.json") else {"run": run, "batch_id": batch_id}
+            return json.loads(self.folder.read(max(earlier))) if earlier else {"run": run, "batch_id": batch_id}
         columns = set(decoded.columns)
         partition = F.col("partition").cast("int") if "partition" in columns else F.lit(0)
         offset = F.col("offset").cast("long") if "offset" in columns else F.monotonically_increasing_id()
@@ -131,27 +157,34 @@ class LogTables:
             F.when(error.isNull(), "ok").otherwise("bad").alias("status"))
         counted = rows.observe(seen, F.count(F.lit(1)).alias("input_rows"), F.count_if(F.col("status") == "ok").alias("accepted"),
                                F.count_if(F.col("status") == "bad").alias("rejected"))
-        token = uuid.uuid4().hex[:8]
+        # Tokens grow from attempt to attempt, so that of two commits the later one counts.
+        attempt = 1 + max((int(_batch_of(path)[2][:6]) for path in earlier), default=0)
+        token = f"{attempt:06d}{uuid.uuid4().hex[:8]}"
         aside = f"hot/tmp/{run}-{batch_id}-{token}"
         counted.write.partitionBy("status").parquet(self.folder.child(aside))
-        for folder in ("hot/new", "bad"):
-            for old in self.folder.glob(f"{folder}/{run}-{batch_id}-*"):
-                self.folder.delete(old)
         for status, folder in (("ok", "hot/new"), ("bad", "bad")):
             for i, part in enumerate(self.folder.glob(f"{aside}/status={status}/*.parquet")):
                 self.folder.move(part, f"{folder}/{run}-{batch_id}-{token}-{i}.parquet")
         row = {"run": run, "batch_id": batch_id, **seen.get}
-        commit = f"hot/commits/{run}-{batch_id}.json"
-        if not self.folder.publish(commit, json.dumps(row)):
-            self.folder.delete(commit)
-            self.folder.publish(commit, json.dumps(row))
+        if not self.folder.publish(f"hot/commits/{run}-{batch_id}-{token}.json", json.dumps(row | {"token": token})):
+            raise RuntimeError(f"batch {batch_id} of run {run} could not be committed")
+        for old in earlier:
+            self.folder.delete(old)
+        for folder in ("hot/new", "bad"):
+            for old in self.folder.glob(f"{folder}/{run}-{batch_id}-*"):
+                if _batch_of(old)[2] != token:
+                    self.folder.delete(old)
         self.folder.delete(aside)
         return row
 
+    def _commits(self) -> dict[tuple[int, int], str]:
+        """Token of each finished batch whose files are still there, by (run, batch_id), from one listing."""
+        found = [_batch_of(path) for path in self.folder.glob("hot/commits/*.json")]
+        return {(run, batch): token for run, batch, token in sorted(found)}
+
     def _committed(self) -> list[tuple[int, int]]:
         """(run, batch_id) of the finished batches whose files are still there."""
-        names = [path.rsplit("/", 1)[1].removesuffix(".json") for path in self.folder.glob("hot/commits/*.json")]
-        return sorted((int(run), int(batch)) for run, batch in (n.split("-") for n in names))
+        return sorted(self._commits())
 
     def committed_batch(self) -> tuple[int, int] | None:
         """Largest (run, batch_id) whose write has finished, cleaned up or not."""
@@ -160,18 +193,31 @@ class LogTables:
 
     def batches(self) -> DataFrame:
         """Per finished batch: rows read, accepted and rejected. A replay replaces its row."""
-        found = self.spark.createDataFrame([], BATCH_SCHEMA)
+        found = self.spark.createDataFrame([], COMMIT_SCHEMA)
         if self.folder.exists("hot/commits"):
-            found = found.unionByName(self.spark.read.schema(BATCH_SCHEMA).option("pathGlobFilter", "*.json").json(self.folder.child("hot/commits")))
+            found = found.unionByName(self._commit_rows())
         if self.folder.exists("batches"):
-            found = found.unionByName(self.spark.read.schema(BATCH_SCHEMA).parquet(self.folder.child("batches")))
-        # A clean-up that was interrupted may have left a row in both places.
-        return found.dropDuplicates(["run", "batch_id"])
+            found = found.unionByName(self.spark.read.schema(COMMIT_SCHEMA).parquet(self.folder.child("batches")))
+        # A replay or a clean-up that was interrupted may have left two rows.
+        counts = [f.name for f in BATCH_SCHEMA if f.name not in ("run", "batch_id")]
+        return found.groupBy("run", "batch_id").agg(*[F.max_by(c, F.coalesce("token", F.lit(""))).alias(c) for c in counts])
+
+    def _commit_rows(self) -> DataFrame:
+        return self.spark.read.schema(COMMIT_SCHEMA).option("pathGlobFilter", "*.json").json(self.folder.child("hot/commits"))
 
     def _flat(self, folder: str) -> DataFrame:
+        """Rows of the committed files of a flat folder.
+
+        Commits are listed before the files, so all files of a batch that counts as committed are there. The names of files
+        that no commit names, which a running or a dead job left, become a filter on the files.
+        """
+        commits = self._commits()
         if not self.folder.exists(folder):
             return self.spark.createDataFrame([], HOT_SCHEMA)
-        return self.spark.read.schema(HOT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(self.folder.child(folder))
+        rows = self.spark.read.schema(HOT_SCHEMA).option("pathGlobFilter", "*.parquet").parquet(self.folder.child(folder))
+        hidden = [path.rsplit("/", 1)[1] for path in self.folder.glob(f"{folder}/*.parquet")
+                  if commits.get(_batch_of(path)[:2]) != _batch_of(path)[2]]
+        return rows.filter(~F.col("_metadata.file_name").isin(hidden)) if hidden else rows
 
     def quarantine(self) -> DataFrame:
         """Rejected records: raw text, reason and position."""
@@ -225,31 +271,62 @@ class LogTables:
     # ---- cold ---------------------------------------------------------------------------------
 
     def cold(self, start: datetime | str | None = None, end: datetime | str | None = None,
-             snapshot: Snapshot | None = None) -> DataFrame:
+             snapshot: Snapshot | None = None, query: LogQuery | None = None) -> DataFrame:
         """Rows of the committed compactions, only those whose time span meets the range.
 
         The snapshot has one entry per compaction (48 a day at the default interval); the names of the
-        directories to read come from it, without a job or a listing.
+        directories to read come from it, without a job or a listing. With a `query` that names a source, a level or a text, only
+        the files that the index does not rule out are read.
         """
         at = self.snapshot() if snapshot is None else snapshot
+        entries = self._cold_entries(at, start, end)
+        if query is not None and (query.source or query.level or query.text):
+            indexed = [c for c in entries if c.get("indexed")]
+            others = [f"cold/compaction={c['compaction']}" for c in entries if not c.get("indexed")]
+            return self._read_cold([*[o.path for o in self._candidates(indexed, query, start, end)], *others])
+        return self._read_cold([f"cold/compaction={c['compaction']}" for c in entries])
+
+    @staticmethod
+    def _cold_entries(at: Snapshot, start: datetime | str | None, end: datetime | str | None) -> list[dict]:
         low, high = (None if t is None else micros(utc(t)) for t in (start, end))
-        paths = [self.folder.child(f"cold/compaction={c['compaction']}") for c in at.cold
-                 if (low is None or micros(c["max_ts"]) >= low) and (high is None or micros(c["min_ts"]) <= high)]
+        return [c for c in at.cold if (low is None or micros(c["max_ts"]) >= low) and (high is None or micros(c["min_ts"]) <= high)]
+
+    def _read_cold(self, paths: list[str]) -> DataFrame:
         if not paths:
             return self.spark.createDataFrame([], COLD_SCHEMA)
         return (self.spark.read.schema(COLD_SCHEMA).option("basePath", self.folder.child("cold"))
-                .parquet(*paths))
+                .parquet(*[self.folder.child(path) for path in paths]))
+
+    def _candidates(self, entries: list[dict], query: LogQuery, start: datetime | str | None, end: datetime | str | None) -> list[DataObject]:
+        if not entries:
+            return []
+        paths = [self.folder.child(f"cold-index/{c['compaction']}") for c in entries]
+        return candidates(self.spark.read.schema(INDEX_SCHEMA).parquet(*paths), query, start, end)
+
+    def objects(self, query: LogQuery, as_of: datetime | str, snapshot: Snapshot | None = None) -> list[DataObject]:
+        """The indexed cold files that may hold a match of the query, in order of their first time."""
+        at, bounded = self.snapshot() if snapshot is None else snapshot, query.with_defaults(as_of)
+        entries = self._cold_entries(at, bounded.start, bounded.end)
+        return self._candidates([c for c in entries if c.get("indexed")], bounded, bounded.start, bounded.end)
+
+    def _to_index(self, target: str, name: str) -> None:
+        """Summaries of the files of a directory just written, with paths relative to the root."""
+        lines = summarise(self.spark.read.schema(COLD_SCHEMA).option("basePath", self.folder.child("cold")).parquet(self.folder.child(target)))
+        relative = F.concat(F.lit(f"{target}/"), F.element_at(F.split("object", f"{target}/"), -1))
+        lines.withColumn("object", relative).write.parquet(self.folder.child(f"cold-index/{name}"))
 
     def compact(self, as_of: datetime | str, cold_age: timedelta = COLD_AGE, files: int | None = None,
-                rows_per_file: int = 0) -> dict | None:
+                rows_per_file: int = 0, cluster: Sequence[str] = ()) -> dict | None:
         """Move visible hot rows older than the cold age; returns the manifest row, None when there are none.
 
         Rows are range-partitioned by (dt, timestamp, arrival), so a hot day, or many rows that share
         one timestamp, spread over several files, and every file covers a narrow time range.
-        `rows_per_file` bounds the objects' rows (0: one object per task and day). The young rows of the new
+        `rows_per_file` bounds the objects' rows (0: one object per task and day). With `cluster` (columns such as source
+        and level) the days are laid out along the interleaved bits of those columns and the time instead, so that a
+        search for one of their values reads few files, and one for a time some more. The young rows of the new
         batches are merged into a segment, so a row is written three times at most: new, segment, cold.
         """
-        return self._advance(micros(utc(as_of) - cold_age), True, files, rows_per_file)
+        return self._advance(micros(utc(as_of) - cold_age), True, files, rows_per_file, tuple(cluster))
 
     def evict(self, as_of: datetime | str, retention: timedelta = HOT_RETENTION) -> int:
         """Discard hot rows past retention, also out of batches that hold younger rows; returns how many.
@@ -259,7 +336,7 @@ class LogTables:
         row = self._advance(micros(utc(as_of) - retention), False, None, 0)
         return row["rows"] if row else 0
 
-    def _advance(self, cutoff_us: int, keep: bool, files: int | None, rows_per_file: int) -> dict | None:
+    def _advance(self, cutoff_us: int, keep: bool, files: int | None, rows_per_file: int, cluster: tuple[str, ...] = ()) -> dict | None:
         """Absorb the finished new batches: rows before the cutoff go to cold (or nowhere), the others to a segment.
 
         Only rows before the requested cutoff go nowhere, not those between it and a later one of the snapshot.
@@ -279,14 +356,16 @@ class LogTables:
         is_aged, is_past = (F.coalesce(F.col("timestamp") < F.timestamp_micros(F.lit(us)), F.lit(False)) for us in (cutoff_us, requested_us))
         aged = new.unionByName(self._segments(dated).filter(at.young())).filter(is_aged)
         target, segment = f"cold/compaction={name}", f"hot/segments/{name}"
-        stats = self._to_cold(aged, target, files, rows_per_file) if keep else aged.filter(is_past).agg(*_stats()).first().asDict()
+        stats = self._to_cold(aged, target, files, rows_per_file, cluster) if keep else aged.filter(is_past).agg(*_stats()).first().asDict()
         if not stats["rows"] and len(fresh) < MERGE_BATCHES:
             self.folder.delete(target)
             return None
         moved = stats if keep else {"rows": 0}
         if not keep and requested_us < cutoff_us:
             moved = self._to_cold(aged.filter(~is_past), target, files, rows_per_file)
-        if not moved["rows"]:
+        if moved["rows"]:
+            self._to_index(target, name)
+        else:
             self.folder.delete(target)
         kept = self._to_segment(new.filter(~is_aged), segment)
         if not kept["rows"]:
@@ -298,22 +377,26 @@ class LogTables:
         row = {"n": number, "compaction": name, "upto_run": last[0], "upto_batch": last[1], "cutoff": _iso(cutoff_us), "rows": stats["rows"]}
         cold = list(at.cold)
         if moved["rows"]:
-            cold.append(row | {"rows": moved["rows"], "min_ts": _iso(moved["min_us"]), "max_ts": _iso(moved["max_us"])})
+            cold.append(row | {"rows": moved["rows"], "min_ts": _iso(moved["min_us"]), "max_ts": _iso(moved["max_us"]), "indexed": True})
         state = {"n": number, "cutoff_us": cutoff_us, "absorbed": absorbed, "segments": segments, "cold": cold}
         if not self.folder.publish(f"manifest/{number}.json", json.dumps(state)):
-            for left in (target, segment):
+            for left in (target, segment, f"cold-index/{name}"):
                 self.folder.delete(left)
             raise RuntimeError(f"snapshot {number} was committed by another job; nothing was moved here")
         if not stats["rows"]:
             return None
         return cold[-1] if keep else row
 
-    def _to_cold(self, aged: DataFrame, target: str, files: int | None, rows_per_file: int) -> dict:
+    def _to_cold(self, aged: DataFrame, target: str, files: int | None, rows_per_file: int, cluster: tuple[str, ...] = ()) -> dict:
         order = ["dt", "timestamp", *ARRIVAL]
         rows = aged.withColumn("dt", F.to_date("timestamp")).select(*LOG_COLUMNS, *ARRIVAL, "dt")
+        if cluster:
+            # Ranks are those of the whole compaction; a day holds a range of the times' ranks.
+            rows = rows.withColumn("_place", interleaved(cut_points(rows, [*cluster, "timestamp"], ARRIVAL)))
+            order = ["dt", "_place", "timestamp", *ARRIVAL]
         ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
         seen = Observation(f"cold-{uuid.uuid4().hex[:8]}")
-        writer = ranged.sortWithinPartitions(*order).observe(seen, *_stats()).write.partitionBy("dt")
+        writer = ranged.sortWithinPartitions(*order).observe(seen, *_stats()).drop("_place").write.partitionBy("dt")
         if rows_per_file:
             writer = writer.option("maxRecordsPerFile", rows_per_file)
         writer.parquet(self.folder.child(target))
@@ -333,18 +416,19 @@ class LogTables:
         at = self.snapshot()
         gone = [(run, batch) for run, batch in self._committed() if at.holds(run, batch)]
         if gone:
-            done = self.spark.read.schema(BATCH_SCHEMA).option("pathGlobFilter", "*.json").json(self.folder.child("hot/commits")).filter(at.moved())
+            done = self._commit_rows().filter(at.moved())
             done.coalesce(1).write.mode("append").parquet(self.folder.child("batches"))
         files: dict[tuple[int, int], list[str]] = {}
         for path in self.folder.glob("hot/new/*.parquet"):
-            run, batch = path.rsplit("/", 1)[1].split("-")[:2]
-            files.setdefault((int(run), int(batch)), []).append(path)
+            files.setdefault(_batch_of(path)[:2], []).append(path)
         for run, batch in gone:
             for path in files.get((run, batch), []):
                 self.folder.delete(path)
-            self.folder.delete(f"hot/commits/{run}-{batch}.json")
-        named = {f"hot/segments/{s['name']}" for s in at.segments} | {f"cold/compaction={c['compaction']}" for c in at.cold}
-        for pattern in ("hot/segments/*", "cold/compaction=*"):
+            for path in self.folder.glob(f"hot/commits/{run}-{batch}-*.json"):
+                self.folder.delete(path)
+        named = {f"hot/segments/{s['name']}" for s in at.segments}
+        named |= {f"{folder}{c['compaction']}" for c in at.cold for folder in ("cold/compaction=", "cold-index/")}
+        for pattern in ("hot/segments/*", "cold/compaction=*", "cold-index/*"):
             for path in self.folder.glob(pattern):
                 if path not in named:
                     self.folder.delete(path)
@@ -361,9 +445,71 @@ class LogTables:
         route = bounded.route(as_of, cold_age)
         # One snapshot for both tiers: a compaction that commits meanwhile must not hide what it moves.
         at = self.snapshot()
-        cold = self.cold(bounded.start, bounded.end, at) if route.needs_cold else self.cold_nothing()
+        cold = self.cold(bounded.start, bounded.end, at, bounded) if route.needs_cold else self.cold_nothing()
         return search(self.hot(at), cold, bounded, as_of, cold_age, arrival=ARRIVAL)
 
+    def search_first(self, query: LogQuery, as_of: datetime | str, cold_age: timedelta = COLD_AGE) -> FirstFound:
+        """The rows of `search`, found by reading each tier in the order of the result and stopping at the limit.
+
+        Cold files go by their first time (their last one for order 'newest'), new hot batches by their number, as arrival
+        order does; segments, which hold older arrivals, come first. A part is left unread once the limit is full and
+        nothing in it can win. This runs a job per slice at once, where `search` is one lazy plan over all candidates.
+        """
+        bounded = query.with_defaults(as_of)
+        route = bounded.route(as_of, cold_age)
+        at = self.snapshot()
+        newest = bounded.order == "newest"
+        cold = self._first_cold(replace(bounded, end=route.cutoff) if route.needs_hot else bounded, as_of, at, newest) if route.needs_cold else None
+        hot = self._first_hot(bounded, at) if not newest else None
+        rows = search(
+            self.hot(at) if hot is None else self._hot_nothing() if hot.rows is None else hot.rows,
+            self.cold_nothing() if cold is None or cold.rows is None else cold.rows, bounded, as_of, cold_age, arrival=ARRIVAL)
+        return FirstFound(rows, hot, cold)
+
+    def _first_cold(self, query: LogQuery, as_of: datetime | str, at: Snapshot, newest: bool) -> Found:
+        objects = self.objects(query, as_of, at)
+        known = [(o.path, o.rows, o.min_us, o.max_us) for o in objects]
+        # A directory without an index is one part with the bounds of its compaction.
+        known += [(f"cold/compaction={c['compaction']}", c["rows"], micros(c["min_ts"]), micros(c["max_ts"]))
+                  for c in self._cold_entries(at, query.start, query.end) if not c.get("indexed")]
+        parts = sorted((Part(path, (high if newest else low,), rows) for path, rows, low, high in known), key=lambda p: p.best, reverse=newest)
+
+        def read(some: list[Part]) -> DataFrame:
+            return query.match(self._read_cold([p.name for p in some])).select(*LOG_COLUMNS, *ARRIVAL)
+
+        def worst(found: DataFrame) -> tuple | None:
+            us = F.unix_micros("timestamp")
+            return (found.agg(F.min(us) if newest else F.max(us)).first()[0],)
+
+        return first_rows(parts, read, pick_order("newest" if newest else "cold", ARRIVAL), query.tier_limit, worst, newest)
+
+    def _first_hot(self, query: LogQuery, at: Snapshot) -> Found:
+        commits = {key: token for key, token in self._commits().items() if not at.holds(*key)}
+        files: dict[tuple[int, int], list[str]] = {}
+        for path in self.folder.glob("hot/new/*.parquet"):
+            run, batch, token = _batch_of(path)
+            if commits.get((run, batch)) == token:
+                files.setdefault((run, batch), []).append(path)
+        segments = [Part("", (-1, -1), sum(s["rows"] for s in at.segments))] if at.segments else []
+        # Batches have at least a row or no file; a first slice of one batch is the least that can fill the limit.
+        parts = [*segments, *[Part(f"{run}-{batch}", (run, batch), query.tier_limit) for run, batch in sorted(files)]]
+
+        def read(some: list[Part]) -> DataFrame:
+            paths = [self.folder.child(path) for p in some if p.name for path in files[p.best]]
+            new = self.spark.read.schema(HOT_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], HOT_SCHEMA)
+            rows = new.select(*LOG_COLUMNS, *ARRIVAL)
+            if not some[0].name:
+                rows = rows.unionByName(self._segments(at.segments).filter(at.young()))
+            return query.match(rows)
+
+        def worst(found: DataFrame) -> tuple | None:
+            return tuple(found.agg(F.max(F.struct("run", "batch_id"))).first()[0])
+
+        return first_rows(parts, read, pick_order("hot", ARRIVAL), query.tier_limit, worst)
+
+    def _hot_nothing(self) -> DataFrame:
+        return self.spark.createDataFrame([], HOT_SCHEMA).select(*LOG_COLUMNS, *ARRIVAL)
+
     def cold_nothing(self) -> DataFrame:
         return self.spark.createDataFrame([], COLD_SCHEMA)
 

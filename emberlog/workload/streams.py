@@ -11,17 +11,22 @@ from emberlog.session import shared_dir
 from emberlog.sources.files import Folder
 from emberlog.sources.records import publish_files, to_records
 from emberlog.sources.tables import LogTables
+from emberlog.streaming.alerts import stream_alerts
 from emberlog.streaming.dedup import drop_redelivered, drop_redelivered_stream
+from emberlog.streaming.delivery import delivery
 from emberlog.streaming.ingest import ingest
 from emberlog.streaming.metrics import counts_per_step, sliding_buckets
+from emberlog.streaming.rates import counter_slots, rates_of_slots
 from emberlog.streaming.shedding import shed
 from emberlog.streaming.sources import file_records
-from emberlog.workload.alerts import COOL, MAX_DEPTH, STATES_CTE, depth_samples, or_minus_one
+from emberlog.workload.alerts import (
+    COOL, MAX_DEPTH, SPIKE, STATES_CTE, _hold_sql, depth_samples, or_minus_one,
+)
 from emberlog.workload.fixtures import (
-    AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, events, logs,
+    AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, events, logs, table,
 )
 from emberlog.workload.ingest import REJECTED
-from emberlog.workload.metrics import HOUR, HOUR_US
+from emberlog.workload.metrics import COUNTERS_CTE, HOUR, HOUR_US, counters
 from emberlog.workload.registry import query
 
 
@@ -131,20 +136,32 @@ def batch_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return unique.groupBy("ingest_seq", "id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _finished(spark: SparkSession, rows: DataFrame, ts: str, transform, schema: str) -> DataFrame:
-    """An append-mode stream over rows in order of time, one week per batch, up to a last row far in the future, which
-    lets every window before it finish."""
-    source, target = shared_dir(spark, "timed"), shared_dir(spark, "finished")
+def _weekly(rows: DataFrame, ts: str, path: str, arrival: F.Column | None = None) -> None:
+    """One file per week of arrival (the time itself, if not given), and a last row far in the future, which lets everything
+    before it finish. Rows without a time come first."""
+    day = F.datediff(F.col(ts) if arrival is None else arrival, F.lit(rows.agg(F.min(ts)).first()[0]))
+    week = F.coalesce(F.floor(day / 7), F.lit(0))
     last = rows.orderBy(F.desc(ts)).limit(1).withColumn(ts, F.col(ts) + F.expr("interval 60 days"))
-    week = F.floor((F.dayofmonth(ts) - 1) / 7)
-    _in_files(rows, source, week, range(5))
-    last.coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    (transform(stream).writeStream.format("parquet").option("path", target)
+    _in_files(rows, path, week, range((rows.agg(F.max(week)).first()[0] or 0) + 1))
+    last.coalesce(1).write.mode("append").parquet(path)
+
+
+def _appended(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
+    """What a stream in append mode writes until the end of its input."""
+    target = shared_dir(spark, "finished")
+    (stream.writeStream.format("parquet").option("path", target)
      .option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(schema).parquet(target)
 
 
+def _finished(spark: SparkSession, rows: DataFrame, ts: str, transform, schema: str, arrival: F.Column | None = None) -> DataFrame:
+    """An append-mode stream over rows in order of arrival, one week per batch."""
+    source = shared_dir(spark, "timed")
+    _weekly(rows, ts, source, arrival)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return _appended(spark, transform(stream), schema)
+
+
 @query(f"""WITH {LOGS_CTE} SELECT epoch_us("timestamp") // {HOUR_US} * {HOUR_US} AS start_us, source, level,
     count(*) AS entries FROM logs GROUP BY 1, 2, 3""")
 def stream_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,3 +199,76 @@ def stream_shedding(spark: SparkSession, sf: str) -> DataFrame:
     schema = "ingestor bigint, seq bigint, accept boolean, active boolean, engaged_us bigint"
     return spark.read.schema(schema).parquet(f"{target}/states").select(
         "ingestor", "seq", "accept", "active", or_minus_one("engaged_us"))
+
+
+def _late(ts: str) -> F.Column:
+    """Arrival up to eleven hours after the time: samples come out of order, some in a later batch."""
+    return F.col(ts) + F.make_interval(hours=F.col("event_id") % 12)
+
+
+GAP_US, HOLD_US = 2 * HOUR_US, 3 * HOUR_US
+ALERT_SCHEMA = ("shard bigint, kind string, seq bigint, us bigint, active boolean, held_us bigint, firing boolean, "
+                "alert string, severity string")
+
+
+def _alerts(spark: SparkSession, sf: str) -> DataFrame:
+    """The alert of `alert_hold_for` on a stream whose samples come up to eleven hours late."""
+    samples = events(spark, sf).select("event_id", (F.col("user_id") % 12).alias("shard"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    return _finished(spark, samples, "ts", lambda s: stream_alerts(s, SPIKE, ["shard"], "ts", "event_id", "value", max_gap=2 * HOUR),
+                     ALERT_SCHEMA, _late("ts"))
+
+
+HELD_SQL = f"""samples AS (SELECT event_id, user_id % 12 AS shard, ts, value FROM events),
+    {_hold_sql('samples', 'shard', 'ts, event_id', 'value > 30', HOLD_US, GAP_US)}"""
+
+
+@query(f"""WITH {HELD_SQL}
+    SELECT event_id, shard, active, coalesce(held_us, -1) AS held_us, firing, 'SlowRequests' AS alert, 'warning' AS severity FROM judged""")
+def stream_alert_hold_for(spark: SparkSession, sf: str) -> DataFrame:
+    """Judged samples of a streamed alert."""
+    return _alerts(spark, sf).filter("kind = 'sample'").select(
+        F.col("seq").alias("event_id"), "shard", "active", or_minus_one("held_us"), "firing", "alert", "severity")
+
+
+@query(f"""WITH {HELD_SQL}, ordered AS (
+      SELECT *, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY shard ORDER BY ts, event_id) AS following FROM judged),
+    runs AS (SELECT shard, island, min(us) + {HOLD_US} AS due, max(us) AS last, max_by(following, (us, event_id)) AS following,
+               list(us) AS times FROM ordered WHERE active GROUP BY shard, island)
+    SELECT shard, due AS us FROM runs
+    WHERE NOT list_contains(times, due) AND (due < last OR due <= last + {GAP_US} AND (following IS NULL OR due < following))""")
+def stream_alert_timers(spark: SparkSession, sf: str) -> DataFrame:
+    """The moments at which a streamed alert fires between samples."""
+    return _alerts(spark, sf).filter("kind = 'timer'").select("shard", "us")
+
+
+@query(f"""WITH {COUNTERS_CTE} SELECT event_type, epoch_us(ts) // {HOUR_US} * {HOUR_US} - o.k * {HOUR_US}
+      AS window_start, round(sum(increase), 4) AS increase, round(sum(increase) / 21600, 9) AS rate
+  FROM grown CROSS JOIN (SELECT unnest(range(6)) AS k) AS o GROUP BY 1, 2""")
+def stream_counter_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Counter increase per second over six hours, from the steps that a stream has finished; samples come late."""
+    readings = counters(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    slots = _finished(spark, readings, "ts", lambda s: counter_slots(s, ["event_type"], "ts", "event_id", "value", step=HOUR),
+                      "event_type string, slot bigint, increase double", _late("ts"))
+    rates = rates_of_slots(slots, ["event_type"], 6 * HOUR, HOUR)
+    return rates.select("event_type", "window_start", F.round("increase", 4).alias("increase"), F.round("rate", 9).alias("rate"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders
+    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)""")
+def stream_delivery_lost(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as sent entries and line items as stored ones, minutes later, on two streams: what is not stored in time."""
+    def minute(key: str) -> F.Column:
+        # Four weeks of sending, whatever the number of keys.
+        return F.timestamp_seconds(F.lit(AS_OF_US // 1_000_000) + F.pmod(F.col(key) * 7919, F.lit(40_000)) * 60)
+
+    late = F.make_interval(mins=F.col("l_orderkey") % 9)
+    sent = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), minute("o_orderkey").alias("sent_at"))
+    stored = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), (minute("l_orderkey") + late).alias("stored_at"))
+    # Both streams end with an entry far in the future that is stored at once.
+    paths = []
+    for rows, ts in ((sent, "sent_at"), (stored, "stored_at")):
+        paths.append(shared_dir(spark, ts))
+        _weekly(rows, ts, paths[-1])
+    streams = [spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path) for rows, path in zip((sent, stored), paths)]
+    found = _appended(spark, delivery(*streams, within="10 minutes"), "id string, sent_at timestamp, stored_at timestamp")
+    return found.filter("stored_at IS NULL").select("id")

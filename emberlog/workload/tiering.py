@@ -12,8 +12,8 @@ from emberlog.operators.counters import acknowledged, storage_by_tier, tier_coun
 from emberlog.operators.retention import drain, evict, lateness
 from emberlog.plans.query import LogQuery
 from emberlog.plans.search import with_position
-from emberlog.schema import ARRIVAL
-from emberlog.session import shared_dir
+from emberlog.schema import ARRIVAL, LOG_COLUMNS
+from emberlog.session import settled, shared_dir
 from emberlog.sources.archive import chunks, read_archive, skipped_objects, write_archive
 from emberlog.sources.files import Folder
 from emberlog.sources.tables import LogTables, object_manifest
@@ -115,7 +115,8 @@ def archive_skipped(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("skipped") == 2).alias("entries"))
 
 
-def _stored(spark: SparkSession, sf: str, as_of: str | None = None, files: int | None = None, rows_per_file: int = 0) -> LogTables:
+def _stored(spark: SparkSession, sf: str, as_of: str | None = None, files: int | None = None, rows_per_file: int = 0,
+            cluster: tuple[str, ...] = ()) -> LogTables:
     """Tables that hold the logs in three batches, compacted twice, with late rows in between.
 
     The first two batches are compacted; the third arrives after that, so its aged rows are still hot.
@@ -127,9 +128,9 @@ def _stored(spark: SparkSession, sf: str, as_of: str | None = None, files: int |
     if files:
         offsets = offsets.coalesce(files)
     tables.append(offsets.filter(part == 0), 0)
-    tables.compact(utc(AS_OF) - timedelta(days=10), files=files, rows_per_file=rows_per_file)
+    tables.compact(utc(AS_OF) - timedelta(days=10), files=files, rows_per_file=rows_per_file, cluster=cluster)
     tables.append(offsets.filter(part == 1), 1)
-    tables.compact(as_of or AS_OF, files=files, rows_per_file=rows_per_file)
+    tables.compact(as_of or AS_OF, files=files, rows_per_file=rows_per_file, cluster=cluster)
     tables.append(offsets.filter(part == 2), 2)
     return tables
 
@@ -250,3 +251,90 @@ def cold_date_pruning(spark: SparkSession, sf: str) -> DataFrame:
     request = LogQuery(start="2024-01-08 06:00:00", end="2024-01-11 06:00:00")
     cold = _stored(spark, sf).cold(request.start, request.end)
     return out(request.match(cold).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+
+# Rows per object of the queries below: the smallest tables have several objects too.
+OBJECT_ROWS = 200
+MONTH = ("2024-01-01 00:00:00", "2024-01-29 12:00:00")
+FIRST_SQL = f"""found AS (
+    SELECT *, ingest_seq % 3 AS batch, CASE WHEN "timestamp" < TIMESTAMP '{CUTOFF}' AND ingest_seq % 3 < 2 THEN 1 ELSE 0 END AS tier_rank
+    FROM logs WHERE "timestamp" BETWEEN TIMESTAMP '{MONTH[0]}' AND TIMESTAMP '{MONTH[1]}' AND level = 'ERROR')"""
+
+
+@query(f"""WITH {LOGS_CTE}, {FIRST_SQL},
+  picked AS (
+    SELECT * FROM (SELECT * FROM found WHERE tier_rank = 0 ORDER BY batch, ingest_seq LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT * FROM found WHERE tier_rank = 1 ORDER BY "timestamp", batch, ingest_seq LIMIT 20)),
+  placed AS (SELECT *, row_number() OVER (ORDER BY tier_rank, CASE WHEN tier_rank = 0 THEN -epoch_us("timestamp") END,
+      "timestamp", batch, ingest_seq) AS position FROM picked)
+  SELECT {OUT_SQL}, CASE tier_rank WHEN 0 THEN 'hot' ELSE 'cold' END AS tier, position, true AS stopped FROM placed WHERE position <= 20""")
+def search_stops_early(spark: SparkSession, sf: str) -> DataFrame:
+    """A limited search over a month that reads the cold objects in order of time, and not all of them."""
+    tables = _stored(spark, sf, rows_per_file=OBJECT_ROWS)
+    request = LogQuery(start=MONTH[0], end=MONTH[1], level="ERROR", limit=20)
+    found = tables.search_first(request, AS_OF)
+    rows = with_position(found.rows, arrival=ARRIVAL).withColumn("stopped", F.lit(found.cold.parts_read < found.cold.parts))
+    return out(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), "tier", "position", "stopped")
+
+
+@query(f"""WITH {LOGS_CTE}, {FIRST_SQL}, placed AS (
+    SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, id) AS position FROM found)
+  SELECT {OUT_SQL}, CASE tier_rank WHEN 0 THEN 'hot' ELSE 'cold' END AS tier, position, true AS stopped FROM placed WHERE position <= 20""")
+def search_newest_stops_early(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest matches of a month: cold objects are read from the last one on."""
+    tables = _stored(spark, sf, rows_per_file=OBJECT_ROWS)
+    request = LogQuery(start=MONTH[0], end=MONTH[1], level="ERROR", limit=20, order="newest")
+    found = tables.search_first(request, AS_OF)
+    rows = with_position(found.rows, "newest", arrival=ARRIVAL).withColumn("stopped", F.lit(found.cold.parts_read < found.cold.parts))
+    return out(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), "tier", "position", "stopped")
+
+
+TEXT = "sage 77"
+
+
+@query(f"""WITH {LOGS_CTE} SELECT {OUT_SQL}, CASE WHEN "timestamp" < TIMESTAMP '{CUTOFF}' AND ingest_seq % 3 < 2 THEN 'cold' ELSE 'hot' END AS tier, true AS skipped
+  FROM logs WHERE contains(message, '{TEXT}')""")
+def search_skips_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """A text search over stored tables that reads only the objects whose trigrams admit the text."""
+    tables = _stored(spark, sf, rows_per_file=OBJECT_ROWS)
+    request = LogQuery(start="2024-01-01", end=AS_OF, text=TEXT)
+    every = tables.objects(LogQuery(start="2024-01-01", end=AS_OF), AS_OF)
+    skipped = len(tables.objects(request, AS_OF)) < len(every)
+    cold = request.match(tables.cold(request.start, request.end, query=request)).withColumn("tier", F.lit("cold"))
+    hot = request.match(tables.hot()).withColumn("tier", F.lit("hot"))
+    columns = [*LOG_COLUMNS, "tier"]
+    rows = cold.select(columns).unionByName(hot.select(columns)).withColumn("skipped", F.lit(skipped))
+    return out(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), "tier", "skipped")
+
+
+@query(f"""WITH {LOGS_CTE} SELECT {OUT_SQL}, true AS in_proportion FROM logs
+  WHERE source = 'signup' AND level = 'WARN' AND "timestamp" < TIMESTAMP '{CUTOFF}' AND ingest_seq % 3 < 2""")
+def search_clustered(spark: SparkSession, sf: str) -> DataFrame:
+    """One source and level of a cold table clustered by source, level and time: the bytes read follow the source's share."""
+    # Some ten objects a day: a day is the least that clustering can order.
+    tables = _stored(spark, sf, rows_per_file=max(1, logs(spark, sf).count() // 450), cluster=("source", "level"))
+    request = LogQuery(start="2024-01-01", end=AS_OF, source="signup", level="WARN")
+    every = sum(o.bytes for o in tables.objects(LogQuery(start="2024-01-01", end=AS_OF), AS_OF))
+    read = sum(o.bytes for o in tables.objects(request, AS_OF))
+    rows = request.match(tables.cold(request.start, request.end, query=request))
+    share = rows.count() / max(tables.cold().count(), 1)
+    return out(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")).withColumn("in_proportion", F.lit(read <= 2.5 * share * every)),
+               "in_proportion")
+
+
+@query(f"""WITH {LOGS_CTE} SELECT id, 'torn' AS seen FROM logs WHERE ingest_seq % 2 = 0 UNION ALL SELECT id, 'replayed' FROM logs""")
+def torn_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch whose job dies between moving its files and its commit is not there at all, and its replay is there once."""
+    tables = LogTables(spark, shared_dir(spark, "tables"))
+    rows = logs(spark, sf).drop("ingest_seq").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    even = F.col("id").cast("long") % 2 == 0
+    tables.append(rows.filter(even), 0)
+    publish = tables.folder.publish
+    tables.folder.publish = lambda *_: False
+    try:
+        tables.append(rows.filter(~even), 1)
+    except RuntimeError:
+        tables.folder.publish = publish
+    torn = settled(tables.hot().select("id", F.lit("torn").alias("seen")), "torn")
+    tables.append(rows.filter(~even), 1)
+    return torn.unionByName(tables.hot().select("id", F.lit("replayed").alias("seen")))
