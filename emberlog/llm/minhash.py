@@ -29,8 +29,8 @@ from emberlog.session import settled
 
 #: Minima in a key, and the chance that a pair at the threshold shares no key of a collection.
 ROWS, MISSED = 4, 1e-4
-#: Shingles of a block, about; columns of one matrix product.
-BLOCK_SHINGLES, COLUMNS = 1 << 17, 4096
+#: Shingles and classes of a block, about; columns of one matrix product, lines that are compared at once.
+BLOCK_SHINGLES, BLOCK_CLASSES, COLUMNS, LINES = 1 << 17, 1 << 11, 2048, 256
 
 
 def collections_for(similarity: float) -> int:
@@ -145,13 +145,14 @@ def _blocks(buckets: DataFrame) -> DataFrame:
     """(cid, block): classes that meet in buckets stand in the same blocks, as far as their size allows.
 
     The home of a class is the least hash around it after two steps over its buckets; a home is dealt out to as
-    many blocks as its shingles fill.
+    many blocks as its shingles or its classes fill, so that both a block's sets and its table of pairs are bounded.
     """
     home = buckets.select("cid", "_n").distinct().withColumn("home", F.xxhash64("cid"))
     for _ in range(2):
         least = buckets.join(home.select("cid", "home"), "cid").groupBy("_bucket").agg(F.min("home").alias("home"))
         home = settled(buckets.join(least, "_bucket").groupBy("cid", "_n").agg(F.min("home").alias("home")), "home")
-    sizes = settled(home.groupBy("home").agg(F.ceil(F.sum("_n") / BLOCK_SHINGLES).alias("_parts"), F.count("*").alias("_size")), "sizes")
+    parts = F.greatest(F.ceil(F.sum("_n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES))
+    sizes = settled(home.groupBy("home").agg(parts.alias("_parts"), F.count("*").alias("_size")), "sizes")
     part = F.pmod(F.xxhash64(F.lit("block"), "cid"), F.col("_parts"))
     return settled(meet(home, sizes, ["home"], "_size").select("cid", F.xxhash64("home", part).alias("block")), "blocks")
 
@@ -180,6 +181,17 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def linked(x: list[np.ndarray], y: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Which sets of x and y have a similarity of num / den or more."""
+    both = overlaps(x, y)
+    of_x, of_y = (np.array([len(s) for s in side], dtype=np.int64) for side in (x, y))
+    out = np.zeros(both.shape, dtype=bool)
+    for a in range(0, len(x), LINES):
+        part = both[a:a + LINES]
+        out[a:a + LINES] = den * part >= num * (of_x[a:a + LINES, None] + of_y[None, :] - part)
+    return out
+
+
 def forest(linked: np.ndarray, same: bool) -> list[tuple[int, int]]:
     """Links (line of x, line of y) that connect whatever the matrix of links connects; `same`: x and y are one list."""
     lines, columns = linked.shape
@@ -226,9 +238,7 @@ def _links(buckets: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             for row in range(batch.num_rows):
                 part = [batch.column(c)[row].as_buffer() for c in range(6)]
                 (x_ids, x), (y_ids, y) = _unpacked(*part[:3]), _unpacked(*part[3:])
-                both = overlaps(x, y)
-                sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
-                links = np.array(forest(den * both >= num * (sizes - both), batch.column(0)[row] == batch.column(3)[row]), dtype=np.int64).reshape(-1, 2)
+                links = np.array(forest(linked(x, y, num, den), batch.column(0)[row] == batch.column(3)[row]), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(x_ids[links[:, 0]]), pa.array(y_ids[links[:, 1]])], names=["a", "b"])
 
     of_x, of_y = (packs.select(F.col("block").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("cids", "lengths", "sets")]) for n in "xy")
@@ -263,7 +273,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = settled(
         signed.filter("_n > 0").groupBy(*one_set).agg(F.min("doc_id").alias("_doc"), F.count("*").alias("_size"), *[F.min(k).alias(k) for k in names])
         .withColumn("cid", F.monotonically_increasing_id()), "classes")
-    buckets = _buckets(classes, m)
+    # Two different sets are at most as similar as a set of n and one more: below that size a class has no other to be linked with.
+    buckets = _buckets(classes.filter(F.col("_n") * den >= (F.col("_n") + 1) * num), m)
     wanted = classes.select("cid", "_doc", "_f1", "_f2").join(buckets.select("cid").distinct(), "cid")
     sets = settled(_sets(rows, wanted, width), "sets")
     labels = settled(components(buckets.select(F.col("cid").alias("node")).distinct(), _links(buckets, sets, num, den)), "labels")
