@@ -11,13 +11,13 @@ Scoring is one pass without a shuffle; long texts go through in windows, whole.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +30,8 @@ SIZE = 1 << 13
 CENTROIDS, ROUNDS = 4, 8
 #: Texts per language that the centroids are fitted on, and the most that one task can hold.
 SAMPLE_PER_LANGUAGE, LARGEST_SAMPLE = 600, 1000
+#: Bits of a row's hash by which rows are counted before any is ranked.
+PREFIX_BITS = 14
 #: Languages up to which the bounds of their samples are sent to every task; more of them are joined by a shuffle.
 SENT_LANGUAGES = 10_000
 #: A text whose best cosine is below its centroid's bound is rejected. The bound is SLACK times the QUANTILE of the cosines
@@ -48,7 +50,7 @@ _ROWS = 64
 _GRAM_BYTE = np.arange(256, dtype=np.uint32)
 _GRAM_BYTE[ord("A"):ord("Z") + 1] += 32
 _GRAM_BYTE[[b for b in range(128) if not chr(b).isalpha()]] = 32
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def gram_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -141,7 +143,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
     """Learn from rows with a text and a language; None if there are none.
 
     Every language that occurs is learned. The sample of a language is its `per_language` rows of smallest seeded hash of
-    the id (all rows that share the last one's hash come along only if their ids are equal).
+    id and text; copies of a row count once, so repeated and null ids neither widen nor fill it.
     """
     if not 1 <= per_language <= LARGEST_SAMPLE:
         raise ValueError(f"per_language must be from 1 to {LARGEST_SAMPLE}: the sample of a language is held by one task")
@@ -162,19 +164,22 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str =
         return None
     idf = np.log((1 + found[0]) / (1 + found[1:])) + 0.05
 
-    # Ids and hashes alone decide the sample; the limit per language is applied before anything is shuffled.
-    order = F.xxhash64(F.lit("langid"), "doc_id")
-    ranked = rows.select("lang", order.alias("_order")).withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order")))
-    cut = settled(ranked.filter(F.col("_rank") <= per_language).groupBy("lang").agg(F.max("_order").alias("_last")), "cut")
-    ordered = rows.withColumn("_order", order)
+    # Rows are counted by the upper bits of their hash first, at most 2**PREFIX_BITS counts per language; only those
+    # up to the prefix that fills the sample are ranked.
+    ordered = rows.withColumn("_order", F.xxhash64(F.lit("langid"), "doc_id", "text")).withColumn("_prefix", F.shiftright("_order", 64 - PREFIX_BITS))
+    counted = ordered.groupBy("lang", "_prefix").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("lang").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).filter(F.col("_before") < per_language)
+    cut = settled(needed.groupBy("lang").agg(F.max("_prefix").alias("_last")), "cut")
     if cut.count() <= SENT_LANGUAGES:
         # One row per language: with the join by broadcast, no text moves but the sample's.
         bounded = ordered.join(F.broadcast(cut), "lang")
     else:
         sizes = rows.groupBy("lang").agg(F.count("*").alias("_size"))
         bounded = meet(ordered, settled(cut.join(sizes, "lang"), "cut"), ["lang"], "_size")
-    sample = bounded.filter("_order <= _last").select("lang", "text")
+    once = bounded.filter("_prefix <= _last").select("lang", "_order", "text").dropDuplicates(["lang", "_order"])
+    sample = (once.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_order")))
+              .filter(F.col("_rank") <= per_language).select("lang", "text"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
