@@ -117,8 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
         label_col: str = "toxic") -> Machine | None:
     """Learn from the documents that have a label; None if there are none.
 
-    The sample is the `sample` labelled ids of smallest seeded hash; an id with several labels counts as toxic if one
-    of them says so.
+    The sample is the rows of the `sample` labelled ids of smallest seeded hash, and no more than `sample` of them where ids
+    repeat; an id with several labels counts as toxic if one of them says so.
     """
     marked = labels.filter(f"{label_col} is not null and {id_col} is not null").groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).alias("toxic"))
     known = docs.select(F.col(id_col).alias("doc_id"))
@@ -146,6 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
 
     fitted = (texts.select("order", F.col("toxic").cast("double").alias("toxic"), "text")
               .mapInArrow(lines, "order long, toxic double, slots binary, values binary")
+              .orderBy("order", "slots", "values").limit(sample)
               .groupBy(F.lit(0).alias("one")).applyInPandas(learn, "bias double, weights binary, factors binary").toPandas())
     if fitted.empty:
         return None
