@@ -38,7 +38,8 @@ def hold_for(samples: DataFrame, keys: Sequence[str], order: Sequence[str], cond
              ts: str = "ts", block: Column | None = None, max_gap: timedelta | None = STALE_AFTER) -> DataFrame:
     """Per sample: is the condition met, how long has it held, and is the alert firing.
 
-    `order` starts with the time column and must be unique within a key; keys must not be null. Adds
+    `order` starts with the time column and must be unique within a key; keys must not be null. The samples are read a few
+    times, so settle them if they are derived at some cost. Adds
     `active`, `held_us` and `firing`. A gap of more than `max_gap` between two samples of a key ends what held before it
     (None: gaps never do). Runs are found inside time blocks; a run that is open at the end of a block is carried into
     the next ones until an unmet sample or a gap ends it.
@@ -78,9 +79,9 @@ def hold_for(samples: DataFrame, keys: Sequence[str], order: Sequence[str], cond
 
 
 def evaluate(rule: AlertRule, samples: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value",
-             ts: str = "ts", max_gap: timedelta | None = STALE_AFTER) -> DataFrame:
+             ts: str = "ts", max_gap: timedelta | None = STALE_AFTER, block: Column | None = None) -> DataFrame:
     """`hold_for` with a named rule; adds `alert` and `severity`."""
-    judged = hold_for(samples, keys, order, rule.condition(F.col(value)), rule.hold, ts, max_gap=max_gap)
+    judged = hold_for(samples, keys, order, rule.condition(F.col(value)), rule.hold, ts, block, max_gap)
     return judged.withColumn("alert", F.lit(rule.name)).withColumn("severity", F.lit(rule.severity))
 
 

@@ -186,6 +186,7 @@ def transitions(states: DataFrame, key: str = "ingestor", seq: str = "seq", bloc
     return stepped.filter(F.col("active") != before).withColumn("event", event).drop("prev_active")
 
 
-def dropped(states: DataFrame, key: str = "ingestor") -> DataFrame:
-    """Rejected requests per ingestor (requests, not the entries inside them)."""
-    return states.groupBy(key).agg(F.count_if(~F.col("accept")).alias("dropped"))
+def dropped(samples: DataFrame, max_depth: int = MAX_QUEUE_DEPTH, key: str = "ingestor", depth: str = "depth") -> DataFrame:
+    """Rejected requests per ingestor (requests, not the entries inside them). Rejection depends on the depth alone, so the
+    samples are counted as they are."""
+    return samples.groupBy(key).agg(F.count_if(F.col(depth) > F.lit(max_depth)).alias("dropped"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberlog.functions.timefmt import as_micros
 from emberlog.operators.ordered import density_block, order_key, previous, running_sum, seq_block
 from emberlog.schema import EVALUATION_STEP, STALE_AFTER
+from emberlog.session import settled
 
 STEPS_PER_BLOCK = 10_000
 
@@ -58,33 +59,32 @@ def lag_by_group(lag: DataFrame) -> DataFrame:
 def lag_series(samples: DataFrame, step: timedelta = EVALUATION_STEP, stale: timedelta = STALE_AFTER) -> DataFrame:
     """(consumer_group, ts, lag): the group's summed lag at every evaluation step at which it has a partition.
 
-    At a step each partition counts with its last sample up to then, if that is younger than `stale`. Samples become changes of
-    the sum: a sample replaces the one before it or, if that has gone stale, adds to the sum again. Changes are added up
+    At a step each partition counts with its last sample up to then, if that is younger than `stale`. A sample becomes two changes of
+    the sum: it adds to it at its time, and takes the same away at the next sample's or when it goes stale. Changes are added up
     per step before any running sum, and the sums run in blocks, so a busy partition or group is many tasks.
     """
     us, width, age = as_micros(F.col("ts")), step // timedelta(microseconds=1), stale // timedelta(microseconds=1)
     lags = samples.select(
-        "consumer_group", "partition", "ts", "offset", us.alias("_us"),
+        "consumer_group", "partition", "ts", us.alias("_us"), (-us).alias("_back_us"), (-F.col("offset")).alias("_back_offset"),
         F.greatest(F.col("high_water_mark") - F.col("offset") - 1, F.lit(0)).cast("long").alias("lag"))
-    keys, order = ["consumer_group", "partition"], ["ts", "offset"]
+    keys = ["consumer_group", "partition"]
 
     def step_of(at: Column) -> Column:
         return F.ceil(at / F.lit(width)).cast("long")
 
-    chained = previous(lags, keys, order, ["_us", "lag"], density_block(lags, keys, "ts"))
-    alive = F.col("prev__us") + age > F.col("_us")
-    replaced = F.when(alive, F.col("prev_lag")).otherwise(0)
-    gone = chained.filter(~alive).select("consumer_group", (F.col("prev__us") + age).alias("_at"), (-F.col("prev_lag")).alias("_lag"), F.lit(-1).alias("_live"))
-    came = chained.select("consumer_group", F.col("_us").alias("_at"), (F.col("lag") - F.coalesce(replaced, F.lit(0))).alias("_lag"),
-                          F.when(alive, 0).otherwise(1).alias("_live"))
-    last = lags.groupBy(*keys).agg(F.max("_us").alias("_us"), F.max_by("lag", order_key(lags, order)).alias("lag")).select(
-        "consumer_group", (F.col("_us") + age).alias("_at"), (-F.col("lag")).alias("_lag"), F.lit(-1).alias("_live"))
-    changes = (came.unionByName(gone).unionByName(last).groupBy("consumer_group", step_of(F.col("_at")).alias("_step"))
-               .agg(F.sum("_lag").alias("_lag"), F.sum("_live").alias("_live")))
+    # The next sample is the preceding one in descending order.
+    followed = previous(lags, keys, ["_back_us", "_back_offset"], ["_us"], -density_block(lags, keys, "ts"), "next_")
+    until = F.least(F.coalesce("next__us", F.col("_us") + age), F.col("_us") + age)
+    ends = F.array(F.struct(F.col("_us").alias("_at"), F.col("lag").alias("_lag"), F.lit(1).alias("_live")),
+                   F.struct(until.alias("_at"), (-F.col("lag")).alias("_lag"), F.lit(-1).alias("_live")))
+    changes = (followed.select("consumer_group", F.inline(ends))
+               .groupBy("consumer_group", step_of(F.col("_at")).alias("_step")).agg(F.sum("_lag").alias("_lag"), F.sum("_live").alias("_live")))
+    # One row per group and step from here on; the steps below read it, not the samples.
+    changes = settled(changes, "lag-changes")
     block = seq_block("_step", STEPS_PER_BLOCK)
-    sums = running_sum(running_sum(changes, ["consumer_group"], "_step", "_lag", "lag", block), ["consumer_group"], "_step", "_live", "live", block)
-    # The step of the next change is the preceding one in descending order.
-    back = sums.withColumn("_back", -F.col("_step"))
+    lagging = settled(running_sum(changes, ["consumer_group"], "_step", "_lag", "lag", block), "lag-sums")
+    sums = running_sum(lagging, ["consumer_group"], "_step", "_live", "live", block)
+    back = settled(sums.withColumn("_back", -F.col("_step")), "lag-steps")
     until = previous(back, ["consumer_group"], ["_back"], ["_step"], seq_block("_back", STEPS_PER_BLOCK))
     return (until.filter("live > 0").select("consumer_group", "lag", F.explode(F.sequence("_step", F.col("prev__step") - 1)).alias("_step"))
             .select("consumer_group", F.timestamp_micros(F.col("_step") * width).alias("ts"), "lag"))

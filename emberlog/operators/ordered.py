@@ -17,6 +17,8 @@ BLOCK = "_block"
 SEQ_BLOCK = 1_000_000
 TIME_BLOCK_SECONDS = 300
 ROWS_PER_BLOCK = 100_000
+#: How many times the rows aimed at a block may hold.
+SLACK = 4
 
 
 def seq_block(seq: str, size: int = SEQ_BLOCK) -> Column:
@@ -30,18 +32,28 @@ def time_block(ts: str, seconds: int = TIME_BLOCK_SECONDS) -> Column:
 
 
 def density_block(df: DataFrame, keys: Sequence[str], ts: str, rows: int = ROWS_PER_BLOCK) -> Column:
-    """Block number by time, about `rows` rows of the densest key per block.
+    """Block number by time, so that a block of a key holds about `rows` rows at most.
 
-    One small aggregate over the table finds the width: a burst is cut into short blocks, a series with a sample an
-    hour into blocks of months, so that neither a block nor the row of summaries per block holds a whole key. Only rows
-    that share one microsecond are never parted. A stream, which cannot be looked at first, gets blocks of fixed width.
+    The width starts with what the densest of the keys that need cutting has on average (keys of up to `rows` rows need none,
+    however sparse they are) and shrinks while some slice still holds more than SLACK times as many, as in a burst inside a
+    long span. Only rows that share one microsecond are never parted. Each step is one small aggregate over the table, so derived
+    tables should be settled first. A stream, which cannot be looked at first, gets blocks of fixed width.
     """
     if df.isStreaming:
         return time_block(ts)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(us) - F.min(us) + 1).alias("span"))
-    width = per_key.agg(F.min(F.col("span") / F.col("n"))).first()[0]
-    return F.floor(us / F.lit(max(1, int((width or 1) * rows)))).cast("long")
+    width = per_key.filter(F.col("n") > rows).agg(F.min(F.col("span") / F.col("n"))).first()[0]
+    if width is None:
+        return F.lit(0).cast("long")
+    width = max(1, int(width * rows))
+    while width > 1:
+        slices = df.groupBy(*keys, F.floor(us / F.lit(width)).alias(BLOCK)).agg(F.count(F.lit(1)).alias("n"))
+        most = slices.agg(F.max("n")).first()[0]
+        if most <= SLACK * rows:
+            break
+        width = max(1, width * rows // most)
+    return F.floor(us / F.lit(width)).cast("long")
 
 
 def order_key(df: DataFrame, order: Sequence[str]) -> Column:

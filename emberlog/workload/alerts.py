@@ -15,6 +15,7 @@ from emberlog.operators.counters import lag_series
 from emberlog.operators.histograms import QUERY_BOUNDS
 from emberlog.operators.ordered import seq_block
 from emberlog.operators.rates import sliding_quantile
+from emberlog.session import settled
 from emberlog.workload.fixtures import events
 from emberlog.workload.metrics import HOUR, HOUR_US, LATENCIES_CTE, _bounds_sql, _quantile_sql, latencies
 from emberlog.workload.registry import query
@@ -102,7 +103,7 @@ def consumer_lag_series(spark: SparkSession, sf: str) -> DataFrame:
            'critical' AS severity FROM judged""")
 def alert_consumer_lag(spark: SparkSession, sf: str) -> DataFrame:
     """The lag alert over the summed lag of each group."""
-    return consumer_lag_growing(group_lag(spark, sf), ["ts"], max_gap=2 * HOUR).select(
+    return consumer_lag_growing(settled(group_lag(spark, sf), "lag-series"), ["ts"], max_gap=2 * HOUR).select(
         "consumer_group", F.unix_micros("ts").alias("ts_us"), "lag", "active", or_minus_one("held_us"), "firing", "alert", "severity")
 
 
@@ -157,7 +158,10 @@ states AS (
 
 
 def shedding_states(spark: SparkSession, sf: str) -> DataFrame:
-    return hysteresis(depth_samples(spark, sf), MAX_DEPTH, COOL, block=seq_block("seq", SMALL_BLOCK))
+    """The sequence is cut into four, so that state is carried whatever the size of the table."""
+    samples = depth_samples(spark, sf)
+    low, high = samples.agg(F.coalesce(F.min("seq"), F.lit(0)), F.coalesce(F.max("seq"), F.lit(0))).first()
+    return hysteresis(samples, MAX_DEPTH, COOL, block=seq_block("seq", -(-(high - low + 1) // 4)))
 
 
 @query(f"WITH RECURSIVE {STATES_CTE} SELECT ingestor, seq, depth, accept, active, coalesce(engaged_us, -1) AS engaged_us FROM states")
@@ -175,7 +179,7 @@ def shedding_transitions(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT user_id % 64 AS ingestor, count(*) FILTER (CAST(floor(value) AS BIGINT) > {MAX_DEPTH}) AS dropped
   FROM events GROUP BY 1""")
 def shedding_dropped(spark: SparkSession, sf: str) -> DataFrame:
-    return dropped(shedding_states(spark, sf))
+    return dropped(depth_samples(spark, sf), MAX_DEPTH)
 
 
 @query(f"""WITH RECURSIVE {STATES_CTE}, samples AS (SELECT ingestor, seq, make_timestamp(us) AS ts,
@@ -184,7 +188,7 @@ def shedding_dropped(spark: SparkSession, sf: str) -> DataFrame:
     SELECT ingestor, seq, active, coalesce(held_us, -1) AS held_us, firing, 'BackpressureEngaged' AS alert, 'warning' AS severity FROM judged""")
 def alert_backpressure(spark: SparkSession, sf: str) -> DataFrame:
     """The shedding alert over the shedding state."""
-    state = shedding_states(spark, sf).select(
-        "ingestor", "seq", "ts", F.col("active").cast("int").alias("value"))
+    state = settled(shedding_states(spark, sf).select(
+        "ingestor", "seq", "ts", F.col("active").cast("int").alias("value")), "states")
     return backpressure_engaged(state, ["ingestor"], ["ts", "seq"], "value", 12 * HOUR).select(
         "ingestor", "seq", "active", or_minus_one("held_us"), "firing", "alert", "severity")

@@ -59,6 +59,34 @@ def test_blocks_follow_the_density(spark, step_us):
     assert stepped.filter("coalesce(prev_id, -1) <> id - 1").count() == 0
 
 
+def test_sparse_series_do_not_cut_dense_ones(spark):
+    """One sample of another series leaves the blocks of a dense one as they are."""
+    dense = spark.range(2_000).select(F.lit("k").alias("k"), F.timestamp_micros(F.col("id") * 15_000_000).alias("ts"), "id")
+    both = dense.unionByName(spark.range(1).select(F.lit("single").alias("k"), F.timestamp_micros(F.lit(7)).alias("ts"), "id"))
+    sizes = [r["count"] for r in both.groupBy("k", density_block(both, ["k"], "ts", 200).alias("b")).count().collect()]
+    assert 10 <= len(sizes) <= 13 and max(sizes) <= 210
+    # Nothing needs cutting: one block.
+    assert both.select(density_block(both, ["k"], "ts").alias("b")).distinct().count() == 1
+
+
+def test_a_burst_inside_a_long_span_is_cut(spark):
+    burst = spark.range(4_000).select(F.lit("k").alias("k"), F.timestamp_micros(F.when(F.col("id") < 2_000, F.col("id") * 3_600_000_000)
+                                                                               .otherwise(5_000_000_000_000 + F.col("id") * 1_000)).alias("ts"), "id")
+    sizes = [r["count"] for r in burst.groupBy(density_block(burst, ["k"], "ts", 200).alias("b")).count().collect()]
+    assert max(sizes) <= 4 * 200 and sum(sizes) == 4_000
+
+
+def test_plans_read_their_input_twice_at_most(spark, tmp_path):
+    """The lag series, the alert over it and the shedding alert go back to the samples no more often than a shift needs."""
+    from emberlog.workload import alerts
+
+    sf = "/root/testdata/sf0.001"
+    for name, scans in (("consumer_lag_series", 2), ("alert_consumer_lag", 2), ("alert_backpressure", 2), ("shedding_dropped", 1)):
+        text = plan(getattr(alerts, name)(spark, sf))
+        assert text.count("events.parquet") <= scans, name
+        assert name.startswith("consumer_lag") or "FlatMapGroupsInPandas" not in text
+
+
 def test_global_rank(spark):
     rows = sorted({seq for _, seq, _ in series(5)})
     df = spark.createDataFrame([(s,) for s in rows], "seq long").repartition(4)
@@ -247,7 +275,7 @@ def test_hysteresis_over_blocks(spark, size):
     for k in "abc":
         events = [r.event for r in changes if r.ingestor == k]
         assert events[:2] == ["engaged", "released"] and all(x != y for x, y in zip(events, events[1:]))
-    rejected = {r.ingestor: r.dropped for r in dropped(states).collect()}
+    rejected = {r.ingestor: r.dropped for r in dropped(df, 100).collect()}
     assert rejected == {k: sum(d > 100 for _, _, d in rows) for k, rows in all_rows.items()}
 
 
