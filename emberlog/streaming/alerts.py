@@ -19,7 +19,7 @@ def stream_alerts(samples: DataFrame, rule: AlertRule, keys: Sequence[str], ts:
 
     A `sample` row per sample is what `operators.alerts.hold_for` gives for it. A `timer` row (without seq) comes out when a
     condition has held for the rule's time between two samples, or after the last one so far: it needs the watermark to
-    pass that moment, not another sample. A series that goes stale (`max_gap` without a sample) stops holding, and is forgotten.
+    pass that moment, not another sample. A null value does not meet the condition. A series that goes stale (`max_gap` without a sample) stops holding, and is forgotten.
     """
     hold = rule.hold // timedelta(microseconds=1)
     gap = None if max_gap is None else max_gap // timedelta(microseconds=1)

@@ -25,8 +25,8 @@ def in_order(samples: DataFrame, keys: Sequence[str], ts: str, seq: str, value:
              step: Step, state: str, output: str) -> DataFrame:
     """Rows (keys.., output columns) of `step` over each series; `state` and `output` are column lists.
 
-    Samples without a time or a value are left out. `seq` orders samples of one time. Samples more than `delay` behind the newest are dropped;
-    `LateRows` counts them.
+    Samples without a time are left out, and those whose `value` is null. `seq` orders samples of one time. Samples more than
+    `delay` behind the newest are dropped; `LateRows` counts them.
     """
     value = F.col(value) if isinstance(value, str) else value
     timed = (samples.withWatermark(ts, delay)
