@@ -124,3 +124,42 @@ def test_bounds_follow_the_learned_cosines():
     # Too few texts of its own: the language's; too few of those: the least of any language, or none.
     assert got[1, 0] == m.SLACK * 100 / m.STEPS
     assert got[2, 0] == got[0, 0] and np.isnan(got[:, 1]).all()
+
+
+def test_numbers_and_marks_are_no_letters(spark):
+    model = m.fit(table(spark, f"{TESTDATA}/sf0.001", "documents"))
+    rows = [(i, t, "en", "a") for i, t in enumerate(["½ ² 123", "Ⅷ ١٢٣", "́ ̈", "a", "漢", "ªº"])]
+    got = {r.doc_id: r.lang_pred for r in m.identify(documents(spark, rows), model, ["doc_id"]).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, True, False, False, False]
+
+
+def test_copies_and_null_ids_do_not_widen_the_sample(spark, monkeypatch):
+    """A language whose rows repeat one text, or have no id, is fitted on no more texts than any other."""
+    monkeypatch.setattr(m, "_bounds", lambda rows, model: None)
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"]
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(400)]
+    rows = [(None, t, "en", "a") for t in texts] + [(1, "ein text der oft steht", "de", "a")] * 400 + [(2, "noch ein text", "de", "a")]
+    docs = documents(spark, rows)
+    small = m.fit(docs, per_language=5)
+    assert small.languages.count("en") <= 5 and small.languages.count("de") == 2
+    again = m.fit(docs.repartition(7), per_language=5)
+    assert again.languages == small.languages and np.allclose(again.centres, small.centres)
+
+
+def test_cosines_against_plain_tf_idf(spark):
+    docs = table(spark, f"{TESTDATA}/sf0.001", "documents")
+    model = m.fit(docs)
+    for text in ["The quick brown fox", "Ünd ein Wort", "x", ""]:
+        raw = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+        raw = [b if b >= 128 or 97 <= b <= 122 else 32 for b in raw]
+        tf = {}
+        for a, b, c in zip(raw, raw[1:], raw[2:]):
+            if sum(x != 32 for x in (a, b, c)) >= 2:
+                slot = ((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 19
+                tf[slot] = tf.get(slot, 0) + 1
+        weights = {slot: np.log1p(n) * model.idf[slot] for slot, n in tf.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5 or 1
+        cosines = [sum(w * centre[slot] for slot, w in weights.items()) / norm for centre in model.centres]
+        best, score = model.nearest(m.gram_counts(*utf8(pa.array([text]))))
+        assert abs(score[0] - max(cosines)) < 1e-5 and abs(cosines[best[0]] - max(cosines)) < 1e-6

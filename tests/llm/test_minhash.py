@@ -101,3 +101,26 @@ def test_forest_connects_what_is_linked():
 
 def test_more_keys_for_lower_similarity():
     assert m.collections_for(0.8) > m.collections_for(0.85)
+
+
+def test_short_texts_with_a_common_start(spark, monkeypatch):
+    """Many classes of few shingles: below the size that can be linked they are not compared, above it blocks hold a few."""
+    check(spark, [(i, f"order was shipped w{i}", None, None) for i in range(300)])
+    monkeypatch.setattr(m, "BLOCK_CLASSES", 16)
+    rows = [(i, f"this order of yours was shipped to you early today as announced in w{i % 90}", None, None) for i in range(200)]
+    check(spark, rows)
+    check(spark, rows, 3, 70, 100)
+
+
+def test_blocks_are_bounded_by_classes(spark):
+    entries = spark.range(9_000).selectExpr("1L as _bucket", "id as cid", "2L as _n")
+    sizes = [r["count"] for r in m._blocks(entries).groupBy("block").count().collect()]
+    assert sum(sizes) == 9_000 and len(sizes) == 5 and max(sizes) < 1.3 * m.BLOCK_CLASSES
+
+
+@pytest.mark.parametrize("num", [60, 85])
+def test_sets_below_the_cut_have_no_partner(num):
+    """The most similar of different sets share all of the smaller one and differ by one shingle."""
+    for n in range(1, 30):
+        possible = any(100 * n >= num * (n + more) for more in (1, 2, 3))
+        assert possible == (n * 100 >= (n + 1) * num)

@@ -54,3 +54,26 @@ def test_no_labels_and_empty_table(spark, odd_rows):
     assert m.fit(documents(spark, odd_rows), labels(spark, [])) is None
     assert {r.score for r in m.score(documents(spark, odd_rows), None, ["doc_id"]).collect()} == {0.0}
     assert m.score(documents(spark, []), None, ["doc_id"]).count() == 0
+
+
+def test_pair_sums_against_the_double_loop():
+    rng = np.random.default_rng(6)
+    n, factors = 1 << m.SLOT_BITS, m.FACTORS
+    model = m.Machine(0.3, rng.normal(size=n), rng.normal(size=(n, factors)))
+    slots, values, sizes = m.features(*utf8(pa.array(["you insult that group", "", "one", "a b a b a c " * 5])))
+    expected, at = [], 0
+    for size in sizes:
+        s, x = slots[at:at + size], values[at:at + size].astype(float)
+        at += size
+        pairs = sum(model.factors[s[i]] @ model.factors[s[j]] * x[i] * x[j] for i in range(size) for j in range(i + 1, size))
+        expected.append(model.bias + float(model.weights[s] @ x) + pairs)
+    assert np.allclose(model.raw(slots, values, sizes), expected, atol=1e-4)
+
+
+def test_a_repeated_id_does_not_widen_the_sample(spark):
+    rows = [(7, f"text number {i} of many", "en", "a") for i in range(300)] + [(i, f"other {i}", "en", "a") for i in range(100, 150)]
+    marks = labels(spark, [(7, 0, 1), *[(i, 0, 0) for i in range(100, 150)]])
+    model = m.fit(documents(spark, rows), marks, sample=40)
+    # In whatever order the rows come, the same 40 of them are learned from.
+    again = m.fit(documents(spark, rows).repartition(5), marks, sample=40)
+    assert model.bias == again.bias and np.array_equal(model.weights, again.weights)
