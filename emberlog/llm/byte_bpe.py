@@ -27,11 +27,11 @@ from pyspark.sql import types as T
 from emberlog.llm.common import mix, slices, utf8
 
 #: Slices whose ids a task remembers, and the longest that are.
-REMEMBERED, LONGEST_REMEMBERED = 400_000, 64
+REMEMBERED, LONGEST_REMEMBERED = 150_000, 64
 #: Code points that one vectorised step handles, and those of one line of a scan.
 STEP, LINE = 1 << 20, 256
 #: Bytes of text that are encoded at once (one row may be longer).
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 #: Ids that are decoded at once, and rows whose bytes make one batch.
 GROUP_IDS, GROUP_ROWS = 1 << 20, 256
 
