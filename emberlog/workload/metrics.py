@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from emberlog.functions.timefmt import as_micros
 from emberlog.operators.counters import active_partitions, consumer_lag, lag_by_group, query_counts
 from emberlog.operators.histograms import (
     COMPACTION_BOUNDS, INGEST_BOUNDS, PRODUCE_BOUNDS, QUERY_BOUNDS, floor_rank_quantile, histogram_quantile,
@@ -17,6 +18,8 @@ from emberlog.operators.rates import (
     bucket_rate_quantile, counter_increments, counter_rate, event_rate, sliding_quantile, slot_start,
 )
 from emberlog.operators.reconcile import lost, reconcile, recovered, totals
+from emberlog.session import shared_dir
+from emberlog.sources.samples import read_samples, series
 from emberlog.workload.fixtures import events, table
 from emberlog.workload.registry import query
 
@@ -105,6 +108,7 @@ def histogram_p95(spark: SparkSession, sf: str) -> DataFrame:
 
 HOUR = timedelta(hours=1)
 HOUR_US = 3_600_000_000
+SERIES_START_US = 1_704_844_800_000_000
 
 
 def bucket_samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,3 +293,17 @@ def delivery_lost(spark: SparkSession, sf: str) -> DataFrame:
     WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
 def delivery_recovered(spark: SparkSession, sf: str) -> DataFrame:
     return recovered(*_delivery(spark, sf))
+
+
+@query(f"""SELECT epoch_us(ts) AS ts_us, CAST(user_id % 4 AS VARCHAR) AS shard, '' AS zone, value FROM events
+    WHERE event_type = 'click' AND epoch_us(ts) BETWEEN {SERIES_START_US} AND {SERIES_START_US} + 86400000000 * 9""")
+def metric_series(spark: SparkSession, sf: str) -> DataFrame:
+    """One metric of stored samples over nine days, with its labels as columns; a label that is missing is empty."""
+    path = shared_dir(spark, "samples")
+    labels = F.create_map(F.lit("shard"), (F.col("user_id") % 4).cast("string"))
+    events(spark, sf).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.concat("event_type", F.lit("_total")).alias("name"), labels.alias("labels"),
+        F.lit(None).cast("double").alias("le"), "value").write.parquet(path)
+    start = datetime.fromtimestamp(SERIES_START_US // 1_000_000, timezone.utc)
+    found = series(read_samples(spark, path), "click_total", ("shard", "zone"), start, start + timedelta(days=9))
+    return found.select(as_micros(F.col("ts")).alias("ts_us"), "shard", "zone", "value")

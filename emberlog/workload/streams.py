@@ -9,7 +9,7 @@ from emberlog.functions.timefmt import as_micros
 from emberlog.schema import RECORD_SCHEMA
 from emberlog.session import shared_dir
 from emberlog.sources.files import Folder
-from emberlog.sources.records import publish_files, to_records
+from emberlog.sources.records import decode_records, good, publish_files, stream_partition, to_records
 from emberlog.sources.tables import LogTables
 from emberlog.streaming.alerts import stream_alerts
 from emberlog.streaming.dedup import drop_redelivered, drop_redelivered_stream
@@ -23,9 +23,9 @@ from emberlog.workload.alerts import (
     COOL, MAX_DEPTH, SPIKE, STATES_CTE, _hold_sql, depth_samples, or_minus_one,
 )
 from emberlog.workload.fixtures import (
-    AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, events, logs, table,
+    AS_OF, AS_OF_US, DECODED_CTE, LOGS_CTE, client_records, decoded_out, events, logs, table,
 )
-from emberlog.workload.ingest import REJECTED
+from emberlog.workload.ingest import REJECTED, _fnv_sql
 from emberlog.workload.metrics import COUNTERS_CTE, HOUR, HOUR_US, counters
 from emberlog.workload.registry import query
 
@@ -86,15 +86,16 @@ def stream_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return _ingested(spark, sf).batches().select("batch_id", "input_rows", "accepted", "rejected")
 
 
-@query(f"""WITH {LOGS_CTE} SELECT CASE WHEN trace_id <> '' THEN 'trace' ELSE 'source' END AS key_kind,
-    count(*) AS records, count(DISTINCT "timestamp") AS times FROM logs GROUP BY 1""")
+@query(f"""WITH {LOGS_CTE} SELECT id, epoch_us("timestamp") AS ts_us, source, level, message, label_k,
+    nullif(trace_id, '') AS trace_id, CASE WHEN trace_id <> '' THEN trace_id ELSE CAST({_fnv_sql('source')} AS VARCHAR) END AS key, true AS placed FROM logs""")
 def publish_partitioned(spark: SparkSession, sf: str) -> DataFrame:
-    """Encoded records published as files per stream partition and read back."""
+    """Entries published as files per stream partition, read back and decoded; each lies in the partition of its key."""
     path = shared_dir(spark, "published")
     publish_files(to_records(logs(spark, sf)), path)
-    kind = F.when(F.col("key").startswith("trace-"), "trace").otherwise("source")
-    return spark.read.schema(RECORD_SCHEMA).parquet(path).groupBy(kind.alias("key_kind")).agg(
-        F.count("value").alias("records"), F.count_distinct("timestamp").alias("times"))
+    records = spark.read.schema(RECORD_SCHEMA).parquet(path)
+    entries = good(decode_records(records, AS_OF))
+    placed = F.col("partition") == stream_partition(F.col("key"))
+    return decoded_out(entries.withColumn("placed", placed).withColumn("trace_id", F.nullif("trace_id", F.lit(""))), "key", "placed")
 
 
 def _redelivered(spark: SparkSession, sf: str) -> DataFrame:
