@@ -9,6 +9,7 @@ from emberlog.functions.timefmt import as_micros
 from emberlog.schema import RECORD_SCHEMA
 from emberlog.session import shared_dir
 from emberlog.sources.files import Folder
+from emberlog.sources.record_log import RecordLog, log_records
 from emberlog.sources.records import decode_records, good, publish_files, stream_partition, to_records
 from emberlog.sources.tables import LogTables
 from emberlog.streaming.alerts import stream_alerts
@@ -98,6 +99,40 @@ def publish_partitioned(spark: SparkSession, sf: str) -> DataFrame:
     return decoded_out(entries.withColumn("placed", placed).withColumn("trace_id", F.nullif("trace_id", F.lit(""))), "key", "placed")
 
 
+def _logged(spark: SparkSession, sf: str) -> LogTables:
+    """The client records appended to a record log in two steps and streamed in bounded batches, with a restart in between."""
+    tables, path, checkpoint = LogTables(spark, shared_dir(spark, "tables")), shared_dir(spark, "log"), shared_dir(spark, "checkpoint")
+    log = RecordLog(spark, path)
+    records = client_records(spark, sf).select(
+        F.lit(None).cast("string").alias("key"), "value", (F.col("event_id") % 12).cast("int").alias("partition"),
+        F.timestamp_micros(F.lit(AS_OF_US)).alias("timestamp"), "event_id")
+    total = records.count()
+    for half in range(2):
+        log.append(records.filter(F.col("event_id") % 2 == half))
+        # A bound in proportion to the log: two batches for each half.
+        job = ingest(log_records(spark, path, max(total // 4 + 1, 1), checkpoint), tables, checkpoint)
+        try:
+            job.processAllAvailable()
+        finally:
+            job.stop()
+    return tables
+
+
+@query(f"WITH {DECODED_CTE} SELECT CAST(event_id % 12 AS INTEGER) AS partition, id, ts_us, source, level, message, label_k, trace_id FROM decoded")
+def stream_record_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Records streamed from the record log into the hot table."""
+    return decoded_out(_logged(spark, sf).hot(), "partition")
+
+
+@query("""SELECT CAST(event_id % 12 AS INTEGER) AS partition, count(*) AS records, 0::BIGINT AS first, count(*) - 1 AS last FROM events GROUP BY 1""")
+def record_log_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Good and rejected records together have every offset of their partition once."""
+    tables = _logged(spark, sf)
+    stored = tables.hot().select("partition", "offset").unionByName(tables.quarantine().select("partition", "offset"))
+    return stored.groupBy("partition").agg(
+        F.count_distinct("offset").alias("records"), F.min("offset").alias("first"), F.max("offset").alias("last"))
+
+
 def _redelivered(spark: SparkSession, sf: str) -> DataFrame:
     """The logs, with one entry in ten delivered twice more and one id in seven missing."""
     rows = logs(spark, sf).withColumn("timestamp", F.col("timestamp").cast("timestamp")).drop("labels")
