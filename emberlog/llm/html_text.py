@@ -14,6 +14,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import category, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,22 +56,60 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _BETWEEN = re.compile(r"[\s/=]*")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+_COMMENT_END = re.compile("--!?>")
+_STYLE_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+#: Values that a style has to name to count; others are passed over, as browsers do.
+DISPLAYS = frozenset("none contents block inline inline-block flow-root flex inline-flex grid inline-grid list-item ruby inherit initial unset revert table inline-table table-row table-cell table-caption table-column table-column-group table-row-group table-header-group table-footer-group".split())
+VISIBILITIES = frozenset("visible hidden collapse inherit initial unset revert".split())
+ROWS = frozenset("tr thead tbody tfoot".split())
+
+
+def styled(style: str | None) -> dict[str, str]:
+    """The display and visibility that a style gives: the last declaration, or the last one that is marked important."""
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in _STYLE_COMMENT.sub(" ", style or "").lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name, words = name.strip(), value.replace("!", " !").split()
+        important = words[-1:] == ["!important"] or words[-2:] == ["!", "important"]
+        values = {"display": DISPLAYS, "visibility": VISIBILITIES}.get(name)
+        if values and words and words[0] in values and len(words) == 1 + (words[-1] == "!important") + 2 * (words[-2:] == ["!", "important"]):
+            if important or not found.get(name, (False, ""))[0]:
+                found[name] = (important, words[0])
+    return {name: value for name, (_, value) in found.items()}
+
+
+def width(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for marks that combine with the one before."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if category(c) in ("Mn", "Me", "Cf") else 2 if east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "inside", "space", "shows")
+    __slots__ = ("tag", "attrs", "inside", "space", "shows", "style", "seen")
 
-    def __init__(self, tag: str, attrs: dict[str, str | None], space: str = "", shows: bool = True) -> None:
-        """`space`: svg, math, or nothing for HTML; `shows`: is text that stands in the element visible?"""
+    def __init__(self, tag: str, attrs: dict[str, str | None], space: str = "", shows: bool = True, seen: bool = True) -> None:
+        """`space`: svg, math, or nothing for HTML; `shows`: does the element show text that stands in it? `seen`: are
+        the elements around it visible? It inherits that unless its style says otherwise."""
         self.tag, self.attrs, self.inside, self.space, self.shows = tag, attrs, [], space, shows
+        # Attributes of a drawing are styles of the lowest rank.
+        plain = styled(";".join(f"{k}:{attrs.get(k) or ''}" for k in ("display", "visibility"))) if space else {}
+        self.style = plain | styled(attrs["style"]) if attrs.get("style") else plain
+        own = self.style.get("visibility", "inherit")
+        self.seen = seen if own in ("inherit", "unset", "revert") else own in ("visible", "initial")
 
     def hidden(self) -> bool:
-        a = self.attrs
-        if self.space and (self.tag in UNSEEN_IN[self.space] or a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse")):
+        """Is the element left out with all that it holds? Invisible elements are not: what they hold may be visible."""
+        if self.tag in (UNSEEN_IN[self.space] if self.space else UNSEEN):
             return True
-        return (self.tag in UNSEEN or "hidden" in a or (self.tag == "input" and (a.get("type") or "text").lower() == "hidden")
-                or bool(a.get("style") and _HIDDEN.search(a["style"])))
+        if self.tag in ROWS and self.style.get("visibility") == "collapse":
+            return True
+        if self.tag == "input" and (self.attrs.get("type") or "text").lower() == "hidden":
+            return True
+        display = self.style.get("display")
+        if display and display != "revert":
+            return display == "none"
+        return "hidden" in self.attrs or self.tag == "dialog" and "open" not in self.attrs
 
 
 class TreeBuilder:
@@ -97,8 +136,10 @@ class TreeBuilder:
     def markup(self, html: str, at: int) -> int:
         """Handles what begins with the < at a position; the position behind it."""
         if html.startswith("<!--", at):
-            end = html.find("-->", at + 4)
-            return len(html) if end < 0 else end + 3
+            if html.startswith((">", "->"), at + 4):
+                return html.index(">", at) + 1
+            end = _COMMENT_END.search(html, at + 4)
+            return end.end() if end else len(html)
         if html.startswith("<![CDATA[", at) and self.open[-1].space:
             end = html.find("]]>", at)
             end = len(html) if end < 0 else end
@@ -169,7 +210,7 @@ class TreeBuilder:
             space = "" if not top.space or top.tag in HTML_IN[top.space] else top.space
         if space:
             shows = tag in TOKENS if space == "math" else tag in ("text", "foreignobject") or tag != "svg" and top.space == "svg" and top.shows
-            element = Element(tag, attrs, space, shows)
+            element = Element(tag, attrs, space, shows, top.seen)
             top.inside.append(element)
             if not closed:
                 self.push(element)
@@ -187,7 +228,7 @@ class TreeBuilder:
             self.close_from(*ENDS[tag])
         if tag in ("td", "th") and self.open[-1].tag in ("table", "thead", "tbody", "tfoot"):
             self.start("tr", {})
-        element = Element(tag, attrs)
+        element = Element(tag, attrs, seen=self.open[-1].seen)
         self.open[-1].inside.append(element)
         if tag not in VOID:
             self.push(element)
@@ -284,7 +325,7 @@ def walk(element: Element, flow: Flow, nested: bool = False) -> None:
         at = todo[-1]
         for child in at.rest:
             if isinstance(child, str):
-                if at.element.shows and not at.shut:
+                if at.element.shows and at.element.seen and not at.shut:
                     flow.text(_SPACE.sub(" ", child).strip(" ") if at.element.space == "math" else child)
             elif not (child.hidden() or at.shut and child.tag != "summary"):
                 inner = list(_entered(child, at, flow))
@@ -303,13 +344,13 @@ def _entered(child: Element, at: Visit, flow: Flow) -> Iterator[Visit]:
     elif tag == "br":
         flow.run.append("\0")
     elif tag == "input":
-        if (child.attrs.get("type") or "text").lower() not in ("checkbox", "radio", "file", "image", "password"):
+        if child.seen and (child.attrs.get("type") or "text").lower() not in ("checkbox", "radio", "file", "image", "password"):
             flow.text(child.attrs.get("value") or "")
     elif tag == "select":
         options = [e for e in _all(child, "option") if not e.hidden()]
         yield from map(Visit, reversed([e for e in options if "selected" in e.attrs] or options[:1]))
     elif tag == "li":
-        mark = f"{at.number}. " if at.element.tag == "ol" else "- "
+        mark = (f"{at.number}. " if at.element.tag == "ol" else "- ") if child.seen else ""
         at.number += 1
         if not deep:
             flow.add(_indented(laid_out(child, False, flow.depth + 1, True), mark), False)
@@ -349,7 +390,7 @@ def _foreign(child: Element, flow: Flow) -> Visit:
         after = False
     if tag in ("mfrac", "semantics", "maction"):
         parts = [e for e in child.inside if not isinstance(e, str)]
-        shown = Element(tag, {}, "math")
+        shown = Element(tag, {}, "math", seen=child.seen)
         shown.inside = [x for e in parts for x in ("/", e)][1:] if tag == "mfrac" else parts[:1]
         child = shown
     return Visit(child, False, after)
@@ -391,7 +432,7 @@ def _rows(element: Element) -> Iterator[Element]:
 def table_lines(table: Element, depth: int = 0) -> list[str]:
     """Caption, then rows with their cells in aligned columns, cells of several lines side by side. Content that stands in
     no cell comes first, as browsers move it there."""
-    stray = Element("div", {})
+    stray = Element("div", {}, seen=table.seen)
     captions: list[Element] = []
     todo = [table]
     while todo:
@@ -429,7 +470,7 @@ def table_lines(table: Element, depth: int = 0) -> list[str]:
     for cells in grid:
         for c, (text, wide) in cells.items():
             if wide == 1:
-                widths[c] = max(widths.get(c, 0), min(max(map(len, text), default=0), WIDEST))
+                widths[c] = max(widths.get(c, 0), min(max(map(width, text), default=0), WIDEST))
     columns = sorted({c for cells in grid for c in cells} | set(widths))
     for cells in grid:
         for k in range(max((len(text) for text, _ in cells.values()), default=0)):
@@ -438,7 +479,8 @@ def table_lines(table: Element, depth: int = 0) -> list[str]:
                 text = cells[c][0] if c in cells else []
                 if k < len(text) and text[k]:
                     # A text that ran over its column pushes the next one on by a gap.
-                    line = line.ljust(max(edge, len(line) + 2 if line else 0)) + text[k]
+                    so_far = width(line)
+                    line += " " * (max(edge, so_far + 2 if line else 0) - so_far) + text[k]
                 edge += widths.get(c, 0) + 2
             lines.append(line.rstrip())
     return lines
