@@ -67,5 +67,54 @@ def test_walk_meets_cells_in_order():
     index = m.MultiIndex(np.array([[1.0], [2.0], [3.0]]), np.array([[1.0], [5.0]]))
     counts = np.ones((3, 2), dtype=int)
     # Sums for (1, 1): 3+5, 2+5, 1+5, 3+1, 2+1, 1+1.
-    seen = [index.visit(np.array([1.0, 1.0]), counts, n).tolist() for n in range(1, 7)]
-    assert seen == [[0, 0, 2], [0, 2, 2], [2, 2, 2], [2, 2, 3], [2, 3, 3], [3, 3, 3]]
+    order = [(2, 1), (1, 1), (0, 1), (2, 0), (1, 0), (0, 0)]
+    for n in range(1, 7):
+        a, b = index.visit(np.array([1.0, 1.0]), counts, n)
+        assert list(zip(a, b)) == order[:n]
+        assert index.needed(np.array([1.0, 1.0]), counts, a, b).tolist() == list(range(1, n + 1))
+    counts[1, 1] = 0
+    assert list(zip(*index.visit(np.array([1.0, 1.0]), counts, 2))) == [(2, 1), (0, 1)]
+
+
+def test_blocks_hold_every_cell_and_are_bounded(monkeypatch):
+    monkeypatch.setattr(m, "BLOCK", 10)
+    counts = np.random.default_rng(2).integers(0, 7, (6, 9))
+    counts[3, 4], counts[5] = 75, 0
+    layout = m.Blocks(counts)
+    a, b = np.nonzero(counts)
+    cell, block = layout.spread(a, b)
+    assert set(cell) == set(range(len(a))) and block.max() < layout.count
+    rows = np.zeros(layout.count)
+    np.add.at(rows, block, (counts[a, b] / layout.wide[a, b])[cell])
+    assert rows.max() <= 3 * m.BLOCK and rows.sum() == pytest.approx(counts.sum())
+    # No block holds cells of two first centroids.
+    assert all(len(set(a[cell[block == i]])) <= 1 for i in range(layout.count))
+    blocks, bits = layout.routes(a[::3], b[::3])
+    wants = np.unpackbits(bits, axis=1)
+    met = {(int(i), int(j)) for line, i in enumerate(blocks) for j in np.flatnonzero(wants[line]) + layout.low[i]}
+    cell, block = layout.spread(a[::3], b[::3])
+    assert met == {(int(i), int(b[::3][c])) for c, i in zip(cell, block)}
+
+
+def clustered(n, seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(max(8, n // 60), 16))
+    x = centres[rng.integers(len(centres), size=n)] + 0.15 * rng.normal(size=(n, 16))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_recall_and_candidates_of_clustered_vectors(spark, monkeypatch):
+    shares = {}
+    real = m.measured_coverage
+    for n in (3000, 12000):
+        monkeypatch.setattr(m, "measured_coverage", lambda *args: shares.setdefault(n, real(*args)))
+        x = clustered(n, 7)
+        got = search(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+        hit = 0
+        for q in got:
+            score = x @ x[q]
+            score[q] = -np.inf
+            hit += len(set(np.argsort(-score)[:20]) & {i for i, _ in got[q]})
+        assert len(got) == n // 20 and hit >= 0.9 * 20 * len(got)
+    # Candidates grow slower than the table.
+    assert shares[12000] < 0.7 * shares[3000] < 0.35
