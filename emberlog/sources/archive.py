@@ -6,8 +6,13 @@ cold table itself is Parquet.
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.functions.codec import decode_array, encode_entry
 from emberlog.functions.timefmt import object_key
@@ -50,11 +55,27 @@ def write_archive(logs: DataFrame, path: str, seq: str = "ingest_seq", chunk_row
      .option("compression", "gzip").option("maxRecordsPerFile", 1).text(path))
 
 
+@F.pandas_udf(T.StringType())
+def _gunzip(content: pd.Series) -> pd.Series:
+    """Text of gzip bytes; null where they are not gzip, or damaged."""
+    def text(data: bytes) -> str | None:
+        try:
+            return gzip.decompress(data).decode("utf-8", "replace")
+        except (OSError, EOFError, zlib.error):
+            return None
+    return content.map(text, na_action="ignore")
+
+
 def _objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per readable object: its path and decoded entries, null when any element is bad."""
-    text = (spark.read.option("recursiveFileLookup", True).option("ignoreCorruptFiles", True)
-            .text(paths, wholetext=True))
-    return decode_array(text.select(F.col("_metadata.file_path").alias("object"), "value"), "value")
+    """One row per object: its path, whether it is `whole` gzip, and its decoded entries, null when any element is bad.
+
+    Reading and unpacking are apart: bytes that cannot be read fail the task, which is tried again, and in the end the
+    job, so that an object is never skipped for a passing error of the store.
+    """
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
+    text = content.select(F.col("_metadata.file_path").alias("object"), _gunzip("content").alias("value"))
+    kept = text.select("object", F.col("value").isNotNull().alias("whole"), "value")
+    return decode_array(kept, "value")
 
 
 def read_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -64,8 +85,6 @@ def read_archive(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def skipped_objects(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Paths of objects that `read_archive` skips."""
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-              .select(F.col("_metadata.file_path").alias("object")))
-    accepted = _objects(spark, paths).filter(F.col("entries").isNotNull()).select("object")
-    return listed.join(accepted, "object", "left_anti")
+    """(object, reason) of the objects that `read_archive` skips: `gzip` or `entries` is what cannot be read."""
+    reason = F.when(F.col("whole"), "entries").otherwise("gzip").alias("reason")
+    return _objects(spark, paths).filter(F.col("entries").isNull()).select("object", reason)

@@ -2,6 +2,7 @@ import gzip
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions.routing import fnv1a_32, routing_key
@@ -141,10 +142,20 @@ def test_archive_skips_unreadable_objects(spark, tmp_path):
     put("3.json.gz", "no json")
     (folder / "4.json.gz").write_bytes(b"not gzip at all")
     put("5.json.gz", "[]")
+    (folder / "6.json.gz").write_bytes(gzip.compress(b'[{"id":"d","timestamp":"2024-03-10T00:00:00Z"}]')[:-9])
     root = str(tmp_path / "archive")
     assert sorted(r.id for r in read_archive(spark, root).collect()) == ["a", "b"]
-    skipped = sorted(r.object.rsplit("/", 1)[1] for r in skipped_objects(spark, root).collect())
-    assert skipped == ["2.json.gz", "3.json.gz", "4.json.gz"]
+    skipped = {r.object.rsplit("/", 1)[1]: r.reason for r in skipped_objects(spark, root).collect()}
+    assert skipped == {"2.json.gz": "entries", "3.json.gz": "entries", "4.json.gz": "gzip", "6.json.gz": "gzip"}
+
+
+def test_archive_objects_that_cannot_be_read_fail_the_job(spark, tmp_path):
+    """An object that vanishes after it was listed is an error of the store, not a bad object."""
+    (tmp_path / "1.json.gz").write_bytes(gzip.compress(b'[{"id":"a","timestamp":"2024-03-10T00:00:00Z"}]'))
+    entries = read_archive(spark, str(tmp_path))
+    (tmp_path / "1.json.gz").unlink()
+    with pytest.raises(Exception, match="1.json.gz|FILE_NOT_EXIST|does not exist"):
+        entries.collect()
 
 
 def test_archive_roundtrip_in_chunks(spark, tmp_path):
