@@ -47,6 +47,8 @@ from emberlog.sources.objects import INDEX_SCHEMA, DataObject, candidates, summa
 
 #: A compaction without aged rows still merges new files once there are this many batches.
 MERGE_BATCHES = 100
+#: Cold directories of one size that are merged into one.
+FANOUT = 8
 
 
 def _iso(us: int) -> str:
@@ -409,6 +411,52 @@ class LogTables:
          .observe(seen, *_stats()).write.parquet(self.folder.child(target)))
         return seen.get
 
+    def merge_cold(self, fanout: int = FANOUT, files: int | None = None, rows_per_file: int = 0, cluster: Sequence[str] = ()) -> int:
+        """Merge cold directories of about one size until fewer than `fanout` of each size are left; returns how many were merged.
+
+        Sizes are powers of `fanout` in rows, so there are logarithmically many directories (and snapshot entries) for any number
+        of compactions, and a row is written again at most once per size. A merge is one snapshot: readers see
+        the old directories or the new one, and `clean` deletes the old ones. The merged entry stands for the compactions
+        that it holds in the manifest, with their rows and bounds.
+        """
+        if fanout < 2:
+            raise ValueError("fanout must be 2 at least")
+        merged = 0
+        while True:
+            at = self.snapshot()
+            sizes: dict[int, list[dict]] = {}
+            for entry in at.cold:
+                level = 0
+                while entry["rows"] >= fanout ** (level + 1):
+                    level += 1
+                sizes.setdefault(level, []).append(entry)
+            full = min((level for level, entries in sizes.items() if len(entries) >= fanout), default=None)
+            if full is None:
+                return merged
+            self._merge(at, sizes[full], files, rows_per_file, tuple(cluster))
+            merged += len(sizes[full])
+
+    def _merge(self, at: Snapshot, entries: list[dict], files: int | None, rows_per_file: int, cluster: tuple[str, ...]) -> None:
+        number = at.n + 1
+        name = f"{number:08d}-{uuid.uuid4().hex[:8]}"
+        target = f"cold/compaction={name}"
+        old = self._read_cold([f"cold/compaction={c['compaction']}" for c in entries]).select(*LOG_COLUMNS, *ARRIVAL)
+        stats = self._to_cold(old, target, files, rows_per_file, cluster)
+        if stats["rows"] != sum(c["rows"] for c in entries):
+            self.folder.delete(target)
+            raise RuntimeError(f"the directories to merge hold {stats['rows']} rows, not those of the snapshot; nothing was merged")
+        self._to_index(target, name)
+        newest = max(entries, key=lambda c: c["n"])
+        row = newest | {"n": number, "compaction": name, "rows": stats["rows"], "min_ts": _iso(stats["min_us"]),
+                        "max_ts": _iso(stats["max_us"]), "indexed": True}
+        gone = {c["compaction"] for c in entries}
+        state = {"n": number, "cutoff_us": at.cutoff_us, "absorbed": at.absorbed, "segments": at.segments,
+                 "cold": [c for c in at.cold if c["compaction"] not in gone] + [row]}
+        if not self.folder.publish(f"manifest/{number}.json", json.dumps(state)):
+            for left in (target, f"cold-index/{name}"):
+                self.folder.delete(left)
+            raise RuntimeError(f"snapshot {number} was committed by another job; nothing was merged here")
+
     def clean(self) -> int:
         """Delete the files that the newest snapshot does not need: absorbed batches, dropped segments, and what failed jobs
         have left; returns the number of batches. Meant to run while no compaction runs and no older snapshot is read.

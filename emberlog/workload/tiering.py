@@ -104,8 +104,8 @@ def archive_skipped(spark: SparkSession, sf: str) -> DataFrame:
     write_archive(cold, path, chunk_rows=CHUNK)
     bad = Folder(spark, path)
     bad.publish("dt=2024-01-02/torn.txt.gz", "not gzip")
-    bad.publish("dt=2024-01-02/object.txt", '{"id": "1"}')
-    bad.publish("dt=2024-01-02/mixed.txt", '[{"id": "1"}, {"id": 2}]')
+    texts = spark.createDataFrame([('{"id": "1"}',), ('[{"id": "1"}, {"id": 2}]',)], "value string")
+    (texts.coalesce(1).write.mode("append").option("compression", "gzip").option("maxRecordsPerFile", 1).text(f"{path}/dt=2024-01-02"))
     listed = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
               .select(F.lit(0).alias("skipped")))
     skipped = skipped_objects(spark, path).select(F.lit(1).alias("skipped"))
@@ -338,3 +338,21 @@ def torn_batch(spark: SparkSession, sf: str) -> DataFrame:
     torn = settled(tables.hot().select("id", F.lit("torn").alias("seen")), "torn")
     tables.append(rows.filter(~even), 1)
     return torn.unionByName(tables.hot().select("id", F.lit("replayed").alias("seen")))
+
+
+@query(f"""WITH {LOGS_CTE} SELECT {OUT_SQL}, CASE WHEN "timestamp" < TIMESTAMP '{CUTOFF}' THEN 'cold' ELSE 'hot' END AS tier, true AS few FROM logs""")
+def merged_cold(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight compactions of a month, half a week each, merged by size: no row is lost or doubled, and few directories are left."""
+    tables = LogTables(spark, shared_dir(spark, "tables"))
+    rows = logs(spark, sf).drop("ingest_seq").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    tables.append(rows, 0)
+    for k in range(7, -1, -1):
+        tables.compact(utc(AS_OF) - k * timedelta(days=3.5))
+    before = len(tables.snapshot().cold)
+    tables.merge_cold(fanout=2)
+    tables.clean()
+    few = len(tables.snapshot().cold) < before
+    columns = [*LOG_COLUMNS, "tier", "few"]
+    cold, hot = (t.withColumn("tier", F.lit(name)).withColumn("few", F.lit(few)).select(columns)
+                 for t, name in ((tables.cold(), "cold"), (tables.hot(), "hot")))
+    return out(cold.unionByName(hot).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), "tier", "few")

@@ -252,3 +252,39 @@ def test_metric_samples(spark, tmp_path):
     spark.createDataFrame(rows, "ts timestamp, name string, labels map<string,string>, le double, value double").write.parquet(path)
     found = series(read_samples(spark, path), "lag", ("group",), end=NOW + HOUR).orderBy("ts").collect()
     assert [(r.group, r.value) for r in found] == [("g", 5.0), ("", 6.0)]
+
+
+def test_merged_cold_directories_stay_logarithmic(spark, tables):
+    wanted, rng = [], random.Random(4)
+    for k in range(12):
+        rows = batch(rng.randint(1, 3), f"s{k}", NOW - (30 - k) * HOUR)
+        tables.append(plain(spark, rows), k)
+        tables.compact(NOW - 20 * HOUR + timedelta(days=1))
+        tables.merge_cold(fanout=3)
+        wanted += [r[0] for r in rows]
+        sizes = [c["rows"] for c in tables.snapshot().cold]
+        for level in range(4):
+            assert sum(3 ** level <= n < 3 ** (level + 1) for n in sizes) < 3
+    assert ids(tables.cold()) == sorted(wanted) and sum(sizes) == len(wanted)
+    # The index and the bounds are those of the merged rows; a range and a value still prune.
+    request = LogQuery(start=NOW - 40 * HOUR, end=NOW, source="s5")
+    assert ids(tables.search(request, NOW)) == sorted(i for i in wanted if i.startswith("s5-"))
+    before = ids(tables.stored())
+    tables.clean()
+    assert ids(tables.stored()) == before and len(tables.folder.glob("cold/compaction=*")) == len(sizes)
+    assert tables.merge_cold(fanout=3) == 0
+    with pytest.raises(ValueError):
+        tables.merge_cold(fanout=1)
+
+
+def test_merge_that_loses_the_race_changes_nothing(spark, tables):
+    for k in range(2):
+        tables.append(plain(spark, batch(3, f"s{k}", NOW - 10 * HOUR)), k)
+        tables.compact(NOW)
+    before, publish = tables.snapshot(), tables.folder.publish
+    tables.folder.publish = lambda *_: False
+    with pytest.raises(RuntimeError):
+        tables.merge_cold(fanout=2)
+    tables.folder.publish = publish
+    assert tables.snapshot() == before and len(tables.folder.glob("cold/compaction=*")) == 2
+    assert tables.cold().count() == 6
