@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberlog.functions.timefmt import as_micros
 from emberlog.schema import RECORD_SCHEMA
@@ -34,34 +37,70 @@ from emberlog.workload.registry import query
 FILES = 4
 
 
-def _in_files(rows: DataFrame, path: str, part: F.Column, parts: range = range(FILES)) -> None:
-    """One file per part, written one after the other, so that a stream reads them in order, one per batch."""
-    for i in parts:
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+#: Rows of one file, and of one slice of time, of the folders that streams read.
+FILE_ROWS, SLICE_ROWS = 50_000, 10_000_000
+
+
+class _Parts:
+    """Rows dealt into numbered parts, for a stream that takes one part per batch.
+
+    The parts are set aside by one pass over the rows. Each of them then becomes the same number of files, written side by side, and one
+    part is written after the other: a stream reads files in order of their time, so `files` of them are one part.
+    """
+
+    def __init__(self, rows: DataFrame, part: F.Column, path: str, file_rows: int = FILE_ROWS) -> None:
+        self.spark, self.path, self.schema = rows.sparkSession, path, rows.schema
+        self.aside = shared_dir(self.spark, "parts")
+        rows.withColumn("_part", part.cast("int")).write.partitionBy("_part").parquet(self.aside)
+        sizes = self._read().groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+        last, most = sizes.filter("_part IS NOT NULL").agg(F.max("_part"), F.max("n")).first()
+        #: Parts up to the last one with rows, and files of each.
+        self.parts, self.files = 1 + (last or 0), max(1, -(-(most or 0) // file_rows))
+
+    def _read(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(self.aside)
+
+    def write(self, parts: range | None = None) -> int:
+        """Write some parts (all), and tell how many files each of them has."""
+        folder = Folder(self.spark, self.path)
+        for i in range(self.parts) if parts is None else parts:
+            due = len(folder.glob("*.parquet")) + self.files
+            rows = self._read().filter(F.col("_part") == i).drop("_part")
+            # A round-robin shuffle needs no key that some file would have too many rows of.
+            (rows.coalesce(1) if self.files == 1 else rows.repartition(self.files)).write.mode("append").parquet(self.path)
+            while len(folder.glob("*.parquet")) < due:  # tasks without rows write no file
+                rows.limit(0).coalesce(1).write.mode("append").parquet(self.path)
+        return self.files
+
+
+def _in_files(rows: DataFrame, path: str, part: F.Column) -> int:
+    """FILES parts, one after the other; returns the files of each."""
+    return _Parts(rows, part, path).write(range(FILES))
 
 
-def _record_files(spark: SparkSession, sf: str, path: str, parts: range = range(FILES)) -> None:
-    """The client records as a folder of stream record files."""
+def _records(spark: SparkSession, sf: str, path: str) -> _Parts:
+    """The client records as parts of a folder of stream record files."""
     records = client_records(spark, sf).select(
         F.lit(None).cast("string").alias("key"), "value",
         (F.col("event_id") % 12).cast("int").alias("partition"), F.col("event_id").alias("offset"),
         F.timestamp_micros(F.lit(AS_OF_US)).alias("timestamp"))
-    _in_files(records, path, F.col("offset") % FILES, parts)
+    return _Parts(records, F.col("offset") % FILES, path)
 
 
 def _ingested(spark: SparkSession, sf: str) -> LogTables:
-    """The records streamed in with one file per batch, a stop in between, and the last batch before it handed over again."""
+    """The records streamed in with one part per batch, a stop in between, and the last batch before it handed over again."""
     tables = LogTables(spark, shared_dir(spark, "tables"))
     path, checkpoint = shared_dir(spark, "records"), shared_dir(spark, "checkpoint")
+    records = _records(spark, sf, path)
 
     def run() -> None:
-        ingest(file_records(spark, path, max_files=1), tables, checkpoint, available_now=True).awaitTermination()
+        ingest(file_records(spark, path, max_files=records.files), tables, checkpoint, available_now=True).awaitTermination()
 
-    _record_files(spark, sf, path, range(2))
+    records.write(range(2))
     run()
     # As if the job had died between the write of batch 1 and its commit.
     Folder(spark, checkpoint).delete("commits/1")
-    _record_files(spark, sf, path, range(2, FILES))
+    records.write(range(2, FILES))
     run()
     return tables
 
@@ -155,9 +194,9 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     source = shared_dir(spark, "redelivered")
     rows = _redelivered(spark, sf)
     # Copies of one id lie in different batches, and times of the month are mixed in each.
-    _in_files(rows, source, (F.col("ingest_seq") + F.col("copy")) % FILES)
+    files = _in_files(rows, source, (F.col("ingest_seq") + F.col("copy")) % FILES)
     target = shared_dir(spark, "deduplicated")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     unique = drop_redelivered_stream(stream)
     job = (unique.select("ingest_seq", "id").writeStream.format("parquet").option("path", target)
            .option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True).start())
@@ -172,14 +211,26 @@ def batch_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return unique.groupBy("ingest_seq", "id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _weekly(rows: DataFrame, ts: str, path: str, arrival: F.Column | None = None) -> None:
-    """One file per week of arrival (the time itself, if not given), and a last row far in the future, which lets everything
-    before it finish. Rows without a time come first."""
-    day = F.datediff(F.col(ts) if arrival is None else arrival, F.lit(rows.agg(F.min(ts)).first()[0]))
-    week = F.coalesce(F.floor(day / 7), F.lit(0))
+def _weekly(rows: DataFrame, ts: str, path: str, arrival: F.Column | None = None, slice_rows: int = SLICE_ROWS, file_rows: int = FILE_ROWS) -> int:
+    """Parts by week of arrival (the time itself, if not given), and a last row far in the future, which lets everything
+    before it finish. Rows without a time come first. Returns the files of a part.
+
+    Weeks with more than `slice_rows` rows are cut into shorter spans, an hour at least, so that a batch, and the state that a join
+    or a series holds until its end, does not grow with the table.
+    """
+    day, us = timedelta(days=1) // timedelta(microseconds=1), F.unix_micros(F.col(ts) if arrival is None else arrival)
+    first = (rows.agg(F.unix_micros(F.min(ts))).first()[0] or 0) // day * day
+    width = 7 * day
+    while True:
+        part = F.coalesce(F.floor((us - first) / width), F.lit(0))
+        most = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= slice_rows or width <= HOUR_US:
+            break
+        width = max(HOUR_US, min(width // 2, width * slice_rows // most))
     last = rows.orderBy(F.desc(ts)).limit(1).withColumn(ts, F.col(ts) + F.expr("interval 60 days"))
-    _in_files(rows, path, week, range((rows.agg(F.max(week)).first()[0] or 0) + 1))
+    files = _Parts(rows, part, path, file_rows).write()
     last.coalesce(1).write.mode("append").parquet(path)
+    return files
 
 
 def _appended(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
@@ -193,8 +244,8 @@ def _appended(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
 def _finished(spark: SparkSession, rows: DataFrame, ts: str, transform, schema: str, arrival: F.Column | None = None) -> DataFrame:
     """An append-mode stream over rows in order of arrival, one week per batch."""
     source = shared_dir(spark, "timed")
-    _weekly(rows, ts, source, arrival)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = _weekly(rows, ts, source, arrival)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     return _appended(spark, transform(stream), schema)
 
 
@@ -229,8 +280,8 @@ def stream_shedding(spark: SparkSession, sf: str) -> DataFrame:
     rows = depth_samples(spark, sf)
     # A quarter of the samples per batch: the state is carried over three times.
     quarter = F.floor((F.col("seq") - rows.agg(F.min("seq")).first()[0]) * FILES / rows.count()).cast("int")
-    _in_files(rows, source, F.least(quarter, F.lit(FILES - 1)))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    files = _in_files(rows, source, F.least(quarter, F.lit(FILES - 1)))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     shed(stream, target, shared_dir(spark, "checkpoint"), MAX_DEPTH, COOL, available_now=True).awaitTermination()
     schema = "ingestor bigint, seq bigint, accept boolean, active boolean, engaged_us bigint"
     return spark.read.schema(schema).parquet(f"{target}/states").select(
@@ -301,10 +352,10 @@ def stream_delivery_lost(spark: SparkSession, sf: str) -> DataFrame:
     sent = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), minute("o_orderkey").alias("sent_at"))
     stored = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), (minute("l_orderkey") + late).alias("stored_at"))
     # Both streams end with an entry far in the future that is stored at once.
-    paths = []
+    streams = []
     for rows, ts in ((sent, "sent_at"), (stored, "stored_at")):
-        paths.append(shared_dir(spark, ts))
-        _weekly(rows, ts, paths[-1])
-    streams = [spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path) for rows, path in zip((sent, stored), paths)]
+        path = shared_dir(spark, ts)
+        files = _weekly(rows, ts, path)
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path))
     found = _appended(spark, delivery(*streams, within="10 minutes"), "id string, sent_at timestamp, stored_at timestamp")
     return found.filter("stored_at IS NULL").select("id")
