@@ -3,14 +3,14 @@
 A sample is judged once no earlier one of its series can come any more, so late samples up to the watermark's delay take their
 place and the results are those of the batch operators. Event-time timeouts wake a series that gets no further
 sample. State per series is what the operator carries plus the samples of one delay; the samples of one series and
-micro-batch go through one task, so bound the reader's batches.
+micro-batch go through one task, 24 bytes each, so bound the reader's batches.
 """
 
 from __future__ import annotations
 
-from bisect import insort
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,17 +20,23 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 #: new state (None: forget the series), output rows, and when to wake without a sample (None: never).
 Step = Callable[[tuple | None, list[tuple], int], tuple[tuple | None, list[tuple], int | None]]
 
+#: Samples that `step` is given at once.
+CHUNK = 10_000
+#: Stands for a missing `seq`, which comes before all others.
+NO_SEQ = -1 << 63
+
 
 def in_order(samples: DataFrame, keys: Sequence[str], ts: str, seq: str, value: str | Column, delay: str,
              step: Step, state: str, output: str) -> DataFrame:
     """Rows (keys.., output columns) of `step` over each series; `state` and `output` are column lists.
 
     Samples without a time are left out, and those whose `value` is null. `seq` orders samples of one time. Samples more than
-    `delay` behind the newest are dropped; `LateRows` counts them.
+    `delay` behind the newest are dropped; `LateRows` counts them. What is ready goes to `step` in chunks: between two of them its
+    third argument is the moment before the next sample, as if the watermark had come that far.
     """
     value = F.col(value) if isinstance(value, str) else value
     timed = (samples.withWatermark(ts, delay)
-             .select(*keys, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_us"), F.col(seq).cast("long").alias("_seq"), value.cast("double").alias("_value"))
+             .select(*keys, F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_us"), F.coalesce(F.col(seq).cast("long"), F.lit(NO_SEQ)).alias("_seq"), value.cast("double").alias("_value"))
              .filter("_us IS NOT NULL AND _value IS NOT NULL"))
     types = {f.name: f.dataType.simpleString() for f in timed.schema}
     names = [*keys, *[c.split()[0] for c in output.split(", ")]]
@@ -38,31 +44,38 @@ def in_order(samples: DataFrame, keys: Sequence[str], ts: str, seq: str, value:
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
         held: tuple | None = None
-        waiting: list[tuple] = []
+        parts_of: tuple[list[np.ndarray], ...] = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
         if group.exists:
-            known, carried, us, seqs, values = group.get
+            known, carried, *waiting = group.get
             held = tuple(carried_of(known, carried)) if known else None
-            waiting = list(zip(us, seqs, values))
+            for column, values in zip(parts_of, waiting):
+                column.append(np.array(values, column[0].dtype))
         for frame in frames:
-            for sample in zip(frame["_us"].tolist(), frame["_seq"].tolist(), frame["_value"].tolist()):
-                if waiting and sample < waiting[-1]:
-                    insort(waiting, sample)
-                else:
-                    waiting.append(sample)
+            for column, name in zip(parts_of, ("_us", "_seq", "_value")):
+                # A copy: a view would keep the whole Arrow batch.
+                column.append(frame[name].to_numpy(column[0].dtype, copy=True))
+        us, seqs, vals = (np.concatenate(column) for column in parts_of)
+        parts_of = ((), (), ())
+        order = np.lexsort((vals, seqs, us))
+        us, seqs, vals = us[order], seqs[order], vals[order]
         now_ms = group.getCurrentWatermarkMs()
-        ready = [s for s in waiting if s[0] <= now_ms * 1000]
-        waiting = waiting[len(ready):]
-        held, rows, wake = step(held, ready, now_ms * 1000)
-        if waiting:
+        ready = int(np.searchsorted(us, now_ms * 1000, side="right"))
+        for at in range(0, max(ready, 1), CHUNK):
+            end = min(at + CHUNK, ready)
+            numbers = [None if n == NO_SEQ else n for n in seqs[at:end].tolist()]
+            chunk = list(zip(us[at:end].tolist(), numbers, vals[at:end].tolist()))
+            held, rows, wake = step(held, chunk, now_ms * 1000 if end == ready else int(us[end]) - 1)
+            yield pd.DataFrame([(*key, *row) for row in rows], columns=names)
+        waiting = [column[ready:].tolist() for column in (us, seqs, vals)]
+        if waiting[0]:
             wake = waiting[0][0] if wake is None else min(wake, waiting[0][0])
-        if held is None and not waiting:
+        if held is None and not waiting[0]:
             if group.exists:
                 group.remove()
         else:
-            group.update((held is not None, pack(held), [s[0] for s in waiting], [s[1] for s in waiting], [s[2] for s in waiting]))
+            group.update((held is not None, pack(held), *waiting))
             if wake is not None:
                 group.setTimeoutTimestamp(max(-(-wake // 1000), now_ms + 1))
-        yield pd.DataFrame([(*key, *row) for row in rows], columns=names)
 
     def pack(held: tuple | None) -> list[float | None]:
         return [None] * parts if held is None else [None if v is None else str(v) for v in held]
