@@ -30,7 +30,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,8 @@ from emberlog.sources.objects import INDEX_SCHEMA, DataObject, candidates, summa
 MERGE_BATCHES = 100
 #: Cold directories of one size that are merged into one.
 FANOUT = 8
+#: Rows that stay together when full objects are dealt to tasks, if an object has fewer, and those that a task writes at most on average.
+PIECE_ROWS, TASK_ROWS = 2_000, 1_000_000
 
 
 def _iso(us: int) -> str:
@@ -313,7 +315,8 @@ class LogTables:
 
     def _to_index(self, target: str, name: str) -> None:
         """Summaries of the files of a directory just written, with paths relative to the root."""
-        lines = summarise(self.spark.read.schema(COLD_SCHEMA).option("basePath", self.folder.child("cold")).parquet(self.folder.child(target)))
+        files = self.spark.read.schema(COLD_SCHEMA).option("basePath", self.folder.child("cold")).parquet(self.folder.child(target))
+        lines = summarise(files)
         relative = F.concat(F.lit(f"{target}/"), F.element_at(F.split("object", f"{target}/"), -1))
         lines.withColumn("object", relative).write.parquet(self.folder.child(f"cold-index/{name}"))
 
@@ -323,7 +326,8 @@ class LogTables:
 
         Rows are range-partitioned by (dt, timestamp, arrival), so a hot day, or many rows that share
         one timestamp, spread over several files, and every file covers a narrow time range.
-        `rows_per_file` bounds the objects' rows (0: one object per task and day). With `cluster` (columns such as source
+        `rows_per_file` is the objects' rows (0: one object per task and day): all objects are full but for the last one of a day, however
+        many tasks write them, and `files`, the number of tasks, is for compactions without it. With `cluster` (columns such as source
         and level) the days are laid out along the interleaved bits of those columns and the time instead, so that a
         search for one of their values reads few files, and one for a time some more. The young rows of the new
         batches are merged into a segment, so a row is written three times at most: new, segment, cold.
@@ -396,14 +400,45 @@ class LogTables:
             # Ranks are those of the whole compaction; a day holds a range of the times' ranks.
             rows = rows.withColumn("_place", interleaved(cut_points(rows, [*cluster, "timestamp"], ARRIVAL)))
             order = ["dt", "_place", "timestamp", *ARRIVAL]
-        ranged = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+        # Objects that must be full follow the order, not the tasks.
+        ranged = rows.repartitionByRange(files, *order) if files and not rows_per_file else rows.repartitionByRange(*order)
         seen = Observation(f"cold-{uuid.uuid4().hex[:8]}")
-        writer = ranged.sortWithinPartitions(*order).observe(seen, *_stats()).drop("_place").write.partitionBy("dt")
+        placed = ranged.sortWithinPartitions(*order).observe(seen, *_stats()).drop("_place")
         if rows_per_file:
-            writer = writer.option("maxRecordsPerFile", rows_per_file)
-        writer.parquet(self.folder.child(target))
+            aside = f"hot/tmp/{target.rsplit('=', 1)[1]}"
+            placed.withColumn("_at", F.monotonically_increasing_id()).write.parquet(self.folder.child(aside))
+            if seen.get["rows"]:
+                self._full_objects(aside, target, rows_per_file, seen.get["rows"])
+            self.folder.delete(aside)
+        else:
+            self._in_days(placed, target)
         return seen.get
 
+    def _in_days(self, rows: DataFrame, target: str, **options: str | int) -> None:
+        # Tasks put their files in place themselves: for a directory that no snapshot names yet that is safe, and the
+        # driver does not rename thousands of objects one by one.
+        (rows.write.partitionBy("dt").options(**{"mapreduce.fileoutputcommitter.algorithm.version": "2"}, **options)
+         .parquet(self.folder.child(target)))
+
+    def _full_objects(self, aside: str, target: str, rows_per_file: int, count: int) -> None:
+        """Write ordered rows as objects of `rows_per_file` rows, the last one of a day with the rest.
+
+        `_at` counts the rows of each ordered partition, so one line per day and partition tells a row's rank in its day. Runs of whole
+        objects are dealt to tasks: no task holds a day.
+        """
+        schema = T.StructType([f for f in COLD_SCHEMA.fields if f.name != "compaction"] + [T.StructField("_at", T.LongType())])
+        rows = self.spark.read.schema(schema).parquet(self.folder.child(aside)).withColumn("_part", F.shiftright("_at", 33))
+        before = Window.partitionBy("dt").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        # Rank of a row: its place since the first one of its day in the partition, and the rows of the day in partitions before.
+        starts = (rows.groupBy("dt", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+                  .select("dt", "_part", (F.col("_first") - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_zero")))
+        run = rows_per_file * max(1, PIECE_ROWS // rows_per_file)
+        pieces = rows.join(F.broadcast(starts), ["dt", "_part"]).withColumn("_piece", F.floor((F.col("_at") - F.col("_zero")) / F.lit(run)))
+        # A number of tasks by cores and rows: by their bytes alone, a million rows in small objects would be few tasks.
+        tasks = min(-(-count // run), max(4 * self.spark.sparkContext.defaultParallelism, count // TASK_ROWS))
+        ordered = pieces.repartition(tasks, "dt", "_piece").sortWithinPartitions("dt", "_at")
+        self._in_days(ordered.drop("_part", "_zero", "_piece", "_at"), target, maxRecordsPerFile=rows_per_file)
+
     def _to_segment(self, young: DataFrame, target: str) -> dict:
         # Time order within files keeps the bounds of row groups narrow; AQE joins small tasks into few files.
         seen = Observation(f"segment-{uuid.uuid4().hex[:8]}")

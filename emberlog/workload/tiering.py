@@ -125,13 +125,17 @@ def _stored(spark: SparkSession, sf: str, as_of: str | None = None, files: int |
     rows = logs(spark, sf).drop("ingest_seq").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
     part = F.pmod(F.col("id").cast("long"), F.lit(3))
     offsets = rows.withColumn("offset", F.col("id").cast("long"))
-    if files:
-        offsets = offsets.coalesce(files)
-    tables.append(offsets.filter(part == 0), 0)
+
+    def append(n: int) -> None:
+        batch = offsets.filter(part == n)
+        # Only the write is left to that many tasks.
+        tables.append(batch.repartition(files) if files else batch, n)
+
+    append(0)
     tables.compact(utc(AS_OF) - timedelta(days=10), files=files, rows_per_file=rows_per_file, cluster=cluster)
-    tables.append(offsets.filter(part == 1), 1)
+    append(1)
     tables.compact(as_of or AS_OF, files=files, rows_per_file=rows_per_file, cluster=cluster)
-    tables.append(offsets.filter(part == 2), 2)
+    append(2)
     return tables
 
 
