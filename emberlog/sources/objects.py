@@ -29,6 +29,8 @@ BITS_PER_TRIGRAM, POSITIONS = 8, 4
 LEAST_BITS, MOST_BITS = 1 << 10, 1 << 26
 #: Bytes of messages that one vectorised step handles.
 STEP = 1 << 22
+#: Files whose summaries a task holds before it gives them out.
+HELD_FILES = 1_000
 
 INDEX_SCHEMA = T.StructType([
     T.StructField("object", T.StringType()),
@@ -154,17 +156,24 @@ def summarise(table: DataFrame) -> DataFrame:
                 part = batch.slice(first, last - first)
                 path = part.column("object")[0].as_py()
                 if path not in known:
+                    if len(known) == HELD_FILES:
+                        yield _lines(known)
+                        known = {}
                     known[path] = _Summary(part.column("bytes")[0].as_py())
                 known[path].add(part)
-        lines = [{"object": path, "bytes": s.size, "rows": s.rows, "min_us": s.low, "max_us": s.high,
-                  **{f"{name}s": None if values is None else sorted(values) for name, values in s.values.items()},
-                  "trigrams": bloom_words(s.trigrams).tolist()} for path, s in known.items()]
-        if lines:
-            yield pa.RecordBatch.from_pylist(lines, schema=_ARROW)
+        if known:
+            yield _lines(known)
 
     return read.mapInArrow(run, INDEX_SCHEMA)
 
 
+def _lines(known: dict[str, _Summary]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([
+        {"object": path, "bytes": s.size, "rows": s.rows, "min_us": s.low, "max_us": s.high,
+         **{f"{name}s": None if values is None else sorted(values) for name, values in s.values.items()},
+         "trigrams": bloom_words(s.trigrams).tolist()} for path, s in known.items()], schema=_ARROW)
+
+
 def _runs(paths: pa.Array) -> Iterator[tuple[int, int]]:
     """(first row, row behind the last) of the runs of equal values."""
     ends = pc.run_end_encode(paths).run_ends.to_pylist()

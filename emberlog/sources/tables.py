@@ -316,7 +316,8 @@ class LogTables:
     def _to_index(self, target: str, name: str) -> None:
         """Summaries of the files of a directory just written, with paths relative to the root."""
         files = self.spark.read.schema(COLD_SCHEMA).option("basePath", self.folder.child("cold")).parquet(self.folder.child(target))
-        lines = summarise(files)
+        # Small objects would make a task, and a file of the index, of every 32.
+        lines = summarise(files.coalesce(4 * self.spark.sparkContext.defaultParallelism))
         relative = F.concat(F.lit(f"{target}/"), F.element_at(F.split("object", f"{target}/"), -1))
         lines.withColumn("object", relative).write.parquet(self.folder.child(f"cold-index/{name}"))
 

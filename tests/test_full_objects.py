@@ -34,3 +34,10 @@ def test_objects_are_full_whatever_the_number_of_tasks(spark, tables, files):
     assert len({o.object.rsplit("/", 1)[1].split("-")[1] for o in objects}) > 1
     assert tables.cold().select("id").distinct().count() == 5_230
     assert tables.folder.glob("hot/tmp/*") == []
+
+
+def test_the_index_of_small_objects_is_a_few_files(spark, tables):
+    tables.append(plain(spark, rows(1_500)), 0)
+    tables.compact(NOW, rows_per_file=2)
+    assert len(tables.objects(LogQuery(start=NOW - timedelta(days=3), end=NOW), NOW)) == 750
+    assert len(tables.folder.glob("cold-index/*/*.parquet")) <= 4 * spark.sparkContext.defaultParallelism
