@@ -67,5 +67,32 @@ class Folder:
         self._fs.delete(aside, False)
         return False
 
+    def copy_of(self, other: Folder, relative: str, to: str) -> str:
+        """Copy a small file of another folder here; returns its name."""
+        conf, target = self._fs.getConf(), self._hadoop_path(self.child(to))
+        if not self._jvm.org.apache.hadoop.fs.FileUtil.copy(other._fs, other._hadoop_path(other.child(relative)), self._fs, target, False, conf):
+            raise RuntimeError(f"{relative} could not be copied to {to}")
+        return to
+
+    def keeps_times(self) -> bool:
+        """Whether the store lets a file's time be set; object stores do not."""
+        probe = self._hadoop_path(self.child(f"_{self._jvm.java.util.UUID.randomUUID()}.tmp"))
+        self._fs.mkdirs(probe.getParent())
+        self._fs.create(probe, False).close()
+        try:
+            self._fs.setTimes(probe, 1_000_000_000_000, -1)
+            return self._fs.getFileStatus(probe).getModificationTime() == 1_000_000_000_000
+        except Exception:
+            return False
+        finally:
+            self._fs.delete(probe, False)
+
+    def date(self, groups: list[list[str]]) -> None:
+        """Set the times of files so that each group is a second younger than the one before, the last one of now."""
+        now = self._jvm.java.lang.System.currentTimeMillis() // 1000 * 1000
+        for back, names in enumerate(reversed(groups)):
+            for name in names:
+                self._fs.setTimes(self._hadoop_path(self.child(name)), now - back * 1000, -1)
+
     def delete(self, relative: str) -> None:
         self._fs.delete(self._hadoop_path(self.child(relative)), True)

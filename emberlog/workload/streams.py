@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 
 from emberlog.functions.timefmt import as_micros
 from emberlog.schema import RECORD_SCHEMA
-from emberlog.session import shared_dir
+from emberlog.session import set_meanwhile, shared_dir
 from emberlog.sources.files import Folder
 from emberlog.sources.record_log import RecordLog, log_records
 from emberlog.sources.records import decode_records, good, publish_files, stream_partition, to_records
@@ -20,6 +21,7 @@ from emberlog.streaming.dedup import drop_redelivered, drop_redelivered_stream
 from emberlog.streaming.delivery import delivery
 from emberlog.streaming.ingest import ingest
 from emberlog.streaming.metrics import counts_per_step, sliding_buckets
+from emberlog.streaming.ordered import SEND_STATE_ONCE
 from emberlog.streaming.rates import counter_slots, rates_of_slots
 from emberlog.streaming.shedding import shed
 from emberlog.streaming.sources import file_records
@@ -39,6 +41,10 @@ FILES = 4
 
 #: Rows of one file, and of one slice of time, of the folders that streams read.
 FILE_ROWS, SLICE_ROWS = 50_000, 10_000_000
+#: Rows of one file of a folder cut by time, and of one slice for samples in order, whose state holds every row of it.
+TIMED_FILE_ROWS, ORDER_ROWS = 200_000, 1_000_000
+#: Most partitions of a stream's state, on a small cluster.
+STATE_PARTS = 24
 
 
 class _Parts:
@@ -211,40 +217,93 @@ def batch_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return unique.groupBy("ingest_seq", "id").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def _weekly(rows: DataFrame, ts: str, path: str, arrival: F.Column | None = None, slice_rows: int = SLICE_ROWS, file_rows: int = FILE_ROWS) -> int:
+def _weekly(rows: DataFrame, ts: str, path: str, arrival: F.Column | None = None, slice_rows: int = SLICE_ROWS, file_rows: int = TIMED_FILE_ROWS) -> int:
     """Parts by week of arrival (the time itself, if not given), and a last row far in the future, which lets everything
     before it finish. Rows without a time come first. Returns the files of a part.
 
     Weeks with more than `slice_rows` rows are cut into shorter spans, an hour at least, so that a batch, and the state that a join
     or a series holds until its end, does not grow with the table.
     """
-    day, us = timedelta(days=1) // timedelta(microseconds=1), F.unix_micros(F.col(ts) if arrival is None else arrival)
-    first = (rows.agg(F.unix_micros(F.min(ts))).first()[0] or 0) // day * day
-    width = 7 * day
-    while True:
-        part = F.coalesce(F.floor((us - first) / width), F.lit(0))
-        most = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if most <= slice_rows or width <= HOUR_US:
-            break
-        width = max(HOUR_US, min(width // 2, width * slice_rows // most))
+    return _weekly_together([(rows, ts, path)], arrival, slice_rows, file_rows)[0]
+
+
+def _weekly_together(tables: list[tuple[DataFrame, str, str]], arrival: F.Column | None = None, slice_rows: int = SLICE_ROWS,
+                     file_rows: int = TIMED_FILE_ROWS) -> list[int]:
+    """`_weekly` for several tables (rows, time, folder) cut at the same moments, so that streams that take one part of each per batch
+    go through time side by side; `slice_rows` counts the rows of all."""
+    hours = [F.floor(F.unix_micros(F.col(ts) if arrival is None else arrival) / HOUR_US) for _, ts, _ in tables]
+    # One line per hour that occurs; rows without a time have none.
+    counts = [{r.hour: r.n for r in rows.groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n")).collect()}
+              for (rows, _, _), hour in zip(tables, hours)]
+    part_of = _cuts(sum(map(Counter, counts), Counter()), slice_rows)
+    return [_dated(rows, ts, path, hour, part_of, n, file_rows) for (rows, ts, path), hour, n in zip(tables, hours, counts)]
+
+
+def _cuts(counts: dict[int | None, int], slice_rows: int) -> dict[int | None, int]:
+    """The part of each hour: whole weeks from the first day on, or as many hours of one as `slice_rows` rows allow, one at least."""
+    timed = sorted(h for h in counts if h is not None)
+    first = timed[0] // 24 * 24 if timed else 0
+    part_of: dict[int | None, int] = {None: 0}
+    part, week, filled = 0, 0, counts.get(None, 0)
+    for hour in timed:
+        own = (hour - first) // (7 * 24)
+        if filled and (own != week or filled + counts[hour] > slice_rows):
+            part, filled = part + 1, 0
+        week, filled = own, filled + counts[hour]
+        part_of[hour] = part
+    return part_of
+
+
+def _dated(rows: DataFrame, ts: str, path: str, hour: F.Column, part_of: dict[int | None, int], counts: dict[int | None, int],
+           file_rows: int) -> int:
+    """Write all parts at once, the same number of files each, and date the files in order of their parts, then the last row's."""
+    spark, folder, sizes = rows.sparkSession, Folder(rows.sparkSession, path), Counter()
+    for at, n in counts.items():
+        sizes[part_of[at]] += n
+    parts, files = 1 + max(part_of.values()), max(1, -(-max(sizes.values(), default=0) // file_rows))
     last = rows.orderBy(F.desc(ts)).limit(1).withColumn(ts, F.col(ts) + F.expr("interval 60 days"))
-    files = _Parts(rows, part, path, file_rows).write()
+    found = spark.createDataFrame([(h, p) for h, p in part_of.items() if h is not None], "_hour bigint, _part int")
+    parted = rows.withColumn("_hour", hour).join(F.broadcast(found), "_hour", "left").withColumn("_part", F.coalesce("_part", F.lit(0)))
+    if not folder.keeps_times():
+        _Parts(parted.select(*rows.columns, "_part"), F.col("_part"), path, file_rows).write(range(parts))
+        last.coalesce(1).write.mode("append").parquet(path)
+        return files
+    # The rows of a part are dealt by their number, which needs no key that some file would have too many rows of.
+    file = (F.col("_part") * files + F.monotonically_increasing_id() % files).cast("int")
+    parted.withColumn("_file", file).repartitionById(parts * files, "_file").select(*rows.columns).write.mode("append").parquet(path)
+    written: list[list[str]] = [[] for _ in range(parts)]
+    for name in folder.glob("*.parquet"):
+        written[int(name.split("-")[1]) // files].append(name)
+    if any(len(names) < files for names in written):  # tasks without rows write no file
+        empty = shared_dir(spark, "empty")
+        rows.limit(0).coalesce(1).write.parquet(empty)
+        source = Folder(spark, empty)
+        for part, names in enumerate(written):
+            names += [folder.copy_of(source, source.glob("*.parquet")[0], f"part-{part}-{i}-empty.parquet") for i in range(files - len(names))]
     last.coalesce(1).write.mode("append").parquet(path)
+    known = {name for names in written for name in names}
+    folder.date([*written, [name for name in folder.glob("*.parquet") if name not in known]])
     return files
 
 
 def _appended(spark: SparkSession, stream: DataFrame, schema: str) -> DataFrame:
     """What a stream in append mode writes until the end of its input."""
     target = shared_dir(spark, "finished")
-    (stream.writeStream.format("parquet").option("path", target)
-     .option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination())
+    job = (stream.writeStream.format("parquet").option("path", target)
+           .option("checkpointLocation", shared_dir(spark, "checkpoint")).trigger(availableNow=True))
+    # Each partition is a state store, or four in a join, that every batch writes: a batch of bounded rows needs no more of them.
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(STATE_PARTS, 2 * spark.sparkContext.defaultParallelism))
+    with set_meanwhile(spark, SEND_STATE_ONCE | {"spark.sql.shuffle.partitions": str(parts)}):
+        running = job.start()
+    running.awaitTermination()
     return spark.read.schema(schema).parquet(target)
 
 
-def _finished(spark: SparkSession, rows: DataFrame, ts: str, transform, schema: str, arrival: F.Column | None = None) -> DataFrame:
-    """An append-mode stream over rows in order of arrival, one week per batch."""
+def _finished(spark: SparkSession, rows: DataFrame, ts: str, transform, schema: str, arrival: F.Column | None = None,
+              slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """An append-mode stream over rows in order of arrival, one week (or less, of many rows) per batch."""
     source = shared_dir(spark, "timed")
-    files = _weekly(rows, ts, source, arrival)
+    files = _weekly(rows, ts, source, arrival, slice_rows)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     return _appended(spark, transform(stream), schema)
 
@@ -335,7 +394,7 @@ def stream_counter_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Counter increase per second over six hours, from the steps that a stream has finished; samples come late."""
     readings = counters(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
     slots = _finished(spark, readings, "ts", lambda s: counter_slots(s, ["event_type"], "ts", "event_id", "value", step=HOUR),
-                      "event_type string, slot bigint, increase double", _late("ts"))
+                      "event_type string, slot bigint, increase double", _late("ts"), ORDER_ROWS)
     rates = rates_of_slots(slots, ["event_type"], 6 * HOUR, HOUR)
     return rates.select("event_type", "window_start", F.round("increase", 4).alias("increase"), F.round("rate", 9).alias("rate"))
 
