@@ -361,7 +361,7 @@ def _alerts(spark: SparkSession, sf: str) -> DataFrame:
     """The alert of `alert_hold_for` on a stream whose samples come up to eleven hours late."""
     samples = events(spark, sf).select("event_id", (F.col("user_id") % 12).alias("shard"), F.col("ts").cast("timestamp").alias("ts"), "value")
     return _finished(spark, samples, "ts", lambda s: stream_alerts(s, SPIKE, ["shard"], "ts", "event_id", "value", max_gap=2 * HOUR),
-                     ALERT_SCHEMA, _late("ts"))
+                     ALERT_SCHEMA, _late("ts"), ORDER_ROWS)
 
 
 HELD_SQL = f"""samples AS (SELECT event_id, user_id % 12 AS shard, ts, value FROM events),

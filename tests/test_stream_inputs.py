@@ -143,7 +143,7 @@ def test_rows_without_time_and_no_rows(spark, tmp_path):
         assert sorted(r.n for r in found[0]) == expected
 
 
-@pytest.mark.parametrize("name", ["stream_counter_rate"])
+@pytest.mark.parametrize("name", ["stream_counter_rate", "stream_alert_hold_for"])
 def test_samples_in_order_come_in_bounded_batches(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(streams, "ORDER_ROWS", 500, raising=False)
     ts = F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)) + F.make_dt_interval(mins=F.col("id") * 7)
