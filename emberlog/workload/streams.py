@@ -41,8 +41,8 @@ FILES = 4
 
 #: Rows of one file, and of one slice of time, of the folders that streams read.
 FILE_ROWS, SLICE_ROWS = 50_000, 10_000_000
-#: Rows of one file of a folder cut by time, and of one slice for samples in order, whose state holds every row of it.
-TIMED_FILE_ROWS, ORDER_ROWS = 200_000, 1_000_000
+#: Rows of one file of a folder cut by time, and of one slice for streams whose state holds every row of it: a join's, and samples in order.
+TIMED_FILE_ROWS, JOIN_ROWS, ORDER_ROWS = 200_000, 2_000_000, 1_000_000
 #: Most partitions of a stream's state, on a small cluster.
 STATE_PARTS = 24
 
@@ -411,10 +411,9 @@ def stream_delivery_lost(spark: SparkSession, sf: str) -> DataFrame:
     sent = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("id"), minute("o_orderkey").alias("sent_at"))
     stored = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), (minute("l_orderkey") + late).alias("stored_at"))
     # Both streams end with an entry far in the future that is stored at once.
-    streams = []
-    for rows, ts in ((sent, "sent_at"), (stored, "stored_at")):
-        path = shared_dir(spark, ts)
-        files = _weekly(rows, ts, path)
-        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path))
+    tables = [(rows, ts, shared_dir(spark, ts)) for rows, ts in ((sent, "sent_at"), (stored, "stored_at"))]
+    # Cut side by side: a stream that runs ahead of the other would be held in the join's state.
+    files = _weekly_together(tables, slice_rows=JOIN_ROWS)
+    streams = [spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", n).parquet(path) for (rows, _, path), n in zip(tables, files)]
     found = _appended(spark, delivery(*streams, within="10 minutes"), "id string, sent_at timestamp, stored_at timestamp")
     return found.filter("stored_at IS NULL").select("id")

@@ -143,6 +143,20 @@ def test_rows_without_time_and_no_rows(spark, tmp_path):
         assert sorted(r.n for r in found[0]) == expected
 
 
+def test_the_delivery_check_holds_a_slice_of_both_streams(spark, tmp_path, monkeypatch):
+    """Four items an order, in batches of 600 rows: orders do not run ahead of the items."""
+    monkeypatch.setattr(streams, "JOIN_ROWS", 600, raising=False)
+    spark.range(2000).selectExpr("id AS o_orderkey").write.parquet(str(tmp_path / "orders.parquet"))
+    items = spark.range(8000).selectExpr("id div 4 AS l_orderkey").filter("l_orderkey % 50 <> 0")
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    with progress(spark) as seen:
+        found = entry.queries()["stream_delivery_lost"](spark, str(tmp_path)).collect()
+    assert sorted(int(r.id) for r in found) == list(range(0, 2000, 50))
+    assert max(p["numInputRows"] for p in seen) <= 600
+    # A batch and what its predecessor leaves for the time bound.
+    assert max(o["numRowsTotal"] for p in seen for o in p["stateOperators"]) <= 1200
+
+
 @pytest.mark.parametrize("name", ["stream_counter_rate", "stream_alert_hold_for"])
 def test_samples_in_order_come_in_bounded_batches(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(streams, "ORDER_ROWS", 500, raising=False)
